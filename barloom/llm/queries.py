@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.labels import base_state
-from barloom.llm import packing, runs, tokens, topn
+from barloom.llm import packing, pii, runs, tokens, topn
 from barloom.session import table
 
 #: Containers of p9, in tokens.
@@ -43,7 +43,15 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", "n_tokens", CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p7_found, p7_top, p8_ids, p9_containers)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_personal(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "name_lexicon"))
+
+
+def p10_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.replaced(table(spark, sf, "documents"), "doc_id", "text", p10_found(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p7_found, p7_top, p8_ids, p9_containers, p10_found, p10_replaced)}
 
 _BASE = "case when regexp_matches(state, '^[^\\pL]*risk[^\\pL\\pN]{0,3}on([^\\pL]|$)', 'i') then 'RISK-ON' when regexp_matches(state, '^[^\\pL]*risk[^\\pL\\pN]{0,3}off([^\\pL]|$)', 'i') then 'RISK-OFF' when regexp_matches(state, '^[^\\pL]*caution([^\\pL]|$)', 'i') then 'CAUTION' end"
 _RUNS = f"""
