@@ -141,7 +141,7 @@ def pack(items: DataFrame, id_column: str, size: str, capacity: int, rounds: int
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = by.select("size", "_bucket", before.alias("_off"))  # at most capacity * buckets rows
     numbered = cut.where("size > 0").withColumn("_rn", F.row_number().over(Window.partitionBy("size", "_bucket").orderBy(id_column, "piece")) - 1)
-    numbered = numbered.join(offsets, ["size", "_bucket"]).withColumn("_no", F.col("_rn") + F.col("_off"))
+    numbered = numbered.join(offsets.hint("merge"), ["size", "_bucket"]).withColumn("_no", F.col("_rn") + F.col("_off"))
     slots = spark.createDataFrame(plan.slots, "_len long, _from long, _to long, _first long, _each long") if plan.slots else spark.createDataFrame([], "_len long, _from long, _to long, _first long, _each long")
     # A length's slots as one sorted array: an item finds its own by its number, without a range join.
     slots = slots.groupBy("_len").agg(F.array_sort(F.collect_list(F.struct("_from", "_to", "_first", "_each"))).alias("_slots"))

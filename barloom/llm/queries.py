@@ -67,7 +67,7 @@ placed as (select run_id, ticker, score, rank, row_number() over (partition by r
 """
 SQL = {
     "p4_found": _RUNS + "select ledger_id, first_run_id, last_run_id, n_readings from spans where n_readings >= 2",
-    "p4_runs": _RUNS + "select *, epoch_us(ended) / 1e6 - epoch_us(started) / 1e6 as duration_s from spans",
+    "p4_runs": _RUNS + "select *, (epoch_us(ended) - epoch_us(started)) / 1e6 as duration_s from spans",
     "p7_found": _TOP + "select run_id, ticker from placed where place <= 10",
     "p7_top": _TOP + "select run_id, ticker, score, rank, place from placed where place <= 10",
 }
