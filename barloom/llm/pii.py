@@ -34,7 +34,7 @@ SAMPLE, BUCKETS = 20_000, 1 << 14
 # One character for one, so that positions stay: odd dashes and spaces, then full-width forms.
 _PLAIN = {"\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u00a0": " ", "\u202f": " ", "\u2007": " ", "\u2009": " ", "\u2019": "'"}
 _WIDE = {0xFF01 + i: 0x21 + i for i in range(94)}
-_WIDE_SEEN = re.compile("[\uff01-\uff5e]")
+_WIDE_SEEN = re.compile("[\uff0b\uff0d\uff0e\uff10-\uff19\uff20]")
 
 _TLD = r"(?:\.|\s?[\[(]dot[\])]\s?|\sdot\s)"
 _DOMAIN = re.compile(rf"[\w-]+(?:{_TLD}[\w-]+)*{_TLD}[^\W\d_]{{2,24}}(?![\w@])", re.I)
@@ -82,7 +82,7 @@ _ADDRESS = re.compile(
     )""",
     re.X,
 )
-_NUMBERED = re.compile(rf"(?<![\w.,/$%+-])(?<!\d:)\#?\d{{1,5}}[A-Za-z]?\s(?:{_W} ){{1,4}}{_TYPES}(?![\w'’])")
+_NUMBERED = re.compile(rf"(?<![\w.,/$%+-])(?<!\d:)\#?\d{{1,5}}[A-Za-z]?\s(?:{_W} ){{0,3}}{_W}$")
 _FR = re.compile(r"\d{1,4}(?: ?(?:bis|ter|quater))?,? $")
 #: Words of streets that mark addresses which have the number elsewhere.
 _STREET_WORDS = {
@@ -90,6 +90,7 @@ _STREET_WORDS = {
     **dict.fromkeys(("Calle ", "Plaza ", "Avenida ", "Av. ", "Avda. ", "Paseo ", "Camino ", "C/ "), "es"),
     **dict.fromkeys(("str. ", "straße ", "strasse ", "gasse ", "weg ", "platz ", "kamp ", "graben ", "allee ", "ufer ", "ring ", "damm ", "hof ", "Straße "), "de"),
 }
+_STREET_WORDS |= {f" {form}": "en" for word in "Street St Road Rd Lane Ln Drive Dr Avenue Ave Boulevard Blvd Terrace Court Ct Yard Way Place Square Close Crescent Parkway Row Walk Mews Gardens".split() for form in (word, word.upper())}
 _DE = re.compile(r"(?:(?:Am|An der|Im|Zum|Zur|Alte[rs]?|Neue[rs]?|Große[rs]?|Kleine[rs]?) )?[A-ZÄÖÜ][\wäöüß-]*\.?$")
 _ADDRESS_CUE = re.compile(r"(?:\bat|to|moved:|is at|jetzt|\bà|\ban|\ba|c/o [^\n]{2,40},|lists|live[sd]? (?:at|in)|address:?|Adresse:?|[-/|])\s$", re.I)
 #: Streets that stand for a trade, and what follows a street's name in a firm's.
@@ -251,9 +252,12 @@ _BREAK = re.compile(r"[.,;]?\s*(?:\n|$)")
 
 def _addresses(t: str, words: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
     """``words``: start, end and language of street words found in the text."""
-    starts = [m.start() for m in _NUMBERED.finditer(t)]
+    starts, size = [], len(t)
     for a, b, lang in words:
-        if lang == "es":
+        if lang == "en":
+            if (b == size or not (t[b].isalnum() or t[b] == "'")) and (m := _NUMBERED.search(t, max(0, a - 64), a)):
+                starts.append(m.start())
+        elif lang == "es":
             starts.append(a)
         elif lang == "fr":
             if m := _FR.search(t, max(0, a - 12), a):
@@ -262,7 +266,7 @@ def _addresses(t: str, words: list[tuple[int, int, str]]) -> Iterator[tuple[int,
             if m := _DE.search(t, max(0, a - 32), b - 1):
                 starts.append(m.start())
     end = -1
-    for at in sorted(starts):
+    for at in sorted(set(starts)):
         m = _ADDRESS.match(t, at) if at >= end else None
         if not m:
             continue
@@ -390,9 +394,14 @@ _LOW, _HIGH, _NINE = re.compile(r"[a-zß-ÿ]+"), re.compile(r"[A-ZÀ-Þ]+"), re.
 
 
 def _features(k: int, votes: str, t: str, a: int, b: int, more: str) -> list[int]:
+    parts = [f"{k}v{i}{v}" for i, v in enumerate(votes) if v != "0"]
+    parts.append(f"{k}all{votes}")
+    if k == 4 and "-" in votes:
+        parts.append("w=" + t[a:b].lower())
+        return [_hashed(p) for p in parts]
     before, after = t[max(0, a - 16) : a], t[b : b + 14]
     prev, nxt = (_TOKEN.findall(before) or [""])[-1].lower(), (_TOKEN.findall(after) or [""])[0].lower()
-    parts = [f"{k}v{i}{v}" for i, v in enumerate(votes) if v != "0"] + [f"{k}all{votes}", f"{k}p={prev}", f"{k}n={nxt}", f"{k}c={before[-1:]}", f"{k}d={after[:1]}"]
+    parts += [f"{k}p={prev}", f"{k}n={nxt}", f"{k}c={before[-1:]}", f"{k}d={after[:1]}"]
     if k == 4:
         s = t[a:b].lower()
         parts += [f"w={s}", f"wn={nxt}"] if " " not in s else ["w2"]
