@@ -25,6 +25,6 @@ class Registry:
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, since sums depend on the order of rows, and days and times as text."""
-    kinds = {"double": lambda c: F.round(c, digits), "date": lambda c: F.col(c).cast("string"), "timestamp_ntz": lambda c: F.col(c).cast("string")}
+    """Doubles rounded (and no -0), since sums depend on the order of rows, and days and times as text."""
+    kinds = {"double": lambda c: F.round(c, digits) + F.lit(0.0), "date": lambda c: F.col(c).cast("string"), "timestamp_ntz": lambda c: F.col(c).cast("string")}
     return df.select(*[kinds.get(t, F.col)(c).alias(c) for c, t in df.dtypes])
