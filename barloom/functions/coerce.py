@@ -76,7 +76,7 @@ def plain_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"<[^>]+>", "")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&#x2F;", "/"), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def word_count(text: Column) -> Column:

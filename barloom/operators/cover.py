@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cheapest_cover(demand: dict[str, int], offers: list[tuple[str, int, dict[str, int]]], best: int = 1) -> list[tuple[int, tuple[str, ...]]]:
@@ -37,15 +40,26 @@ def cheapest_cover(demand: dict[str, int], offers: list[tuple[str, int, dict[str
 def covers(demands: DataFrame, offers: DataFrame, best: int = 1) -> DataFrame:
     """demands (order_id, sku, qty) and offers (order_id, offer, price, sku, gives) to order_id, place, cost, offers.
 
-    Each order's rows, which are few, go to one grouped function; orders without any cover have no rows.
+    An order's wants and offers, which are few, become two arrays of one row; the rows go through Python in Arrow batches,
+    and orders that want and are offered the same are solved once a batch. Orders without any cover have no rows; null
+    numbers count as 0 and rows with a null order are left out.
     """
+    want = demands.where("order_id is not null").groupBy("order_id", "sku").agg(F.sum("qty").alias("q")).groupBy("order_id").agg(F.array_sort(F.collect_list(F.struct("sku", "q"))).alias("want"))
+    given = offers.where("order_id is not null").groupBy("order_id").agg(F.array_sort(F.collect_list(F.struct("offer", "price", "sku", "gives"))).alias("given"))
 
-    def run(key, d: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(d):
-            want = d.groupby("sku")["qty"].sum().astype(int).to_dict()
-            listed = [(name, int(g["price"].iloc[0]), g.groupby("sku")["gives"].sum().astype(int).to_dict()) for name, g in o.groupby("offer")]
-            rows = [(key[0], i + 1, cost, ",".join(picked)) for i, (cost, picked) in enumerate(cheapest_cover(want, listed, best))]
-        return pd.DataFrame(rows, columns=["order_id", "place", "cost", "offers"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            solved: dict = {}
+            rows = []
+            for order, w, g in zip(*(c.to_pylist() for c in batch.columns)):
+                key = (tuple((x["sku"], x["q"]) for x in w), tuple((x["offer"], x["price"], x["sku"], x["gives"]) for x in g or []))
+                if key not in solved:
+                    listed: dict[str, tuple[int, dict[str, int]]] = {}
+                    for offer, price, sku, gives in key[1]:
+                        has = listed.setdefault(offer, (int(price or 0), {}))[1]
+                        has[sku] = has.get(sku, 0) + int(gives or 0)
+                    solved[key] = cheapest_cover({s: int(q or 0) for s, q in key[0]}, [(o, p, has) for o, (p, has) in listed.items()], best)
+                rows += [(order, i + 1, cost, ",".join(picked)) for i, (cost, picked) in enumerate(solved[key])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.int64(), pa.string()))], ["order_id", "place", "cost", "offers"])
 
-    return demands.groupBy("order_id").cogroup(offers.groupBy("order_id")).applyInPandas(run, "order_id long, place int, cost long, offers string")
+    return want.join(given, "order_id", "left").select("order_id", "want", "given").mapInArrow(run, "order_id long, place int, cost long, offers string")
