@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.session import materialize
+
 
 class PersistentTree:
     """A path-copied tree over leaf positions 0..2**levels-1; inserting row i at ``ranks[i]`` makes version i + 1.
@@ -108,12 +110,12 @@ def as_known(
     e = events.select(F.col(event_id).cast("string").alias("_event"), F.col(key).alias("_key"), event_known.cast("long").alias("_known"), event_valid.cast("long").alias("_valid"))
     h = history.select(F.col(key).alias("_key"), known.cast("long").alias("_known"), valid.cast("long").alias("_valid"), tie.cast("long").alias("_tie"), value.cast("string").alias("_value")).dropna(subset=["_key", "_known", "_valid"])
     e = e.withColumn("_block", F.floor(F.col("_valid") / block))
-    h = h.withColumn("_block", F.floor(F.col("_valid") / block))
+    h = materialize(h.withColumn("_block", F.floor(F.col("_valid") / block)), "history")
     blocks = h.groupBy("_key", "_block").agg(F.min("_known").alias("k")).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(F.col("_block").alias("b"), "k"))).alias("_blocks"))
     live = e.dropna(subset=["_key", "_known", "_valid"]).join(blocks, "_key")
     earlier = F.filter("_blocks", lambda x: (x["b"] < F.col("_block")) & (x["k"] <= F.col("_known")))
     routed = live.withColumn("_to", F.array_compact(F.array(F.struct(F.col("_block").alias("b")), F.when(F.size(earlier) > 0, F.struct(F.element_at(earlier, -1)["b"].alias("b"))))))
-    routed = routed.select("_event", "_key", "_known", "_valid", F.explode("_to.b").alias("_block"))
+    routed = materialize(routed.select("_event", "_key", "_known", "_valid", F.explode("_to.b").alias("_block")), "routed")
     load = routed.groupBy("_key", "_block").agg(F.count(F.lit(1)).alias("_n")).withColumn("_salts", F.ceil(F.col("_n") / rows_a_task)).drop("_n")
     salts = load.where("_salts > 1")
     # Few blocks are so large that they need salts; all others have the one salt 0.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.neighbours import neighbours
+from barloom.session import materialize
 
 
 def plain(value: Column, unknown: tuple[str, ...] = ("?",)) -> Column:
@@ -34,24 +35,31 @@ def versions(updates: DataFrame, key: str, at: str, write: str, attributes: list
     first known value on; keys that never have one, and rows whose key or ``at`` is null, give none. ``at`` is a number
     and a key is worked on in pieces of ``segment`` of it.
     """
+    return _periods(_satellites(updates, key, at, write, attributes, segment, unknown), key, at, segment)
+
+
+def _satellites(updates: DataFrame, key: str, at: str, write: str, attributes: list[str], segment: int, unknown: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The satellite of each attribute. The counting rows are written once and read for each of them."""
     rows = updates.where(F.col(key).isNotNull() & F.col(at).isNotNull())
     last = rows.groupBy(key, at).agg(F.max_by(F.struct(*[plain(F.col(a), unknown).alias(a) for a in attributes]), F.col(write)).alias("_v"))
-    last = last.select(key, at, *[F.col(f"_v.{a}").alias(a) for a in attributes])
+    last = materialize(last.select(key, at, *[F.col(f"_v.{a}").alias(a) for a in attributes]), "updates")
+    return {a: materialize(satellite(last, key, at, a, F.floor(F.col(at) / F.lit(segment))), "satellite") for a in attributes}
+
+
+def _periods(satellites: dict[str, DataFrame], key: str, at: str, segment: int) -> DataFrame:
+    """The lead-based view over satellites: a period from each change of any of them to the next."""
     piece = F.floor(F.col(at) / F.lit(segment))
-    satellites = [satellite(last, key, at, a, piece) for a in attributes]
-    starts = reduce(DataFrame.unionByName, [s.select(key, at) for s in satellites]).distinct()
+    starts = materialize(reduce(DataFrame.unionByName, [s.select(key, at) for s in satellites.values()]).distinct(), "starts")
     ends = neighbours(starts, [key], [at], piece, lead={"_next": at})
     return ends.select(key, F.col(at).alias("valid_from"), F.coalesce("_next", F.lit(-1).cast("long")).alias("valid_to"))
 
 
 def attribute_history(updates: DataFrame, key: str, at: str, write: str, attributes: list[str], segment: int, unknown: tuple[str, ...] = ("?",)) -> DataFrame:
     """versions() with the value of each attribute in each period, in its plain spelling; null until first known."""
-    periods = versions(updates, key, at, write, attributes, segment, unknown)
-    rows = updates.where(F.col(key).isNotNull() & F.col(at).isNotNull())
-    last = rows.groupBy(key, at).agg(F.max_by(F.struct(*[plain(F.col(a), unknown).alias(a) for a in attributes]), F.col(write)).alias("_v")).select(key, at, "_v.*")
+    satellites = _satellites(updates, key, at, write, attributes, segment, unknown)
     piece = F.floor(F.col(at) / F.lit(segment))
-    out = periods
-    for a in attributes:
-        sat = neighbours(satellite(last, key, at, a, piece), [key], [at], piece, lead={"_until": at}).select(F.col(key).alias("_k"), F.col(at).alias("_from"), "_until", F.col("value").alias(a))
+    out = _periods(satellites, key, at, segment)
+    for a, changes in satellites.items():
+        sat = neighbours(changes, [key], [at], piece, lead={"_until": at}).select(F.col(key).alias("_k"), F.col(at).alias("_from"), "_until", F.col("value").alias(a))
         out = out.join(sat, (F.col(key) == F.col("_k")) & (F.col("valid_from") >= F.col("_from")) & (F.col("_until").isNull() | (F.col("valid_from") < F.col("_until"))), "left").drop("_k", "_from", "_until")
     return out

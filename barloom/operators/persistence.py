@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.labels import base_state
+from barloom.session import bounded_broadcast
 
 
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -25,10 +26,10 @@ def streaks(listings: DataFrame, key: str, day: str) -> DataFrame:
     first_seen is the first day of the active streak, null without one. Days are distinct by key.
     """
     days = numbered_runs(listings, day)
-    last = days.agg(F.max("no").alias("_last"))
-    d = listings.where(F.col(key).isNotNull()).select(key, day).distinct().join(F.broadcast(days), day).crossJoin(F.broadcast(last))  # one row
+    last = days.agg(F.max("no")).scalar()
+    d = listings.where(F.col(key).isNotNull()).select(key, day).distinct().join(bounded_broadcast(days), day)
     d = d.withColumn("_g", F.col("no") - F.row_number().over(Window.partitionBy(key).orderBy("no")))
-    island = d.groupBy(key, "_g").agg(F.count(F.lit(1)).alias("_n"), F.max("no").alias("_end"), F.min(day).alias("_start"), F.first("_last").alias("_last"))
+    island = d.groupBy(key, "_g").agg(F.count(F.lit(1)).alias("_n"), F.max("no").alias("_end"), F.min(day).alias("_start")).withColumn("_last", last)
     active = F.col("_end") == F.col("_last")
     return island.groupBy(key).agg(F.sum("_n").alias("n_days"), F.max("_n").alias("longest"), F.coalesce(F.max(F.when(active, F.col("_n"))), F.lit(0)).alias("active"), F.max(F.when(active, F.col("_start"))).alias("first_seen"))
 

@@ -158,9 +158,10 @@ def inverse_volatility(bars: DataFrame, sessions: int = 60, target_pct: float =
     d = bars.withColumn("_r", F.col("close") / F.lag("close").over(Window.partitionBy("ticker").orderBy("session")) - 1).where((F.col("back") < sessions) & F.col("_r").isNotNull())
     year = F.sqrt(F.lit(252.0)) * 100
     vol = d.groupBy("ticker").agg((F.stddev_samp("_r") * year).alias("vol_pct")).where("vol_pct > 0")
-    cohort = d.groupBy("back").agg(F.avg("_r").alias("_m")).agg((F.stddev_samp("_m") * year).alias("_v")).select(F.least(F.greatest(target_pct / F.col("_v"), F.lit(clip[0])), F.lit(clip[1])).alias("leverage"))
-    total = vol.agg(F.sum(1 / F.col("vol_pct")).alias("_t"))
-    return vol.join(F.broadcast(cohort)).join(F.broadcast(total)).select("ticker", "vol_pct", "leverage", (1 / F.col("vol_pct") / F.col("_t") * F.col("leverage") * 100).alias("weight_pct"))
+    cohort = d.groupBy("back").agg(F.avg("_r").alias("_m")).agg(F.stddev_samp("_m") * year).scalar()
+    total = vol.agg(F.sum(1 / F.col("vol_pct"))).scalar()
+    vol = vol.withColumn("_t", total).withColumn("leverage", F.least(F.greatest(target_pct / cohort, F.lit(clip[0])), F.lit(clip[1])))
+    return vol.select("ticker", "vol_pct", "leverage", (1 / F.col("vol_pct") / F.col("_t") * F.col("leverage") * 100).alias("weight_pct"))
 
 
 def tape(bars: DataFrame) -> DataFrame:

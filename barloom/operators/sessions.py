@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.session import bounded_broadcast
+from barloom.session import bounded_broadcast, materialize
 
 
 def merge_sessions(df: DataFrame, keys: list[str], position: str, gap: int | float | Column, width: int | float) -> DataFrame:
@@ -33,6 +33,7 @@ def merge_sessions(df: DataFrame, keys: list[str], position: str, gap: int | flo
         .agg(F.min("_p").alias("first"), F.max("_p").alias("last"), F.sum("_n").alias("n_events"))
         .withColumn("_edge", (F.col("_i") == 0) | (F.col("_i") == F.max("_i").over(Window.partitionBy(*keys, "_b"))))
     )
+    local = materialize(local, "intervals")
     wk = Window.partitionBy(*keys).orderBy("first")
     edges = (
         local.where("_edge")

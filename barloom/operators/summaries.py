@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import bounded_broadcast
+
 
 def option_summary(chain: DataFrame, spot: str, moneyness_pct: float | None = None) -> DataFrame:
     """By underlying: nearest strikes to the spot of calls and puts, summed volume and interest, put/call ratios.
@@ -79,7 +81,7 @@ def sparks(candidates: DataFrame, events: DataFrame, cap: float = 8e11) -> DataF
     own = candidates.join(e, candidates["ticker"] == e["source"]).select("ticker", F.lit("own").alias("kind"), "source", "day")
     same = candidates.join(e, (candidates["sector"] == e["_s"]) & (candidates["ticker"] != e["source"])).select("ticker", F.lit("sector").alias("kind"), "source", "day")
     other = (candidates["ticker"] != F.col("source")) & ~F.coalesce(candidates["sector"] == F.col("_s"), F.lit(False))
-    giants = candidates.join(F.broadcast(e.where(F.col("cap") >= cap)), other).select("ticker", F.lit("market").alias("kind"), "source", "day")
+    giants = candidates.join(bounded_broadcast(e.where(F.col("cap") >= cap), 10_000), other).select("ticker", F.lit("market").alias("kind"), "source", "day")
     return own.unionByName(same).unionByName(giants)
 
 

@@ -36,20 +36,19 @@ select cast(day as varchar) as day, count(*) as n, count(batch) as n_new from (s
 def ledger_append(spark, sf):
     d = table(spark, sf, "mom_history").distinct()
     day = et_day("run_date")
-    last = d.agg(F.max(day).alias("_last"))
-    incoming = d.join(F.broadcast(last), day == F.col("_last")).where("rank <= 5").select("run_id", "ticker", "run_date", F.lit("new").alias("batch"))
+    incoming = d.where(day == d.agg(F.max(day)).scalar()).where("rank <= 5").select("run_id", "ticker", "run_date", F.lit("new").alias("batch"))
     out = append_by_day(d.select("run_id", "ticker", "run_date"), incoming)
     return tidy(out.groupBy(et_day("run_date").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count("batch").alias("n_new")))
 
 
 @query("""
-with o as (select distinct outcome_id, outcome, days from outcomes), i as (select outcome_id, 'EXPIRED' as outcome, 5 as days from o where outcome = 'OPEN' and outcome_id % 3 = 0)
+with o as (select distinct outcome_id, outcome, days, armed from outcomes), i as (select outcome_id, 'EXPIRED' as outcome, 5 as days from o where outcome = 'OPEN' and armed = 1)
 select outcome_id, outcome, days from o where outcome_id not in (select outcome_id from i) union all select * from i
 """)
 def ledger_upsert(spark, sf):
-    d = table(spark, sf, "outcomes").select("outcome_id", "outcome", "days").distinct()
-    done = d.where("outcome = 'OPEN' and outcome_id % 3 = 0").select("outcome_id", F.lit("EXPIRED").alias("outcome"), F.lit(5).alias("days"))
-    return upsert(d, done, ["outcome_id"])
+    d = table(spark, sf, "outcomes").select("outcome_id", "outcome", "days", "armed").distinct()
+    done = d.where("outcome = 'OPEN' and armed = 1").select("outcome_id", F.lit("EXPIRED").alias("outcome"), F.lit(5).alias("days"))
+    return upsert(d.drop("armed"), done, ["outcome_id"])
 
 
 _HOLIDAYS = """
@@ -140,9 +139,9 @@ select ticker, case when (close / was - 1) * 100 >= 0.5 then 'broke_out' when (c
 def dropouts_reason(spark, sf):
     picks = _picks(spark, sf).withColumn("day", F.to_date("run_date"))
     gone = per.run_pair(picks, "ticker", "day", "rank", "score_rank", 30).where("status = 'dropped'").select("ticker")
-    d0 = picks.select("day").distinct().orderBy(F.col("day").desc()).limit(2).agg(F.min("day").alias("_d0"))
+    d0 = picks.select("day").distinct().orderBy(F.col("day").desc()).limit(2).agg(F.min("day")).scalar()
     by, has = F.struct("run_date", "run_id"), F.col("close").isNotNull() & F.col("run_date").isNotNull()
-    prices = picks.join(gone, "ticker", "left_semi").join(F.broadcast(d0)).groupBy("ticker").agg(
+    prices = picks.join(gone, "ticker", "left_semi").withColumn("_d0", d0).groupBy("ticker").agg(
         F.max_by("close", F.when(has, by)).alias("close"), F.max_by("close", F.when(has & (F.col("day") <= F.col("_d0")), by)).alias("was")
     )
     move = (F.col("close") / F.col("was") - 1) * 100
@@ -192,9 +191,9 @@ select flag, n, round(n / (select count(*) from r), 6) as share, n / (select cou
 """)
 def flag_chronicity(spark, sf):
     r = per.readings(table(spark, sf, "regime_history"))
-    total = r.agg(F.count(F.lit(1)).alias("_all"))
+    total = r.agg(F.count(F.lit(1))).scalar()
     x = r.select("ledger_id", "run_id", F.explode(F.split("flags", " ; ")).alias("flag")).select("ledger_id", "run_id", F.split(F.trim("flag"), ":")[0].alias("flag")).where("flag <> ''").distinct()
-    return tidy(x.groupBy("flag").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).select("flag", "n", (F.col("n") / F.col("_all")).alias("share"), (F.col("n") / F.col("_all") > 0.5).alias("chronic")))
+    return tidy(x.groupBy("flag").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", total).select("flag", "n", (F.col("n") / F.col("_all")).alias("share"), (F.col("n") / F.col("_all") > 0.5).alias("chronic")))
 
 
 @query(_READ + """
@@ -222,10 +221,10 @@ def regime_snapshot(spark, sf):
     d = per.confirmed(per.readings(table(spark, sf, "regime_history")), ["ledger_id"], "run_id", "base")
     w = Window.partitionBy("ledger_id").orderBy("run_id")
     d = d.withColumn("_flip", F.coalesce(F.lag("base").over(w) != F.col("base"), F.lit(False)))
-    last = d.agg(F.max("run_id").alias("_newest"))
+    last = d.agg(F.max("run_id")).scalar()
     g = d.groupBy("ledger_id").agg(F.max_by("base", "run_id").alias("base"), F.max_by("confirmed", "run_id").alias("confirmed"), F.max("run_id").alias("run_id"), F.max_by("_flip", "run_id").alias("first_day_flip"))
     day = lambda c: F.to_date(c, "yyyyMMdd")
-    return g.join(F.broadcast(last)).select("ledger_id", "base", "confirmed", "run_id", "first_day_flip", F.datediff(day("_newest"), day("run_id")).cast("long").alias("stale_days"))
+    return g.withColumn("_newest", last).select("ledger_id", "base", "confirmed", "run_id", "first_day_flip", F.datediff(day("_newest"), day("run_id")).cast("long").alias("stale_days"))
 
 
 QUERIES, SQL = query.queries, query.sql

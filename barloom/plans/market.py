@@ -88,10 +88,10 @@ def vol_collapse_split(spark, sf):
 @query("""
 , t as (select *, greatest(high - low, abs(high - lag(close) over o), abs(low - lag(close) over o)) as tr from bars window o as (partition by ticker order by session)),
 a as (select *, case when sess_no > 14 then avg(tr) over (partition by ticker order by session rows 13 preceding) end as atr from t)
-select ticker, cast(session as varchar) as session, round(tr, 6) as tr, round(atr, 6) as atr, round(atr / close * 100, 6) as atr_pct from a where back < 60
+select ticker, cast(session as varchar) as session, round(tr, 6) as tr, round(atr, 6) as atr, round(atr / close * 100, 6) as atr_pct from a
 """)
 def atr14(spark, sf):
-    return _r(ind.atr(_bars(spark, sf)).where("back < 60").select("ticker", "session", "tr", "atr", "atr_pct"))
+    return _r(ind.atr(_bars(spark, sf)).select("ticker", "session", "tr", "atr", "atr_pct"))
 
 
 _RSI = """

@@ -1,4 +1,4 @@
-"""Queries that replay trades on the derived bars. Signals: every 25th session of a ticker."""
+"""Queries that replay trades on the derived bars. Signals: closes that are the lowest of twenty sessions."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from barloom.plans.registry import Registry, tidy
 from barloom.sources.bars import index_bars, numbered, supplier_bars
 
 query = Registry(BARS)
-_SIG = ", sig as (select ticker || '-' || sess_no as sid, ticker, session, sess_no, close as entry, close * 1.5 as target, close * 0.6 as stop from bars where sess_no % 25 = 0)"
+_SIG = ", lows as (select *, close = min(close) over (partition by ticker order by session rows 19 preceding) as lowest from bars), sig as (select ticker || '-' || sess_no as sid, ticker, session, sess_no, close as entry, close * 1.5 as target, close * 0.6 as stop, isodow(session) as dow from lows where lowest and sess_no >= 20)"
 
 
 def _bars(spark, sf):
@@ -20,7 +20,8 @@ def _bars(spark, sf):
 
 
 def _signals(bars):
-    return bars.where("sess_no % 25 = 0").select(F.concat_ws("-", "ticker", "sess_no").alias("sid"), "ticker", "session", "sess_no", F.col("close").alias("entry"), (F.col("close") * 1.5).alias("target"), (F.col("close") * 0.6).alias("stop"))
+    lowest = F.col("close") == F.min("close").over(ind.by_session().rowsBetween(-19, 0))
+    return bars.withColumn("_lowest", lowest).where("_lowest and sess_no >= 20").select(F.concat_ws("-", "ticker", "sess_no").alias("sid"), "ticker", "session", "sess_no", F.col("close").alias("entry"), (F.col("close") * 1.5).alias("target"), (F.col("close") * 0.6).alias("stop"), (F.weekday("session") + 1).alias("dow"))
 
 
 @query(_SIG + """
@@ -34,7 +35,7 @@ def asof_prior_close(spark, sf):
 
 
 @query(_SIG + """
-, q as (select s.sid, s.ticker, s.sess_no, b.close * 1.01 as recorded from sig s join bars b on b.ticker = s.ticker and b.sess_no = s.sess_no - s.sess_no % 3),
+, q as (select s.sid, s.ticker, s.sess_no, b.close * 1.01 as recorded from sig s join bars b on b.ticker = s.ticker and b.sess_no = s.sess_no - s.dow % 3),
 c as (select q.sid, k.k, b.sess_no as s, abs(b.close / q.recorded - 1) * 100 as off from q, (select unnest([0, 1, 2, 3]) as k) k join bars b on b.ticker = q.ticker and b.sess_no = q.sess_no - k.k),
 g as (select sid, min(k) filter (where off <= 2) as hit, arg_min(s, k) filter (where off <= 2) as moved_to, arg_min(s, k) as own, arg_min(off, k) as off from c group by sid)
 select sid, coalesce(moved_to, own) as anchor, case when hit = 0 then 'exact' when hit is not null then 'moved' when off <= 5 then 'exact' else 'unit_mismatch' end as status from g
@@ -42,7 +43,7 @@ select sid, coalesce(moved_to, own) as anchor, case when hit = 0 then 'exact' wh
 def asof_re_anchor(spark, sf):
     bars = _bars(spark, sf)
     was = bars.select("ticker", F.col("sess_no").alias("_w"), (F.col("close") * 1.01).alias("recorded"))
-    s = _signals(bars).withColumn("_w", F.col("sess_no") - F.col("sess_no") % 3).join(was, ["ticker", "_w"]).select("sid", "ticker", "sess_no", "recorded")
+    s = _signals(bars).withColumn("_w", F.col("sess_no") - F.col("dow") % 3).join(was, ["ticker", "_w"]).select("sid", "ticker", "sess_no", "recorded")
     return replay.re_anchored(bars, s)
 
 
@@ -81,7 +82,7 @@ def replay_buy_stop(spark, sf):
 
 
 @query(_SIG + """
-, p as (select sid, ticker, sess_no, entry as spot, case sess_no // 25 % 3 when 0 then 'market' when 1 then 'pullback-limit' else 'pivot-stop' end as entry_type, case when sess_no // 25 % 3 = 1 then entry * 0.9 else entry * 1.1 end as level, entry * 0.7 as stop from sig),
+, p as (select sid, ticker, sess_no, entry as spot, case dow % 3 when 0 then 'market' when 1 then 'pullback-limit' else 'pivot-stop' end as entry_type, case when dow % 3 = 1 then entry * 0.9 else entry * 1.1 end as level, entry * 0.7 as stop from sig),
 w as (select p.*, b.sess_no - p.sess_no as k, b.open, b.high, b.low, b.close from p join bars b on b.ticker = p.ticker and b.sess_no between p.sess_no + 1 and p.sess_no + 5),
 m as (select *, case entry_type when 'market' then k = 1 when 'pullback-limit' then low <= level else high >= level end as ok, case entry_type when 'market' then open when 'pullback-limit' then least(level, open) else greatest(level, open) end as price from w),
 f as (select sid, min(k) filter (where ok) as fill_day, arg_min(price, k) filter (where ok) as fill, max(k) as n from m group by sid),
@@ -91,7 +92,7 @@ select sid, status, cast(case when status = 'filled' then fill_day end as bigint
 """)
 def entry_plan_fill(spark, sf):
     bars = _bars(spark, sf)
-    kind = F.floor(F.col("sess_no") / 25) % 3
+    kind = F.col("dow") % 3
     plans = _signals(bars).select(
         "sid", "ticker", "sess_no", F.col("entry").alias("spot"), F.when(kind == 0, "market").when(kind == 1, "pullback-limit").otherwise("pivot-stop").alias("entry_type"),
         F.when(kind == 1, F.col("entry") * 0.9).otherwise(F.col("entry") * 1.1).alias("level"), (F.col("entry") * 0.7).alias("stop"), F.lit(5).alias("valid"),
@@ -133,15 +134,15 @@ def running_mean(spark, sf):
 
 
 _BOARD = """
-, r as (select *, close / lag(close) over (partition by ticker order by session) - 1 as ret, sess_no % 7 = 0 as on_board from bars),
+, r as (select *, close / lag(close) over (partition by ticker order by session) - 1 as ret, close > lag(close, 20) over (partition by ticker order by session) as on_board from bars),
 d as (select session as day, count(*) filter (where ret is not null) as n, avg(ln(1 + ret)) filter (where on_board) / 50 as ret from r group by session)
 """
 
 
 @query(_BOARD + "select cast(day as varchar) as day, n, round(exp(sum(ln(1 + coalesce(ret, 0))) over (order by day rows unbounded preceding)) * 100, 5) as curve from d")
 def board_curve(spark, sf):
-    bars = ind.daily_returns(_bars(spark, sf))
-    daily = bars.groupBy(F.col("session").alias("day")).agg(F.count("ret").alias("n"), (F.avg(F.when(F.col("sess_no") % 7 == 0, F.log1p("ret"))) / 50).alias("ret"))
+    bars = ind.daily_returns(_bars(spark, sf)).withColumn("_on", ind.change("close", 20) > 0)
+    daily = bars.groupBy(F.col("session").alias("day")).agg(F.count("ret").alias("n"), (F.avg(F.when(F.col("_on"), F.log1p("ret"))) / 50).alias("ret"))
     return tidy(replay.compounded(daily, "day", "ret").select("day", "n", "curve"), 5)
 
 
@@ -150,11 +151,11 @@ def board_curve(spark, sf):
 select cast(day as varchar) as day, round(curve / base * 100, 5) as rebased from k, f
 """)
 def rebased_curve(spark, sf):
-    bars = ind.daily_returns(_bars(spark, sf))
-    daily = bars.groupBy(F.col("session").alias("day")).agg((F.avg(F.when(F.col("sess_no") % 7 == 0, F.log1p("ret"))) / 50).alias("ret"))
+    bars = ind.daily_returns(_bars(spark, sf)).withColumn("_on", ind.change("close", 20) > 0)
+    daily = bars.groupBy(F.col("session").alias("day")).agg((F.avg(F.when(F.col("_on"), F.log1p("ret"))) / 50).alias("ret"))
     k = replay.compounded(daily, "day", "ret")
-    base = k.where("ret is not null").agg(F.min_by("curve", "day").alias("_b"))
-    return tidy(k.join(F.broadcast(base)).select("day", (F.col("curve") / F.col("_b") * 100).alias("rebased")), 5)
+    base = k.where("ret is not null").agg(F.min_by("curve", "day")).scalar()
+    return tidy(k.select("day", (F.col("curve") / base * 100).alias("rebased")), 5)
 
 
 @query("""
@@ -175,14 +176,14 @@ def tape_check(spark, sf):
     return tidy(replay.tape(_bars(spark, sf)))
 
 
-@query("""
+@query(_SIG + """
 , t as (select *, greatest(high - low, abs(high - lag(close) over o), abs(low - lag(close) over o)) as tr from bars window o as (partition by ticker order by session)), a as (select *, avg(tr) over (partition by ticker order by session rows 13 preceding) as atr from t),
-e as (select ticker || '-' || sess_no as sid, ticker, sess_no from bars where sess_no % 100 = 0), m as (select e.sid, max(b.close) as top from e join bars b on b.ticker = e.ticker and b.sess_no >= e.sess_no group by e.sid)
+e as (select sid, ticker, sess_no from sig), m as (select e.sid, max(b.close) as top from e join bars b on b.ticker = e.ticker and b.sess_no >= e.sess_no group by e.sid)
 select sid, round(a.close - 2.5 * atr, 6) as close_stop, round(top - 2.5 * atr, 6) as trail_stop from e join m using (sid) join a on a.ticker = e.ticker and a.back = 0
 """)
 def atr_stops(spark, sf):
     bars = ind.atr(_bars(spark, sf))
-    return tidy(replay.trailing_stop(bars, bars.where("sess_no % 100 = 0").select(F.concat_ws("-", "ticker", "sess_no").alias("sid"), "ticker", "sess_no")))
+    return tidy(replay.trailing_stop(bars, _signals(bars).select("sid", "ticker", "sess_no")))
 
 
 @query(_SIG + """
@@ -193,7 +194,8 @@ def interval_high(spark, sf):
     bars = _bars(spark, sf)
     # The interval since the run day before is an island of sessions: each bar belongs to the next run day.
     w = Window.partitionBy("ticker").orderBy("sess_no").rowsBetween(0, Window.unboundedFollowing)
-    d = bars.withColumn("_run", F.min(F.when(F.col("sess_no") % 25 == 0, F.col("sess_no"))).over(w)).where("_run is not null")
+    runs = _signals(bars).select("ticker", "sess_no", F.col("sess_no").alias("_at"))
+    d = bars.join(runs, ["ticker", "sess_no"], "left").withColumn("_run", F.min("_at").over(w)).where("_run is not null")
     return tidy(d.groupBy(F.concat_ws("-", "ticker", "_run").alias("sid")).agg(F.max("high").alias("interval_high"), F.count(F.lit(1)).alias("n")))
 
 

@@ -21,6 +21,14 @@ def _bars(spark, sf):
     return numbered(supplier_bars(spark, sf))
 
 
+def _lows(bars: DataFrame) -> DataFrame:
+    """Signals: closes that are the lowest of twenty sessions."""
+    lowest = F.col("close") == F.min("close").over(ind.by_session().rowsBetween(-19, 0))
+    return bars.withColumn("_lowest", lowest).where("_lowest and sess_no >= 20").select(
+        F.concat_ws("-", "ticker", "sess_no").alias("sid"), "ticker", "sess_no", "back", "volume", F.col("close").alias("entry"), (F.col("close") * 1.5).alias("target"), (F.col("close") * 0.6).alias("stop")
+    )
+
+
 def reversion_score(rsi: Column, d5: Column, d200: Column, freq: Column, threshold: float) -> Column:
     """0 to 100: depth of the RSI (40), pullback (30), trend (15) and rarity (15), each clamped; null parts give 0."""
     clamp = lambda x, most: F.coalesce(F.least(F.greatest(x, F.lit(0.0)), F.lit(float(most))), F.lit(0.0))
@@ -84,15 +92,15 @@ def trend_filter_lite(spark, sf):
 
 
 @query("""
-, p as (select *, case when sess_no % 30 = 0 then high end as snap from bars), l as (select *, last_value(snap ignore nulls) over (partition by ticker order by session rows between unbounded preceding and 1 preceding) as latest, first_value(snap ignore nulls) over (partition by ticker order by session rows between unbounded preceding and unbounded following) as earliest from p)
-select ticker, cast(session as varchar) as session, round(coalesce(latest, earliest), 6) as pivot from l where back < 100
+, p as (select *, case when close = max(close) over (partition by ticker order by session rows 29 preceding) then high end as snap from bars), l as (select *, last_value(snap ignore nulls) over (partition by ticker order by session rows between unbounded preceding and 1 preceding) as latest, first_value(snap ignore nulls) over (partition by ticker order by session rows between unbounded preceding and unbounded following) as earliest from p)
+select ticker, cast(session as varchar) as session, round(coalesce(latest, earliest), 6) as pivot from l
 """)
 def pivot_in_force(spark, sf):
     w = ind.by_session()
-    d = _bars(spark, sf).withColumn("_s", F.when(F.col("sess_no") % 30 == 0, F.col("high")))
+    d = _bars(spark, sf).withColumn("_s", F.when(F.col("close") == F.max("close").over(w.rowsBetween(-29, 0)), F.col("high")))
     latest = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     earliest = F.first("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return tidy(d.select("ticker", "session", "back", F.coalesce(latest, earliest).alias("pivot")).where("back < 100").drop("back"))
+    return tidy(d.select("ticker", "session", F.coalesce(latest, earliest).alias("pivot")))
 
 
 @query("""
@@ -124,7 +132,7 @@ def regime_metrics(spark, sf):
     w = Window.orderBy("session")  # one row a session of the calendar
     t = index_bars(bars).select("session", F.col("index_close"), F.avg("index_close").over(w.rowsBetween(-49, 0)).alias("m50"), F.avg("index_close").over(w.rowsBetween(-199, 0)).alias("m200"), ((F.col("index_close") / F.lag("index_close", 20).over(w) - 1) * 100).alias("change_20_pct"))
     last = t.orderBy(F.col("session").desc()).limit(1).select("index_close", (F.col("index_close") > F.col("m50")).alias("above_50"), (F.col("index_close") > F.col("m200")).alias("above_200"), "change_20_pct")
-    one = last.join(F.broadcast(ind.breadth(bars).select(F.col("above_50_pct").alias("breadth_50_pct"))))
+    one = last.withColumn("breadth_50_pct", ind.breadth(bars).select("above_50_pct").scalar())
     return tidy(one.withColumn("index_close", F.round("index_close", 4)).withColumn("change_20_pct", F.round("change_20_pct", 5)))
 
 
@@ -145,26 +153,26 @@ def momentum_scan(spark, sf):
 
 
 @query("""
-, sig as (select ticker || '-' || sess_no as sid, ticker, sess_no, close as entry from bars where sess_no % 40 = 0), led as (select sid, 'WON' as outcome from sig where sess_no % 80 = 0), l as (select max(sess_no) as latest, ticker from bars group by ticker)
+, lows as (select *, close = min(close) over (partition by ticker order by session rows 19 preceding) as lowest from bars), sig as (select ticker || '-' || sess_no as sid, ticker, sess_no, close as entry, volume from lows where lowest and sess_no >= 20), led as (select sid, 'WON' as outcome from sig where volume > 50), l as (select max(sess_no) as latest, ticker from bars group by ticker)
 select s.sid, coalesce(led.outcome, case when l.latest - s.sess_no < 20 then 'O' else 'U' end) as outcome from sig s join l using (ticker) left join led using (sid)
 """)
 def ledger_outcome_join(spark, sf):
     bars = _bars(spark, sf)
-    sig = bars.where("sess_no % 40 = 0").select(F.concat_ws("-", "ticker", "sess_no").alias("sid"), "ticker", "sess_no", "back")
-    led = sig.where("sess_no % 80 = 0").select("sid", F.lit("WON").alias("outcome"))
+    sig = _lows(bars)
+    led = sig.where("volume > 50").select("sid", F.lit("WON").alias("outcome"))
     return sig.join(led, "sid", "left").select("sid", F.coalesce("outcome", F.when(F.col("back") < 20, "O").otherwise("U")).alias("outcome"))
 
 
 @query("""
-, sig as (select ticker || '-' || sess_no as sid, ticker, sess_no, close as entry, close * 1.5 as target, close * 0.6 as stop from bars where sess_no % 25 = 0), led as (select sid from sig where sess_no % 50 = 0), p as (select * from sig where sid not in (select sid from led)),
+, lows as (select *, close = min(close) over (partition by ticker order by session rows 19 preceding) as lowest from bars), sig as (select ticker || '-' || sess_no as sid, ticker, sess_no, close as entry, close * 1.5 as target, close * 0.6 as stop, volume from lows where lowest and sess_no >= 20), led as (select sid from sig where volume > 50), p as (select * from sig where sid not in (select sid from led)),
 w as (select p.sid, b.sess_no - p.sess_no as k, b.high, b.low, p.target, p.stop from p join bars b on b.ticker = p.ticker and b.sess_no between p.sess_no + 1 and p.sess_no + 10), g as (select sid, min(k) filter (where high >= target) as w, min(k) filter (where low <= stop) as l, max(k) as n from w group by sid)
 select sid, 'KEPT' as outcome from led union all select sid, case when n is null then 'no_bars' when g.w is not null and (l is null or g.w <= l) then 'WON' when l is not null then 'LOST' when n >= 10 then 'EXPIRED' else 'OPEN' end from p left join g using (sid)
 """)
 def pending_resolved(spark, sf):
     """Only signals without a ledger row are replayed, and then upserted."""
     bars = _bars(spark, sf)
-    sig = bars.where("sess_no % 25 = 0").select(F.concat_ws("-", "ticker", "sess_no").alias("sid"), "ticker", "sess_no", F.col("close").alias("entry"), (F.col("close") * 1.5).alias("target"), (F.col("close") * 0.6).alias("stop"))
-    ledger = sig.where("sess_no % 50 = 0").select("sid", F.lit("KEPT").alias("outcome"))
+    sig = _lows(bars)
+    ledger = sig.where("volume > 50").select("sid", F.lit("KEPT").alias("outcome"))
     pending = sig.join(ledger.select("sid"), "sid", "left_anti")
     return upsert(ledger, replay.target_stop(bars, pending, 10).select("sid", "outcome"), ["sid"])
 
@@ -212,8 +220,8 @@ select ticker, ts < now - 30 * 86400 as refresh from u, m
 """)
 def sector_cache_ttl(spark, sf):
     u = table(spark, sf, "sector_updates").where("ticker is not null and ts is not null").groupBy("ticker").agg(F.max("ts").alias("ts"))
-    now = u.agg(F.max("ts").alias("_now"))
-    return u.join(F.broadcast(now)).select("ticker", (F.col("ts") < F.col("_now") - 30 * 86400).alias("refresh"))
+    now = u.agg(F.max("ts")).scalar()
+    return u.select("ticker", (F.col("ts") < now - 30 * 86400).alias("refresh"))
 
 
 @plain("""
@@ -268,8 +276,7 @@ select period, count(*) as n, round(sum(o_totalprice), 2) as total from w group
 """)
 def period_windows(spark, sf):
     o = table(spark, sf, "orders").select("o_orderdate", "o_totalprice")
-    last = o.agg(F.max("o_orderdate").alias("_l"))
-    d = o.join(F.broadcast(last))
+    d = o.withColumn("_l", o.agg(F.max("o_orderdate")).scalar())
     period = F.when(F.col("o_orderdate") > F.col("_l") - F.expr("interval 30 day"), "1mo").when(F.col("o_orderdate") > F.col("_l") - F.expr("interval 365 day"), "1y").when(F.year("o_orderdate") == F.year("_l"), "ytd").otherwise("max")
     return tidy(d.groupBy(period.alias("period")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), 2)
 
