@@ -28,7 +28,7 @@ def p7_top(spark: SparkSession, sf: str) -> DataFrame:
     picks = table(spark, sf, "mom_history").select("run_id", "ticker", "score", "rank", "logged_at").where("run_id is not null and ticker is not null")
     last = picks.groupBy("run_id", "ticker").agg(F.max_by(F.struct("score", "rank"), F.struct("logged_at", "score", "rank")).alias("p"))
     last = last.select("run_id", "ticker", "p.score", "p.rank").where("score is not null and not isnan(score)")
-    return topn.top_n(last, ["run_id"], [("score", True), ("rank", False), ("ticker", False)], 10, ["run_id", "ticker"])
+    return topn.top_n(last, ["run_id"], [("score", True), ("rank", False), ("ticker", False)], 10)  # the aggregation has spread them by run_id and ticker
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.neighbours import neighbours
+from barloom.session import materialize
 
 
 def collapse_runs(events: DataFrame, keys: list[str], order: str, value: str, at: str, segment: Column) -> DataFrame:
@@ -19,7 +20,7 @@ def collapse_runs(events: DataFrame, keys: list[str], order: str, value: str, at
     """
     d = events.select(*keys, order, value, at).withColumn("_seg0", segment)
     piece = F.col("_seg0")
-    d = neighbours(d, keys, [order], piece, lag={"_pv": value, "_po": order, "_pa": at}, lead={"_no": order})
+    d = materialize(neighbours(materialize(d, "events"), keys, [order], piece, lag={"_pv": value, "_po": order, "_pa": at}, lead={"_no": order}), "placed")
     starts = d.where((F.col("pos") == 1) | ~F.col(value).eqNullSafe(F.col("_pv"))).select(*keys, "_seg0", order, value, at, F.col("pos").alias("_pos"), "_po", "_pa")
     ends = d.where("_no is null").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("pos").alias("_n"), F.col(order).alias("_eo"), F.col(at).alias("_ea"))
     runs = neighbours(starts, keys, [order], piece, lead={"_np": "_pos", "_lo": "_po", "_la": "_pa"})

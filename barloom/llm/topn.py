@@ -137,21 +137,23 @@ def _merge(n: int, key_of: list[tuple[str, bool]], schema_cols: list[str]) -> Ca
     return merge
 
 
-def top_n(items: DataFrame, group: list[str], order: list[tuple[str, bool]], n: int, spread: list[str]) -> DataFrame:
+def top_n(items: DataFrame, group: list[str], order: list[tuple[str, bool]], n: int, spread: list[str] | None = None) -> DataFrame:
     """The n first items of every group by ``order`` (column, descending), with their ``place`` from 1.
 
     Nulls come last in either direction; NaN counts as the greatest number, so leave such rows out first. Items tied in
     all of ``order`` are taken in any order, so end it with a column unique in a group. Groups with a null in ``group``
     are groups too. Fewer than n items are all given; an empty table gives no rows.
 
-    Items are dealt to runs by ``spread``, so a group of any size is spread over all tasks, and sorted by group and
+    Items are dealt to runs by ``spread``, so a group of any size is spread over all tasks, or left where they are if
+    ``spread`` is None (they are spread already, as after an aggregation by more than the group), and sorted by group and
     order. Each run gives the first n of each group and seeks the next; runs of a group, at most n rows from each task,
     then meet and are merged by a loser tree that stops after n.
     """
     cols = items.columns
     by = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in order]
     name = F.to_json(F.struct(*group), {"ignoreNullFields": "false"})
-    runs = items.withColumn("_group", name).repartition(*spread).sortWithinPartitions("_group", *by)
+    dealt = items.repartition(*spread) if spread else items
+    runs = dealt.withColumn("_group", name).sortWithinPartitions("_group", *by)
     first = runs.mapInArrow(_first_of_groups(n), runs.schema)
     met = first.withColumn("_run", F.spark_partition_id()).repartition("_group").sortWithinPartitions("_group", "_run", *by)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
