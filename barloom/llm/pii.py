@@ -70,7 +70,8 @@ _PHONE_CUE = re.compile(r"(?:phone|tel\.?|telefon|telephone|teléfono|call|callb
 _W = r"[A-ZÀ-ÖØ-Þ][\w'’.-]*"
 _TYPES = r"(?:STREET|Street|street|ST\b\.?|St\b\.?|ROAD|Road|RD\b\.?|Rd\b\.?|LANE|Lane|LN\b\.?|Ln\b\.?|DRIVE|Drive|DR\b\.?|Dr\b\.?|AVENUE|Avenue|AVE\b\.?|Ave\b\.?|BOULEVARD|Boulevard|BLVD\b\.?|Blvd\b\.?|TERRACE|Terrace|COURT|Court|CT\b\.?|Ct\b\.?|YARD|Yard|WAY|Way|PLACE|Place|SQUARE|Square|CLOSE|Close|CRESCENT|Crescent|PARKWAY|Parkway|ROW|Row|WALK|Walk|MEWS|Mews|GARDENS|Gardens)"
 _UNIT = r"(?:(?:,\s?|\s?\n|\s)(?:(?:APT|Apt|SUITE|Suite|STE|Ste|UNIT|Unit|FLAT|Flat|FLOOR|Floor|RM|Room)\b\.?\s?[\w-]{1,5}|\#\s?\w{1,5}))?"
-_CITY = rf"{_W}(?:[ -]{_W}){{0,2}}"
+_CITY_WORD = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
+_CITY = rf"{_CITY_WORD}(?:[ -]{_CITY_WORD}){{0,2}}"
 _POST = r"(?:,?\s[A-Z]{2}\s\d{5}(?:-\d{4})?|,?\s\d{5}|,?\s[A-Z]{1,2}\d[A-Z\d]?\s\d[A-Z]{2})"
 _TOWN = rf"(?:(?:,\s?|\s?\n){_CITY}?{_POST}(?!\d)|,\s(?:{_CITY})(?=[.;:)\]\"|\n]|,\s\d|\son\s|\sas\s|\savant\s|\santes\s|\sund?\s|\s-\s|\s/\s|。|，|；|$))?"
 _ADDRESS = re.compile(
@@ -91,6 +92,10 @@ _STREET_WORDS = {
     **dict.fromkeys(("str. ", "straße ", "strasse ", "gasse ", "weg ", "platz ", "kamp ", "graben ", "allee ", "ufer ", "ring ", "damm ", "hof ", "Straße "), "de"),
 }
 _STREET_WORDS |= {f" {form}": "en" for word in "Street St Road Rd Lane Ln Drive Dr Avenue Ave Boulevard Blvd Terrace Court Ct Yard Way Place Square Close Crescent Parkway Row Walk Mews Gardens".split() for form in (word, word.upper())}
+#: A town where its end is sure: between a comma and a postcode, or between a postcode and punctuation.
+_TOWN_SURE = re.compile(rf"(?:, ({_CITY}),? (?:[A-Z]{{2}} )?(?<!\d)\d{{5}}(?!\d)|(?<!\d)\d{{5}} ({_CITY})(?=[.,;:)\n]|$))")
+_TOWN_LAST = re.compile(rf"(\d{{5}}\s)({_CITY})$")
+_TOWN_NEXT = re.compile(rf", ({_CITY})")
 _DE = re.compile(r"(?:(?:Am|An der|Im|Zum|Zur|Alte[rs]?|Neue[rs]?|Große[rs]?|Kleine[rs]?) )?[A-ZÄÖÜ][\wäöüß-]*\.?$")
 _ADDRESS_CUE = re.compile(r"(?:\bat|to|moved:|is at|jetzt|\bà|\ban|\ba|c/o [^\n]{2,40},|lists|live[sd]? (?:at|in)|address:?|Adresse:?|[-/|])\s$", re.I)
 #: Streets that stand for a trade, and what follows a street's name in a firm's.
@@ -128,8 +133,9 @@ class Names:
     """The names to look for: their forms in one automaton with the signs of addresses and emails, and which are given and
     family names."""
 
-    def __init__(self, given: set[str], family: set[str]):
-        self.forms = (set(given), set(family))
+    def __init__(self, given: set[str], family: set[str], towns: set[str] = frozenset()):
+        self.forms = (set(given), set(family), set(towns))
+        self.towns = {x.lower() for x in towns}
         self.given, self.family = {x.lower() for x in given}, {x.lower() for x in family}
         self.all = self.given | self.family
         self.auto = ahocorasick.Automaton()
@@ -250,7 +256,13 @@ _GOES_ON = re.compile(r"\s(?!as\b|is\b|has\b|was\b)(?:[a-z]+s\b|Capital|Group|Ho
 _BREAK = re.compile(r"[.,;]?\s*(?:\n|$)")
 
 
-def _addresses(t: str, words: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+def _town(words: str, towns: set[str]) -> str | None:
+    """The longest start of some words that is a known town."""
+    parts = words.split(" ")
+    return next((" ".join(parts[:k]) for k in range(len(parts), 0, -1) if " ".join(parts[:k]).lower() in towns), None)
+
+
+def _addresses(t: str, words: list[tuple[int, int, str]], towns: set[str]) -> Iterator[tuple[int, int, str]]:
     """``words``: start, end and language of street words found in the text."""
     starts, size = [], len(t)
     for a, b, lang in words:
@@ -273,6 +285,11 @@ def _addresses(t: str, words: list[tuple[int, int, str]]) -> Iterator[tuple[int,
         a, s = m.start(), m.group().rstrip(",;: ")
         if s[-1] == "." and not _DOTTED.search(s):
             s = s[:-1]
+        if last := _TOWN_LAST.search(s):
+            if known := _town(last.group(2), towns):
+                s = s[: last.start(2) + len(known)]
+        elif (more := _TOWN_NEXT.match(t, a + len(s))) and (known := _town(more.group(1), towns)):
+            s += ", " + known
         b = end = a + len(s)
         before, after = t[max(0, a - 48) : a], t[b : b + 12]
         full = bool(_CODE.search(s[6:]))
@@ -451,7 +468,7 @@ def candidates_of(text: str, names: Names) -> list[tuple[int, int, int, str, lis
                 keep(k, a, b, votes)
         taken += own
         own = []
-    for a, b, votes in _addresses(t, streets):
+    for a, b, votes in _addresses(t, streets, names.towns):
         keep(3, a, b, votes)
     taken += own
     taken.sort()
@@ -479,6 +496,9 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     auto = _cue_automaton()
     for batch in batches:
         for t in batch.column(0).to_pylist():
+            for m in _TOWN_SURE.finditer(t or ""):
+                if len(m.group(1) or m.group(2)) > 2:  # a state's letters are no town
+                    counts[m.group(1) or m.group(2), 0, "town"] += 1
             for last, (kind, size, after) in auto.iter(t or ""):
                 start, end = last + 1 - size, last + 1
                 if after:
@@ -508,11 +528,13 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_names(documents: DataFrame, text: str, lexicon: DataFrame) -> Names:
     """The lexicon's names and those learned: words that stand in at least SLOT_KINDS kinds of slots of the corpus.
 
-    Slots are counted over all texts, first in each task. Learned names are at most MAX_NAMES (the commonest), which
+    Towns are learned likewise, from places between a comma and a postcode or a postcode and punctuation. Slots are
+    counted over all texts, first in each task. Learned names are at most MAX_NAMES (the commonest), which
     bounds what the driver and each worker hold; the lexicon is a fixed table.
     """
-    seen = documents.select(F.col(text).cast("string")).mapInArrow(_slots, "word string, place int, slot string, n long")
-    per = seen.groupBy("word").agg(F.count_distinct("slot").alias("kinds"), F.sum("n").alias("n"), F.sum(F.when(F.col("place") == 1, F.col("n")).otherwise(0)).alias("later"))
+    seen = materialize(documents.select(F.col(text).cast("string")).mapInArrow(_slots, "word string, place int, slot string, n long"), "slots")
+    per = seen.where("slot <> 'town'").groupBy("word").agg(F.count_distinct("slot").alias("kinds"), F.sum("n").alias("n"), F.sum(F.when(F.col("place") == 1, F.col("n")).otherwise(0)).alias("later"))
+    towns = {r["word"] for r in seen.where("slot = 'town'").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.col("n").desc(), "word").limit(MAX_NAMES).collect()}
     rows = per.where(F.col("kinds") >= SLOT_KINDS).orderBy(F.col("n").desc(), "word").limit(MAX_NAMES).collect()
     given = {r["name"] for r in lexicon.where("kind = 'given' and name is not null").collect()}
     family = {r["name"] for r in lexicon.where("kind = 'family' and name is not null").collect()}
@@ -520,7 +542,7 @@ def learn_names(documents: DataFrame, text: str, lexicon: DataFrame) -> Names:
     for r in rows:
         if r["word"] not in known:
             (family if r["later"] * 2 > r["n"] else given).add(r["word"])
-    return Names(given, family)
+    return Names(given, family, towns)
 
 
 def find_candidates(documents: DataFrame, id_column: str, text: str, names: Names) -> DataFrame:
