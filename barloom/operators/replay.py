@@ -68,29 +68,45 @@ def target_stop(bars: DataFrame, signals: DataFrame, horizon: int, gaps: bool =
     )
 
 
-def buy_stop(bars: DataFrame, listings: DataFrame, horizon: int = 20, stop_pct: float = 8) -> DataFrame:
-    """Listed pivots (sid, ticker, sess_no, last_no, pivot) as buy-stop orders: sid, outcome, trigger_day, fill, ret_h, trade_pct.
-
-    The order works from the session after the first listing through the one after the last; a high at the pivot fills
-    at the pivot or a higher open. The stop is ``stop_pct`` below the fill and on the trigger day is judged by the close.
-    trade_pct is the stop's loss or the return at the horizon, null while undecided. Without a trigger the outcome is
-    BROKE_DOWN if a close in the window was 8 % under the first one, else FADED; PENDING until the window has passed.
+def buy_stop(bars: DataFrame, listings: DataFrame, horizon: int = 20, stop_pct: float = 8, entry: str = "touch", max_cut: int | None = None, surge: float = 1.5) -> DataFrame:
+    """Listed pivots (sid, ticker, sess_no, last_no, pivot) as buy-stop orders: sid, outcome, trigger_day, fill, ret_5, ret_h,
+    fellback_5, trade_pct, exit_day.
+
+    The order works from the session after the first listing through the one after the last. ``entry`` touch triggers on
+    a high at the pivot and fills there, or at a higher open; close triggers on a close at it, confirmed also needs
+    ``surge`` times the mean volume of the 20 sessions before, and both fill at the next open. Day 0 is that of the fill.
+    The stop is ``stop_pct`` below it, on day 0 of a touch judged by the close. With ``max_cut`` a close under the pivot on
+    day 1 to max_cut ends the trade there, unless the stop came first. Otherwise it ends at the horizon; undecided trades
+    have null results. Without a trigger the outcome is BROKE_DOWN if a close in the window was 8 % under the first one,
+    else FADED; PENDING until the window has passed.
     """
-    b = bars.select("ticker", F.col("sess_no").alias("_s"), "open", "high", "low", "close")
+    before = F.avg("volume").over(Window.partitionBy("ticker").orderBy("sess_no").rowsBetween(-20, -1))
+    b = bars.select("ticker", F.col("sess_no").alias("_s"), "open", "high", "low", "close", (F.col("volume") >= surge * before).alias("_surge"))
     at = listings.withColumn("_s", F.explode(F.sequence(F.col("sess_no"), F.col("last_no") + 1))).join(b, ["ticker", "_s"])
     inside = F.col("_s") > F.col("sess_no")
-    w = at.groupBy("sid").agg(
-        F.min(F.when(inside & (F.col("high") >= F.col("pivot")), F.col("_s"))).alias("_t"), F.max("_s").alias("_end"), F.min(F.when(inside, F.col("close"))).alias("_low"), F.min_by("close", "_s").alias("_c0")
-    )
+    hits = F.col("high") >= F.col("pivot") if entry == "touch" else F.col("close") >= F.col("pivot")
+    hits = hits & F.col("_surge") if entry == "confirmed" else hits
+    w = at.groupBy("sid").agg(F.min(F.when(inside & hits, F.col("_s"))).alias("_t"), F.max("_s").alias("_end"), F.min(F.when(inside, F.col("close"))).alias("_low"), F.min_by("close", "_s").alias("_c0"))
     d = listings.join(w, "sid", "left")
-    hit = d.where("_t is not null").select("sid", "ticker", "pivot", "_t", F.explode(F.sequence(F.lit(0), F.lit(horizon))).alias("k")).withColumn("_s", F.col("_t") + F.col("k")).join(b, ["ticker", "_s"])
-    fill = F.greatest("pivot", F.max(F.when(F.col("k") == 0, F.col("open"))).over(Window.partitionBy("sid")))
-    hit = hit.withColumn("fill", fill).withColumn("_test", F.when(F.col("k") == 0, F.col("close")).otherwise(F.col("low")))
-    r = hit.groupBy("sid").agg(F.first("fill").alias("fill"), F.min(F.when(F.col("_test") <= F.col("fill") * (1 - stop_pct / 100), F.col("k"))).alias("_stop"), F.max(F.when(F.col("k") == horizon, F.col("close"))).alias("_ch"))
+    first = F.col("_t") if entry == "touch" else F.col("_t") + 1
+    path = d.where("_t is not null").select("sid", "ticker", "pivot", first.alias("_f"), F.explode(F.sequence(F.lit(0), F.lit(horizon))).alias("k")).withColumn("_s", F.col("_f") + F.col("k")).join(b, ["ticker", "_s"])
+    start = F.max(F.when(F.col("k") == 0, F.col("open"))).over(Window.partitionBy("sid"))
+    path = path.withColumn("fill", F.greatest("pivot", start) if entry == "touch" else start).where("fill is not null")
+    test = F.when(F.col("k") == 0, F.col("close")).otherwise(F.col("low")) if entry == "touch" else F.col("low")
+    under = F.col("close") < F.col("pivot")
+    r = path.withColumn("_test", test).groupBy("sid").agg(
+        F.first("fill").alias("fill"), F.min(F.when(F.col("_test") <= F.col("fill") * (1 - stop_pct / 100), F.col("k"))).alias("_stop"), F.max(F.when(F.col("k") == 5, F.col("close"))).alias("_c5"), F.max(F.when(F.col("k") == horizon, F.col("close"))).alias("_ch"),
+        F.bool_or(under & F.col("k").between(1, 5)).alias("fellback_5"), F.min(F.when(under & F.col("k").between(1, max_cut or 0), F.col("k"))).alias("_cut"), F.min_by("close", F.when(under & F.col("k").between(1, max_cut or 0), F.col("k"))).alias("_cc"),
+    )
     d = d.join(r, "sid", "left")
-    ret = (F.col("_ch") / F.col("fill") - 1) * 100
+    pct = lambda c: (F.col(c) / F.col("fill") - 1) * 100
+    stopped = F.col("_stop").isNotNull() & (F.col("_cut").isNull() | (F.col("_stop") <= F.col("_cut")))
     outcome = F.when(F.col("_t").isNotNull(), "TRIGGERED").when(F.col("_end").isNull() | (F.col("_end") <= F.col("last_no")), "PENDING").when((F.col("_low") / F.col("_c0") - 1) * 100 <= -8, "BROKE_DOWN").otherwise("FADED")
-    return d.select("sid", outcome.alias("outcome"), (F.col("_t") - F.col("sess_no")).alias("trigger_day"), "fill", ret.alias("ret_h"), F.when(F.col("_stop").isNotNull(), F.lit(-float(stop_pct))).otherwise(ret).alias("trade_pct"))
+    return d.select(
+        "sid", outcome.alias("outcome"), (F.col("_t") - F.col("sess_no")).alias("trigger_day"), "fill", pct("_c5").alias("ret_5"), pct("_ch").alias("ret_h"), "fellback_5",
+        F.when(stopped, F.lit(-float(stop_pct))).when(F.col("_cut").isNotNull(), pct("_cc")).otherwise(pct("_ch")).alias("trade_pct"),
+        F.when(stopped, F.col("_stop")).when(F.col("_cut").isNotNull(), F.col("_cut")).when(F.col("_ch").isNotNull(), horizon).alias("exit_day"),
+    )
 
 
 def entry_plans(bars: DataFrame, plans: DataFrame, gap_pct: float = 3) -> DataFrame:

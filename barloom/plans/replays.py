@@ -73,12 +73,15 @@ def replay_gap_aware(spark, sf):
 a as (select l.*, b.sess_no as s, b.high, b.close from l join bars b on b.ticker = l.ticker and b.sess_no between l.sess_no and l.last_no + 1),
 w as (select sid, min(s) filter (where s > sess_no and high >= pv) as t, max(s) as e, min(close) filter (where s > sess_no) as lo, arg_min(close, s) as c0 from a group by sid),
 f as (select l.*, w.t, w.e, w.lo, w.c0, greatest(l.pv, b.open) as fill from l left join w using (sid) left join bars b on b.ticker = l.ticker and b.sess_no = w.t),
-x as (select f.sid, min(b.sess_no - f.t) filter (where case when b.sess_no = f.t then b.close else b.low end <= f.fill * 0.92) as k, max(b.close) filter (where b.sess_no = f.t + 20) as ch from f join bars b on b.ticker = f.ticker and b.sess_no between f.t and f.t + 20 where f.t is not null group by f.sid)
-select sid, case when t is not null then 'TRIGGERED' when e is null or e <= last_no then 'PENDING' when (lo / c0 - 1) * 100 <= -8 then 'BROKE_DOWN' else 'FADED' end as outcome, t - sess_no as trigger_day, round(case when t is not null then fill end, 6) as fill, round(case when t is not null then (ch / fill - 1) * 100 end, 6) as ret_h, round(case when k is not null then -8.0 when t is not null then (ch / fill - 1) * 100 end, 6) as trade_pct from f left join x using (sid)
+x as (select f.sid, min(b.sess_no - f.t) filter (where case when b.sess_no = f.t then b.close else b.low end <= f.fill * 0.92) as k, max(b.close) filter (where b.sess_no = f.t + 5) as c5, max(b.close) filter (where b.sess_no = f.t + 20) as ch, bool_or(b.close < f.pv and b.sess_no - f.t between 1 and 5) as fb,
+  min(b.sess_no - f.t) filter (where b.close < f.pv and b.sess_no - f.t between 1 and 3) as cut, arg_min(b.close, b.sess_no) filter (where b.close < f.pv and b.sess_no - f.t between 1 and 3) as cc from f join bars b on b.ticker = f.ticker and b.sess_no between f.t and f.t + 20 where f.t is not null group by f.sid)
+select sid, case when t is not null then 'TRIGGERED' when e is null or e <= last_no then 'PENDING' when (lo / c0 - 1) * 100 <= -8 then 'BROKE_DOWN' else 'FADED' end as outcome, t - sess_no as trigger_day, round(case when t is not null then fill end, 6) as fill, round(case when t is not null then (ch / fill - 1) * 100 end, 6) as ret_h, round(case when t is not null then (c5 / fill - 1) * 100 end, 6) as ret_5, cast(fb as varchar) as fellback_5, round(case when k is not null and (cut is null or k <= cut) then -8.0 when cut is not null then (cc / fill - 1) * 100 when t is not null then (ch / fill - 1) * 100 end, 6) as trade_pct,
+  cast(case when k is not null and (cut is null or k <= cut) then k when cut is not null then cut when ch is not null then 20 end as int) as exit_day from f left join x using (sid)
 """)
 def replay_buy_stop(spark, sf):
     bars = _bars(spark, sf)
-    return tidy(replay.buy_stop(bars, _signals(bars).select("sid", "ticker", "sess_no", (F.col("sess_no") + 5).alias("last_no"), (F.col("entry") * 1.2).alias("pivot"))))
+    listed = _signals(bars).select("sid", "ticker", "sess_no", (F.col("sess_no") + 5).alias("last_no"), (F.col("entry") * 1.2).alias("pivot"))
+    return tidy(replay.buy_stop(bars, listed, max_cut=3)).withColumn("fellback_5", F.col("fellback_5").cast("string"))
 
 
 @query(_SIG + """
@@ -214,4 +217,18 @@ def common_sample_horizons(spark, sf):
     return tidy(a.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.avg("ret") * 100).alias("mean_pct"), (F.avg(F.col("ret") / F.col("h")) * 100).alias("per_day_pct"), (F.avg(d) * 100).alias("delta_pct"), (F.stddev_samp(d) * 1.96 / F.sqrt(F.count(F.lit(1))) * 100).alias("ci_pct")), 5)
 
 
+@query(_SIG + """
+, v as (select *, avg(volume) over (partition by ticker order by sess_no rows between 20 preceding and 1 preceding) as va from bars), l as (select sid, ticker, sess_no, sess_no + 5 as last_no, entry * 1.2 as pv from sig),
+a as (select l.*, b.sess_no as s, b.close, b.volume, b.va from l join v b on b.ticker = l.ticker and b.sess_no between l.sess_no and l.last_no + 1),
+w as (select sid, min(s) filter (where s > sess_no and close >= pv and volume >= 1.5 * va) as t, max(s) as e, min(close) filter (where s > sess_no) as lo, arg_min(close, s) as c0 from a group by sid),
+f as (select l.*, w.t, w.e, w.lo, w.c0, b.open as fill from l left join w using (sid) left join bars b on b.ticker = l.ticker and b.sess_no = w.t + 1),
+x as (select f.sid, min(b.sess_no - f.t - 1) filter (where b.low <= f.fill * 0.92) as k, max(b.close) filter (where b.sess_no = f.t + 11) as ch from f join bars b on b.ticker = f.ticker and b.sess_no between f.t + 1 and f.t + 11 where f.fill is not null group by f.sid)
+select sid, case when t is not null then 'TRIGGERED' when e is null or e <= last_no then 'PENDING' when (lo / c0 - 1) * 100 <= -8 then 'BROKE_DOWN' else 'FADED' end as outcome, round(fill, 6) as fill, round(case when k is not null then -8.0 else (ch / fill - 1) * 100 end, 6) as trade_pct from f left join x using (sid)
+""")
+def replay_confirmed_entry(spark, sf):
+    bars = _bars(spark, sf)
+    listed = _signals(bars).select("sid", "ticker", "sess_no", (F.col("sess_no") + 5).alias("last_no"), (F.col("entry") * 1.2).alias("pivot"))
+    return tidy(replay.buy_stop(bars, listed, horizon=10, entry="confirmed").select("sid", "outcome", "fill", "trade_pct"))
+
+
 QUERIES, SQL = query.queries, query.sql

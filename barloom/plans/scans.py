@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.calendar import trading_days
+from barloom.operators import bases
 from barloom.operators import indicators as ind
 from barloom.operators import replay
-from barloom.plans.market import _MOMENTUM, _RATING, _RSI, BARS
+from barloom.plans.market import _BASES, _MOMENTUM, _RATING, _RSI, BARS
 from barloom.plans.registry import Registry, tidy
 from barloom.session import table
 from barloom.sources.bars import index_bars, numbered, supplier_bars
@@ -306,4 +307,37 @@ def state_forward(spark, sf):
     return tidy(d.groupBy("state").agg(n.alias("n"), (n / 20).alias("independent_n"), F.round(F.avg("fwd_20"), 4).alias("mean_fwd"), (F.avg((F.col("fwd_20") > 0).cast("int")) * 100).alias("win_pct")))
 
 
+_SCAN = _BASES[: _BASES.index("select ticker, \"offset\"")] + ", bs as (" + _BASES[_BASES.index("select ticker, \"offset\"") :].strip() + ")" + _RATING.replace(", m as", ", ms as").replace("from m where back", "from ms where back") + """
+, wd as (select *, case when sess_no >= 20 then stddev_samp(close) over w * 4 / avg(close) over w end as width from bars window w as (partition by ticker order by session rows 19 preceding)), wl as (select *, first_value(width) over (partition by ticker order by back) as last from wd where back < 126),
+bb as (select ticker, case when count(width) = 126 then count(*) filter (where width < last) / 126 * 100 end as bb_pctile from wl group by ticker)
+select ticker, days, round(quality, 6) as quality, round(bb_pctile, 6) as bb_pctile, round(rs_rating, 6) as rs_rating, case when breakout_day and today_ratio >= 1.5 then '🚀' when to_pivot_pct between -3 and 0 and bb_pctile < 25 and dryup < 0.95 then '🔥' when to_pivot_pct >= -10 and to_pivot_pct < -3 and bb_pctile < 30 then '⏳' else '📊' end as signal, row_number() over (order by quality desc, ticker) as rank
+from bs left join bb using (ticker) left join rs using (ticker)
+"""
+
+
+@query(_SCAN)
+def breakout_scan(spark, sf):
+    """Bases with their squeeze, rating, signal class and rank; the test prices are wild, so width and gate are open."""
+    bars = _bars(spark, sf)
+    d = bases.detect_bases(bars, max_width=99, from_high=99).join(ind.band_percentile(bars).select("ticker", "bb_pctile"), "ticker", "left").join(ind.relative_strength(bars).select("ticker", "rs_rating"), "ticker", "left")
+    p, b = F.col("to_pivot_pct"), F.col("bb_pctile")
+    signal = F.when(F.col("breakout_day") & (F.col("today_ratio") >= 1.5), "🚀").when(p.between(-3, 0) & (b < 25) & (F.col("dryup") < 0.95), "🔥").when((p >= -10) & (p < -3) & (b < 30), "⏳").otherwise("📊")
+    rank = F.row_number().over(Window.orderBy(F.col("quality").desc(), "ticker"))  # one row a ticker
+    return tidy(d.select("ticker", "days", "quality", "bb_pctile", "rs_rating", signal.alias("signal"), rank.alias("rank")))
+
+
+@plain("""
+with o as (select distinct * from outcomes), s as (select count(*) as signals from (select distinct signal_id from signals)), w as (select count(*) filter (where outcome = 'OPEN') as open, count(*) filter (where outcome = 'WON') as won from o), t as (select count(distinct ticker) as tickers from appearances where ticker is not null),
+u as (select max(run_day) as latest from run_days) select latest, tickers, signals, open, won from u, t, s, w
+""")
+def daily_packet(spark, sf):
+    """One row from several sources, each a scalar subquery; a source without rows leaves its fields null or 0."""
+    o = table(spark, sf, "outcomes").distinct()
+    n = lambda d: d.agg(F.count(F.lit(1))).scalar()
+    return spark.range(1).select(
+        table(spark, sf, "run_days").agg(F.max("run_day")).scalar().alias("latest"), n(table(spark, sf, "appearances").where("ticker is not null").select("ticker").distinct()).alias("tickers"),
+        n(table(spark, sf, "signals").select("signal_id").distinct()).alias("signals"), n(o.where("outcome = 'OPEN'")).alias("open"), n(o.where("outcome = 'WON'")).alias("won"),
+    )
+
+
 QUERIES, SQL = query.queries | plain.queries, query.sql | plain.sql

@@ -38,6 +38,12 @@ def long_enough(bars: DataFrame, column: str, sessions: int) -> DataFrame:
     return kept.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("ticker"))).where(F.col("_n") >= sessions).drop("_n")
 
 
+def completed(bars: DataFrame, now: str, close_minute: int = 960) -> DataFrame:
+    """Bars without the session that isn't over at ``now`` (New York time): today's, before ``close_minute`` of the day."""
+    at = F.lit(now).cast("timestamp_ntz")
+    return bars.where((F.col("session") < at.cast("date")) | ((F.col("session") == at.cast("date")) & (F.hour(at) * 60 + F.minute(at) >= close_minute)))
+
+
 def index_bars(bars: DataFrame) -> DataFrame:
     """An index: the mean close of all tickers by session."""
     return bars.groupBy("session").agg(F.avg("close").alias("index_close"))
