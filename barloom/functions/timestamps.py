@@ -72,13 +72,19 @@ def _once(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
 
 
+def _regions(df: DataFrame) -> list[str]:
+    """The zone names that the JVM knows, some 600; another name would fail the job."""
+    return sorted(df.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds().toArray())
+
+
 def normalise_times(df: DataFrame, text: str, zone: str = "zone", day_first: str = "day_first", out: str = "at", cascade: tuple[Pattern, ...] = CASCADE) -> DataFrame:
-    """Add struct ``out`` of ``instant`` (timestamp_ntz in UTC) and ``day`` (the date written, where no time of day is).
+    """Add struct ``out`` of ``instant`` (timestamp_ntz in UTC), ``day`` (the date written, where no time of day is) and
+    ``midnight`` (the instant at which that day begins in the source's zone).
 
-    ``zone`` and ``day_first`` name columns with the source's defaults, such as with_source() adds. Both fields are null
-    for null, blank and unreadable texts, impossible dates and times, weekdays that don't fit, texts without a zone
-    whose source has none, and slashed dates that need a missing day_first. Digits finer than a microsecond are cut.
-    A date without time of day gives only ``day``.
+    ``zone`` and ``day_first`` name columns with the source's defaults, such as with_source() adds. All fields are null
+    for null, blank and unreadable texts, impossible dates and times, weekdays that don't fit, unknown zones, texts
+    without a zone whose source has none, and slashed dates that need a missing day_first. Digits finer than a microsecond are cut.
+    A date without time of day gives no ``instant``.
     """
     t, z0 = F.col("_t"), F.col(zone)
     d = _once(df, _t=F.regexp_replace(F.col(text), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
@@ -113,12 +119,14 @@ def normalise_times(df: DataFrame, text: str, zone: str = "zone", day_first: str
     named = F.create_map(*[F.lit(v) for name, h in ZONE_HOURS.items() for v in (name, int(h * 60))])
     minutes = F.coalesce(minutes, F.try_element_at(named, F.upper(x("z"))))
     region = F.when(x("z").isNull(), z0).when(x("z").startswith("["), F.expr("substring(_x_z, 2, length(_x_z) - 2)"))
-    region = F.when(region.rlike(r"^(UTC|GMT|[A-Za-z_]+/[A-Za-z_+-]+(?:/[A-Za-z_+-]+)?)$"), region)
+    region = F.when(region.isin(*_regions(df)), region)
     d = _once(d, _local=F.when(fine, local), _min=minutes, _region=region)
     at_offset = F.expr("_local - make_dt_interval(0, 0, _min, 0)")
     epoch = F.expr("timestamp_ntz '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(_x_e as decimal(12,0)) + cast(_us as decimal(10,0)) * cast(0.000001 as decimal(7,6)))")
     instant = F.when(x("e").isNotNull(), epoch).when(F.col("_min").isNotNull(), at_offset).when(F.col("_region").isNotNull(), _utc(F.col("_local"), F.col("_region")))
-    return _once(d, _at=instant).select(*df.columns, F.struct(F.col("_at").alias("instant"), F.when(x("h").isNull() & x("e").isNull(), F.col("_day")).alias("day")).alias(out))
+    d = _once(d, _at=instant, _only=F.when(x("h").isNull() & x("e").isNull(), F.col("_day")))
+    midnight = F.when(F.col("_region").isNotNull(), _utc(F.col("_only").cast("timestamp_ntz"), F.col("_region")))
+    return d.select(*df.columns, F.struct(F.col("_at").alias("instant"), F.col("_only").alias("day"), midnight.alias("midnight")).alias(out))
 
 
 def with_source(df: DataFrame, sources: DataFrame, key: str = "source") -> DataFrame:
@@ -129,8 +137,7 @@ def with_source(df: DataFrame, sources: DataFrame, key: str = "source") -> DataF
 
 def instant_text(at: str = "at") -> Column:
     """The instant as yyyy-MM-ddTHH:mm:ss.SSSSSSZ in UTC; a date alone means its midnight in the source's zone."""
-    midnight = _utc(F.col(f"{at}.day").cast("timestamp_ntz"), F.col("zone"))
-    return F.date_format(F.coalesce(F.col(f"{at}.instant"), midnight), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return F.date_format(F.coalesce(F.col(f"{at}.instant"), F.col(f"{at}.midnight")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
 def day_text(at: str = "at", zone: str = "America/New_York") -> Column:

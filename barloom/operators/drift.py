@@ -117,7 +117,10 @@ def file_changes(records: DataFrame, target: dict[str, str] = BASE_HISTORY, payl
     """
     file = ["ledger_id", "file_no"]
     rows = records.where("ledger_id is not null and file_no is not null").select("ledger_id", F.col("file_no").cast("long").alias("file_no"), payload)
-    seen = observations(ingest(rows, payload, target), target, [*file, "run_id", "ticker"])
+    ingested = ingest(rows, payload, target)
+    # A record's key may itself have drifted to another type; then it is among the rescued values.
+    ingested = ingested.withColumns({c: F.coalesce(c, F.regexp_replace(F.try_element_at("_rescued", F.lit(c)), r'^"|"$', "")) for c in ("run_id", "ticker")})
+    seen = observations(ingested, target, [*file, "run_id", "ticker"])
     seen = materialize(seen.withColumns({"run_id": F.trim("run_id"), "ticker": F.upper(F.trim("ticker"))}), "observed")
     kinds = ("boolean", "integer", "number", "string", "other")
     per = seen.groupBy(*file, "field").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in kinds])

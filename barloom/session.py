@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -45,10 +46,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
+_FOLDERS: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Delete what a session wrote, when Python ends in an orderly way and the session still lives."""
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session has stopped; the cluster clears its folder
+        pass
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once into the shared folder and read it again: cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/barloom/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/barloom-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

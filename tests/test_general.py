@@ -69,7 +69,7 @@ def test_episodes_edges(spark):
     assert rows(sessions.episodes(spark.createDataFrame([], "ticker string, run_day string"), days)) == []
 
 
-ZONES = [("ny", "America/New_York", False), ("ldn", "Europe/London", True), ("tyo", "Asia/Tokyo", False)]
+ZONES = [("ny", "America/New_York", False), ("ldn", "Europe/London", True), ("tyo", "Asia/Tokyo", False), ("odd", "Mars/Phobos", True)]
 TIMES = [
     ("ny", "2025-03-09 02:30:00", "2025-03-09T07:30:00.000000Z", "2025-03-09"),  # skipped hour moves on
     ("ny", "2025-11-02 01:30:00", "2025-11-02T05:30:00.000000Z", "2025-11-02"),  # the first of two
@@ -97,6 +97,9 @@ TIMES = [
     ("ny", "", None, None),
     ("ny", None, None, None),
     ("ny", "2025-01-02 10:00:00 XYZ", None, None),
+    ("ny", "2025-01-02T10:00:00[Mars/Phobos]", None, None),
+    ("odd", "2.1.2025", None, "2025-01-02"),
+    ("odd", "2025-01-02 10:00:00", None, None),  # a source with an unknown zone
     ("ldn", "1-APR-25", "2025-03-31T23:00:00.000000Z", "2025-04-01"),
     ("ny", "Sunday, March 2 2025", None, None),
     ("ny", "x" * 100_000, None, None),
