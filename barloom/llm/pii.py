@@ -57,8 +57,7 @@ _PHONE = re.compile(
 
 _ID = re.compile(
     r"""(?<![\w.,+/-])(?:
-    (?P<ssn>\d{3}-\d{2}-\d{4} | \d{3}\ \d{2}\ \d{4}) | (?P<tax>\d{2}\ \d{3}\ \d{3}\ \d{3}) | (?P<nino>[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z]\ ?\d{2}\ ?\d{2}\ ?\d{2}\ ?[A-D] | QQ\ ?\d{2}\ ?\d{2}\ ?\d{2}\ ?[A-D])
-    | (?P<pass>[A-Z]\d{8}) | (?P<plain>\d{9} | \d{11})
+    (?P<ssn>\d{3}-\d{2}-\d{4} | \d{3}\ \d{2}\ \d{4}) | (?P<tax>\d{2}\ \d{3}\ \d{3}\ \d{3}) | (?P<plain>\d{9} | \d{11})
     )(?![\w]|[-.,/]\d)""",
     re.X,
 )
@@ -92,9 +91,9 @@ _STREET_WORDS = {
     **dict.fromkeys(("str. ", "straße ", "strasse ", "gasse ", "weg ", "platz ", "kamp ", "graben ", "allee ", "ufer ", "ring ", "damm ", "hof ", "Straße "), "de"),
 }
 _STREET_WORDS |= {f" {form}": "en" for word in "Street St Road Rd Lane Ln Drive Dr Avenue Ave Boulevard Blvd Terrace Court Ct Yard Way Place Square Close Crescent Parkway Row Walk Mews Gardens".split() for form in (word, word.upper())}
-#: A town where its end is sure: between a comma and a postcode, or between a postcode and punctuation.
-_TOWN_SURE = re.compile(rf"(?:, ({_CITY}),? (?:[A-Z]{{2}} )?(?<!\d)\d{{5}}(?!\d)|(?<!\d)\d{{5}} ({_CITY})(?=[.,;:)\n]|$))")
-_TOWN_LAST = re.compile(rf"(\d{{5}}\s)({_CITY})$")
+#: The town of an address: before its postcode, after it, or not yet in it.
+_TOWN_FIRST = re.compile(rf"[,\n]\s?({_CITY})(?:,? [A-Z]{{2}})?,? (?:\d{{5}}(?:-\d{{4}})?|[A-Z]{{1,2}}\d[A-Z\d]? \d[A-Z]{{2}})$")
+_TOWN_LAST = re.compile(rf"\d{{5}}\s({_CITY})$")
 _TOWN_NEXT = re.compile(rf", ({_CITY})")
 _DE = re.compile(r"(?:(?:Am|An der|Im|Zum|Zur|Alte[rs]?|Neue[rs]?|Große[rs]?|Kleine[rs]?) )?[A-ZÄÖÜ][\wäöüß-]*\.?$")
 _ADDRESS_CUE = re.compile(r"(?:\bat|to|moved:|is at|jetzt|\bà|\ban|\ba|c/o [^\n]{2,40},|lists|live[sd]? (?:at|in)|address:?|Adresse:?|[-/|])\s$", re.I)
@@ -133,9 +132,8 @@ class Names:
     """The names to look for: their forms in one automaton with the signs of addresses and emails, and which are given and
     family names."""
 
-    def __init__(self, given: set[str], family: set[str], towns: set[str] = frozenset()):
-        self.forms = (set(given), set(family), set(towns))
-        self.towns = {x.lower() for x in towns}
+    def __init__(self, given: set[str], family: set[str]):
+        self.forms = (set(given), set(family))
         self.given, self.family = {x.lower() for x in given}, {x.lower() for x in family}
         self.all = self.given | self.family
         self.auto = ahocorasick.Automaton()
@@ -201,8 +199,8 @@ def _emails(t: str, at: list[int]) -> Iterator[tuple[int, int, str]]:
         yield a, b, _vote(plain or bool(_DISGUISE.search(s))) + _vote(bool(known)) + _vote(bool(cue)) + _vote(s[0].isalnum(), url) + _vote(any(c.isalpha() for c in s[:3]), s[0].isdigit())
 
 
-_NINO = re.compile(r"(?<!\w)[A-Z]{2}\d{6}[A-D](?!\w)")
-_RUN = re.compile(r"[+(]?\d[\d ().+/-]{7,}")
+_LETTERED = re.compile(r"[A-Z](?:([A-Z] ?\d\d ?\d\d ?\d\d ?[A-D])|\d{8})(?!\w|[-.,/]\d)")
+_RUN = re.compile(r"\d[\d ().+/-]{7,}")
 _DATES = re.compile(r"(?:[ .]|\d{1,2}/\d{1,2}/\d{4}|20\d\d-\d\d-\d\d|20\d{6}(?!\d)|\d{1,4}\.\d{1,3}(?![.\d]))+[. (+]*$")
 _GROUP = re.compile(r"[ .-]\d{1,5}$")
 _US = re.compile(r"\+1\D")
@@ -214,11 +212,14 @@ _WORD_END = re.compile(r"[\w.'’-]+[ ,:(|]+$")
 
 def _numbers(t: str) -> Iterator[tuple[int, int, int, str]]:
     """(kind number, start, end, votes) of phone and identity numbers, sought only around long runs of digits."""
-    for m in _NINO.finditer(t):
+    for m in _LETTERED.finditer(t):
+        if m.start() and (t[m.start() - 1].isalnum() or t[m.start() - 1] in "_.,+/-"):
+            continue
         label = bool(_ID_LABEL.search(t, max(0, m.start() - 34), m.start()))
-        yield 2, *m.span(), "+" + _vote(label) + "+0" + _vote(bool(_WORD_END.search(t[max(0, m.start() - 8) : m.start()])))
+        if label or m.group(1):
+            yield 2, *m.span(), _vote(bool(m.group(1))) + _vote(label) + "+0" + _vote(bool(_WORD_END.search(t[max(0, m.start() - 8) : m.start()])))
     for run in _RUN.finditer(t):
-        if _DATES.match(run.group()):
+        if sum(map(str.isdigit, run.group())) < 9 or _DATES.match(run.group()):
             continue
         lo, hi = max(0, run.start() - 4), run.end() + 4
         for m in _PHONE.finditer(t, lo, hi):
@@ -243,10 +244,10 @@ def _numbers(t: str) -> Iterator[tuple[int, int, int, str]]:
             a, b = m.span()
             label = bool(_ID_LABEL.search(t, max(0, a - 34), a))
             kind = m.lastgroup
-            if kind in ("plain", "pass") and not label:
+            if kind == "plain" and not label:
                 continue
             other = bool(_NUMBER_LABEL.search(t, max(0, a - 12), a)) and not label
-            yield 2, a, b, _vote(kind in ("ssn", "nino", "tax")) + _vote(label) + _vote(label or kind in ("ssn", "nino")) + _vote(False, other) + _vote(bool(_WORD_END.search(t[max(0, a - 8) : a])))
+            yield 2, a, b, _vote(kind != "plain") + _vote(label) + _vote(label or kind == "ssn") + _vote(False, other) + _vote(bool(_WORD_END.search(t[max(0, a - 8) : a])))
 
 
 _DOTTED = re.compile(r"\b(?:ave)\.$", re.I)
@@ -262,8 +263,10 @@ def _town(words: str, towns: set[str]) -> str | None:
     return next((" ".join(parts[:k]) for k in range(len(parts), 0, -1) if " ".join(parts[:k]).lower() in towns), None)
 
 
-def _addresses(t: str, words: list[tuple[int, int, str]], towns: set[str]) -> Iterator[tuple[int, int, str]]:
-    """``words``: start, end and language of street words found in the text."""
+def _addresses(t: str, words: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, str]]:
+    """Also each address's town: "=" before one whose end is sure, "<" before words at the end of which some may be more
+    than the town, ">" before words after the address that may be its town. ``words``: start, end and language of street
+    words found in the text."""
     starts, size = [], len(t)
     for a, b, lang in words:
         if lang == "en":
@@ -285,18 +288,20 @@ def _addresses(t: str, words: list[tuple[int, int, str]], towns: set[str]) -> It
         a, s = m.start(), m.group().rstrip(",;: ")
         if s[-1] == "." and not _DOTTED.search(s):
             s = s[:-1]
-        if last := _TOWN_LAST.search(s):
-            if known := _town(last.group(2), towns):
-                s = s[: last.start(2) + len(known)]
-        elif (more := _TOWN_NEXT.match(t, a + len(s))) and (known := _town(more.group(1), towns)):
-            s += ", " + known
         b = end = a + len(s)
+        town = ""
+        if place := _TOWN_LAST.search(s):
+            town = ("=" if b == size or t[b] in ".,;:)\n" else "<") + place.group(1)
+        elif place := _TOWN_FIRST.search(s):
+            town = "=" + place.group(1)
+        elif place := _TOWN_NEXT.match(t, b):
+            town = ">" + place.group(1)
         before, after = t[max(0, a - 48) : a], t[b : b + 12]
         full = bool(_CODE.search(s[6:]))
         idiom = bool(_IDIOM.search(s)) and not full
         goes_on = bool(_GOES_ON.match(after))
         cue = bool(_ADDRESS_CUE.search(before))
-        yield a, b, _vote(full) + _vote(bool(_PARTS.search(s))) + _vote(cue) + _vote(not goes_on, goes_on) + _vote(False, idiom) + _vote(m.lastgroup != "en" or "," in s or cue or bool(_BREAK.match(after)))
+        yield a, b, _vote(full) + _vote(bool(_PARTS.search(s))) + _vote(cue) + _vote(not goes_on, goes_on) + _vote(False, idiom) + _vote(m.lastgroup != "en" or "," in s or cue or bool(_BREAK.match(after))), town
 
 
 _NEXT = re.compile(r"(,?\s)((?:[^\W\d_]\.\s)?)([^\W\d_]+(?:['’-][^\W\d_]+)*)")
@@ -322,7 +327,7 @@ def _phrase(t: str, names: Names, a: int, b: int) -> tuple[int, int] | None:
         elif names.is_family(last) and not names.is_given(last):
             break
         b = m.start(3) + len(nxt)
-    while True:
+    while a > 1 and t[a - 1].isspace() and (t[a - 2].isalpha() or t[a - 2] == "," or t[a - 2] == "." and t[a - 3].isalpha() and not t[a - 4 : a - 3].isalpha()):
         m = _PREVIOUS.search(t, max(0, a - 36), a)
         if not m or "\n" in m.group(3) or "\n" in m.group(2):
             break
@@ -341,18 +346,31 @@ def _phrase(t: str, names: Names, a: int, b: int) -> tuple[int, int] | None:
     return a, b
 
 
-@lru_cache(200_000)
+#: Words at the end of a cue; only after them, brackets, line ends and signs the cue's pattern is tried.
+_CUE_ENDS = frozenset(
+    "Dear Hi Hello Hey Hallo Bonjour Hola Morning Thanks Merci Danke Gracias Liebe Lieber Mr Mr. Mrs Mrs. Ms Ms. Dr Dr. Herr Herrn Frau Mme Mme. Señor Señora Sr. Sra. signed, Grüßen, Cordialement, saludo, via fwd From: to said for by Approved: de an a à with Ask ask Call call Ring ring tell c/o I, — -- mailto:".split()
+)
+
+
 def _cue(before: str) -> bool:
+    """Whether a name is announced right before it."""
+    end = before[-1:]
+    if end == " ":
+        if before[-2:-1] != "]" and before.rsplit(None, 1)[-1] not in _CUE_ENDS:
+            return False
+    elif end not in "\n(\"=":
+        return False
     return bool(_BEFORE_RE.search(before))
 
 
-@lru_cache(200_000)
 def _then(after: str) -> tuple[bool, bool, str]:
     """Whether what follows a name suits a person, or a firm; and a capitalised word right after it."""
     cap = _CAP.match(after)
     return bool(_BY.match(after)), bool(_FIRM.match(after)), cap.group(1) if cap else ""
 
 
+_LOWER_WORD = re.compile(r" [a-zß-ÿ]")
+_VERB = re.compile(r" (?:says?|said|disagrees|asked|got|took|graded|sold|hat|wohnt|entregó|wrote|thinks|called|who)\b| and Sons")
 _CAP = re.compile(r" ([A-ZÀ-Þ][a-zß-ÿ]+)")
 _LEFT_PART = re.compile(r"[^\W\d_]+['’-]$")
 _RIGHT_PART = re.compile(r"(?:['’-][^\W\d_]+)+")
@@ -392,7 +410,7 @@ def _persons(t: str, names: Names, hits: list[tuple[int, int]], taken: list[tupl
             cue = bool(other) and names.knows(other[-1])
         if words[0].islower() and not shape and not cue:
             continue
-        by, firm, cap = _then(after)
+        by, firm, cap = _then(after) if cue or shape or not _LOWER_WORD.match(after) or _VERB.match(after) else (False, False, "")
         family = any(map(names.is_family, words))
         both = len(words) > 1 and family and any(map(names.is_given, words))
         firm = firm or not shape and bool(cap) and not names.knows(cap) and cap not in _LEVELS
@@ -411,11 +429,10 @@ _LOW, _HIGH, _NINE = re.compile(r"[a-zß-ÿ]+"), re.compile(r"[A-ZÀ-Þ]+"), re.
 
 
 def _features(k: int, votes: str, t: str, a: int, b: int, more: str) -> list[int]:
+    if k == 4 and votes[1] == "0" and "-" in votes and "+" not in votes:
+        return []  # a single word with votes only against it: the classifier's constant decides
     parts = [f"{k}v{i}{v}" for i, v in enumerate(votes) if v != "0"]
     parts.append(f"{k}all{votes}")
-    if k == 4 and "-" in votes:
-        parts.append("w=" + t[a:b].lower())
-        return [_hashed(p) for p in parts]
     before, after = t[max(0, a - 16) : a], t[b : b + 14]
     prev, nxt = (_TOKEN.findall(before) or [""])[-1].lower(), (_TOKEN.findall(after) or [""])[0].lower()
     parts += [f"{k}p={prev}", f"{k}n={nxt}", f"{k}c={before[-1:]}", f"{k}d={after[:1]}"]
@@ -437,8 +454,8 @@ def _flat(text: str) -> str:
     return text.translate(_WIDE) if _WIDE_SEEN.search(text) else text
 
 
-def candidates_of(text: str, names: Names) -> list[tuple[int, int, int, str, list[int]]]:
-    """(kind number, start, end, votes, features) of each candidate; spans of earlier kinds hide those of later ones."""
+def candidates_of(text: str, names: Names) -> list[tuple[int, int, int, str, list[int], str]]:
+    """(kind number, start, end, votes, features, town) of each candidate; spans of earlier kinds hide those of later ones."""
     t = _flat(text)
     hits, streets, at = [], [], []
     for last, (tag, size, lang) in names.auto.iter(t):
@@ -450,9 +467,9 @@ def candidates_of(text: str, names: Names) -> list[tuple[int, int, int, str, lis
             at.append(last + 1)
     found, taken = [], []
 
-    def keep(k: int, a: int, b: int, votes: str) -> None:
+    def keep(k: int, a: int, b: int, votes: str, town: str = "") -> None:
         if not any(x < b and a < y for x, y in taken):
-            found.append((k, a, b, votes, ""))
+            found.append((k, a, b, votes, "", town))
             own.append((a, b))
 
     own: list[tuple[int, int]] = []
@@ -468,12 +485,12 @@ def candidates_of(text: str, names: Names) -> list[tuple[int, int, int, str, lis
                 keep(k, a, b, votes)
         taken += own
         own = []
-    for a, b, votes in _addresses(t, streets, names.towns):
-        keep(3, a, b, votes)
+    for a, b, votes, town in _addresses(t, streets):
+        keep(3, a, b, votes, town)
     taken += own
     taken.sort()
-    found += [(4, *p) for p in _persons(t, names, hits, taken)]
-    return [(k, a, b, votes, _features(k, votes, t, a, b, more)) for k, a, b, votes, more in found]
+    found += [(4, *p, "") for p in _persons(t, names, hits, taken)]
+    return [(k, a, b, votes, _features(k, votes, t, a, b, more), town) for k, a, b, votes, more, town in found]
 
 
 def _cue_automaton() -> ahocorasick.Automaton:
@@ -496,9 +513,6 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     auto = _cue_automaton()
     for batch in batches:
         for t in batch.column(0).to_pylist():
-            for m in _TOWN_SURE.finditer(t or ""):
-                if len(m.group(1) or m.group(2)) > 2:  # a state's letters are no town
-                    counts[m.group(1) or m.group(2), 0, "town"] += 1
             for last, (kind, size, after) in auto.iter(t or ""):
                 start, end = last + 1 - size, last + 1
                 if after:
@@ -528,13 +542,11 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_names(documents: DataFrame, text: str, lexicon: DataFrame) -> Names:
     """The lexicon's names and those learned: words that stand in at least SLOT_KINDS kinds of slots of the corpus.
 
-    Towns are learned likewise, from places between a comma and a postcode or a postcode and punctuation. Slots are
-    counted over all texts, first in each task. Learned names are at most MAX_NAMES (the commonest), which
+    Slots are counted over all texts, first in each task. Learned names are at most MAX_NAMES (the commonest), which
     bounds what the driver and each worker hold; the lexicon is a fixed table.
     """
-    seen = materialize(documents.select(F.col(text).cast("string")).mapInArrow(_slots, "word string, place int, slot string, n long"), "slots")
-    per = seen.where("slot <> 'town'").groupBy("word").agg(F.count_distinct("slot").alias("kinds"), F.sum("n").alias("n"), F.sum(F.when(F.col("place") == 1, F.col("n")).otherwise(0)).alias("later"))
-    towns = {r["word"] for r in seen.where("slot = 'town'").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.col("n").desc(), "word").limit(MAX_NAMES).collect()}
+    seen = documents.select(F.col(text).cast("string")).mapInArrow(_slots, "word string, place int, slot string, n long")
+    per = seen.groupBy("word").agg(F.count_distinct("slot").alias("kinds"), F.sum("n").alias("n"), F.sum(F.when(F.col("place") == 1, F.col("n")).otherwise(0)).alias("later"))
     rows = per.where(F.col("kinds") >= SLOT_KINDS).orderBy(F.col("n").desc(), "word").limit(MAX_NAMES).collect()
     given = {r["name"] for r in lexicon.where("kind = 'given' and name is not null").collect()}
     family = {r["name"] for r in lexicon.where("kind = 'family' and name is not null").collect()}
@@ -542,11 +554,11 @@ def learn_names(documents: DataFrame, text: str, lexicon: DataFrame) -> Names:
     for r in rows:
         if r["word"] not in known:
             (family if r["later"] * 2 > r["n"] else given).add(r["word"])
-    return Names(given, family, towns)
+    return Names(given, family)
 
 
 def find_candidates(documents: DataFrame, id_column: str, text: str, names: Names) -> DataFrame:
-    """id, kind (number in KINDS), start_pos, end_pos, votes and features of all candidate spans; null texts have none."""
+    """id, kind (number in KINDS), start_pos, end_pos, votes, features and town of all candidate spans; null texts have none."""
     id_type = dict(documents.dtypes)[id_column]
     forms = names.forms
 
@@ -561,13 +573,13 @@ def find_candidates(documents: DataFrame, id_column: str, text: str, names: Name
                         found = candidates_of(body, own)
                         rows += found
                         where += [i] * len(found)
-                cols = list(zip(*rows)) if rows else [[]] * 5
+                cols = list(zip(*rows)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(where, pa.int64())), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.list_(pa.int32()))],
-                    ["id", "kind", "start_pos", "end_pos", "votes", "features"],
+                    [part.column(0).take(pa.array(where, pa.int64())), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.list_(pa.int32())), pa.array(cols[5], pa.string())],
+                    ["id", "kind", "start_pos", "end_pos", "votes", "features", "town"],
                 )
 
-    return documents.select(id_column, text).mapInArrow(run, f"id {id_type}, kind int, start_pos long, end_pos long, votes string, features array<int>")
+    return documents.select(id_column, text).mapInArrow(run, f"id {id_type}, kind int, start_pos long, end_pos long, votes string, features array<int>, town string")
 
 
 def reliabilities(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
@@ -633,6 +645,9 @@ def find_personal(documents: DataFrame, id_column: str, text: str, lexicon: Data
         rows = sample.select("votes", "features").collect()  # at most SAMPLE
         if rows:
             models[k] = fit([r["features"] for r in rows], np.array([posterior[r["votes"]] for r in rows]))
+    # Towns end addresses: those seen at least three times where their end is sure.
+    sure = found.where("town like '=%'").groupBy(F.lower(F.substring("town", 2, 100)).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    towns = {r["t"] for r in sure.where("n >= 3").orderBy(F.col("n").desc(), "t").limit(MAX_NAMES).collect()}
     weights = {k: (w.astype(np.float32), b) for k, (w, b) in models.items()}
     bar = float(np.log(threshold / (1 - threshold)))
 
@@ -647,13 +662,19 @@ def find_personal(documents: DataFrame, id_column: str, text: str, lexicon: Data
                 mine = kinds == k
                 z = np.where(mine, np.bincount(row, w[flat], len(kinds)) + b, z)
             keep = pa.array(np.flatnonzero(z > bar))
+            ends = batch.column(3).to_numpy().copy()
+            for i, (town, k) in enumerate(zip(batch.column(5).to_pylist(), kinds.tolist())):
+                if k == 3 and town and town[0] in "<>":
+                    known = _town(town[1:], towns)
+                    if known:
+                        ends[i] += len(known) - len(town) + 1 if town[0] == "<" else 2 + len(known)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(keep), pa.array([KINDS[k] for k in kinds[keep.to_numpy()]], pa.string()), batch.column(2).take(keep), batch.column(3).take(keep)],
+                [batch.column(0).take(keep), pa.array([KINDS[k] for k in kinds[keep.to_numpy()]], pa.string()), batch.column(2).take(keep), pa.array(ends).take(keep)],
                 [id_column, "kind", "start_pos", "end_pos"],
             )
 
     id_type = dict(documents.dtypes)[id_column]
-    return found.select("id", "kind", "start_pos", "end_pos", "features").mapInArrow(decide, f"`{id_column}` {id_type}, kind string, start_pos long, end_pos long")
+    return found.select("id", "kind", "start_pos", "end_pos", "features", "town").mapInArrow(decide, f"`{id_column}` {id_type}, kind string, start_pos long, end_pos long")
 
 
 def replaced(documents: DataFrame, id_column: str, text: str, spans: DataFrame) -> DataFrame:
