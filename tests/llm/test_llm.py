@@ -186,7 +186,7 @@ def test_candidates():
     for text, want in CASES:
         found = [c for c in pii.candidates_of(text, names)]
         kept = []
-        for k, a, b, votes, _ in found:
+        for k, a, b, votes, _, _ in found:
             p = posterior.setdefault((k, votes), pii.reliabilities({votes: 1})[votes])
             if p > 0.5:
                 kept.append((pii.KINDS[k], text[a:b]))
