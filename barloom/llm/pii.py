@@ -264,8 +264,8 @@ def _town(words: str, towns: set[str]) -> str | None:
 
 
 def _addresses(t: str, words: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, str]]:
-    """Also each address's town: "=" before one whose end is sure, "<" before words at the end of which some may be more
-    than the town, ">" before words after the address that may be its town. ``words``: start, end and language of street
+    """Also each address's town: "=" before one that a postcode ends, "!" before words that punctuation ends, "<" before words at the end of which some
+    may be more than the town, ">" before words after the address that may be its town. ``words``: start, end and language of street
     words found in the text."""
     starts, size = [], len(t)
     for a, b, lang in words:
@@ -291,7 +291,7 @@ def _addresses(t: str, words: list[tuple[int, int, str]]) -> Iterator[tuple[int,
         b = end = a + len(s)
         town = ""
         if place := _TOWN_LAST.search(s):
-            town = ("=" if b == size or t[b] in ".,;:)\n" else "<") + place.group(1)
+            town = ("!" if b == size or t[b] in ".,;:)\n" else "<") + place.group(1)
         elif place := _TOWN_FIRST.search(s):
             town = "=" + place.group(1)
         elif place := _TOWN_NEXT.match(t, b):
@@ -646,7 +646,7 @@ def find_personal(documents: DataFrame, id_column: str, text: str, lexicon: Data
         if rows:
             models[k] = fit([r["features"] for r in rows], np.array([posterior[r["votes"]] for r in rows]))
     # Towns end addresses: those seen at least three times where their end is sure.
-    sure = found.where("town like '=%'").groupBy(F.lower(F.substring("town", 2, 100)).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    sure = found.where(F.substring("town", 1, 1).isin("=", "!")).groupBy(F.lower(F.substring("town", 2, 100)).alias("t")).agg(F.count(F.lit(1)).alias("n"))
     towns = {r["t"] for r in sure.where("n >= 3").orderBy(F.col("n").desc(), "t").limit(MAX_NAMES).collect()}
     weights = {k: (w.astype(np.float32), b) for k, (w, b) in models.items()}
     bar = float(np.log(threshold / (1 - threshold)))
@@ -664,10 +664,10 @@ def find_personal(documents: DataFrame, id_column: str, text: str, lexicon: Data
             keep = pa.array(np.flatnonzero(z > bar))
             ends = batch.column(3).to_numpy().copy()
             for i, (town, k) in enumerate(zip(batch.column(5).to_pylist(), kinds.tolist())):
-                if k == 3 and town and town[0] in "<>":
+                if k == 3 and town and town[0] in "!<>":
                     known = _town(town[1:], towns)
                     if known:
-                        ends[i] += len(known) - len(town) + 1 if town[0] == "<" else 2 + len(known)
+                        ends[i] += 2 + len(known) if town[0] == ">" else len(known) - len(town) + 1
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(keep), pa.array([KINDS[k] for k in kinds[keep.to_numpy()]], pa.string()), batch.column(2).take(keep), pa.array(ends).take(keep)],
                 [id_column, "kind", "start_pos", "end_pos"],
