@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local[") and conf.get("spark.master", "") != "local":
+    if not conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = os.path.join(tempfile.gettempdir(), f"barloom-{os.getpid()}")
     return f"file://{folder}"

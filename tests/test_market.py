@@ -221,3 +221,23 @@ def test_streaming(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "sig"))
     d = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "sig"))
     assert run(pending_signals(d, 2), "s4") == [("s", "EXPIRED", 2), ("w", "WON", 1)]
+
+
+def test_snapshots(spark, tmp_path):
+    from barloom.sources.snapshots import SnapshotSource, classified, retried
+
+    (tmp_path / "A.json").write_text('{"last": 1.5}')
+    (tmp_path / "C.json").write_text("{broken")
+    spark.dataSource.register(SnapshotSource)
+    got = spark.read.format("snapshots").option("symbols", "A, B,C,A").option("group", 2).option("delay", "0").load(str(tmp_path))
+    assert [(r["symbol"], r["payload"], r["error_kind"], r["attempts"]) for r in got.orderBy("symbol").collect()] == [("A", '{"last": 1.5}', None, 1), ("B", None, "not_found", 1), ("C", None, "unknown", 3)]
+    assert [classified(t) for t in ("HTTP 429", "Connection reset", "odd")] == ["rate_limit", "network", "unknown"]
+    tries, pauses = [], []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("timed out")
+        return 7
+
+    assert retried(flaky, sleep=pauses.append) == (7, None, 3) and pauses == [0.5, 1.0]
