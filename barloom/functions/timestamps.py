@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import once
 from barloom.session import bounded_broadcast
 
 #: Hours from UTC of the zone abbreviations read.
@@ -55,9 +56,11 @@ _PARTS = ("y", "mo", "mon", "d", "p", "q", "h", "mi", "s", "f", "ap", "z", "wd",
 
 
 def _read(text: Column, cascade: tuple[Pattern, ...]) -> Column:
+    """The parts of the first pattern that matches, as an array in the order of _PARTS; a match fills all of them at once."""
+
     def parts(p: Pattern) -> Column:
         at = {g: i + 1 for i, g in enumerate(p.groups)}
-        return F.struct(*[(F.nullif(F.regexp_extract(text, p.regex, at[g]), F.lit("")) if g in at else F.lit(None).cast("string")).alias(f"_x_{g}") for g in _PARTS])
+        return F.split(F.regexp_replace(text, p.regex, "\x01".join(f"${at[g]}" if g in at else "" for g in _PARTS)), "\x01", -1)
 
     return F.coalesce(*[F.when(text.rlike(p.regex), parts(p)) for p in cascade])
 
@@ -67,11 +70,6 @@ def _utc(local: Column, zone: Column) -> Column:
     return F.convert_timezone(zone, F.lit("UTC"), local)
 
 
-def _once(df: DataFrame, **cols: Column) -> DataFrame:
-    """Add columns that later expressions use many times; a generator of one row keeps the optimizer from copying them."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
-
-
 def _regions(df: DataFrame) -> list[str]:
     """The zone names that the JVM knows, some 600; another name would fail the job."""
     return sorted(df.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds().toArray())
@@ -87,8 +85,9 @@ def normalise_times(df: DataFrame, text: str, zone: str = "zone", day_first: str
     A date without time of day gives no ``instant``.
     """
     t, z0 = F.col("_t"), F.col(zone)
-    d = _once(df, _t=F.regexp_replace(F.col(text), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
-    d = d.select("*", F.inline(F.array(_read(t, cascade))))
+    d = once(df, _t=F.regexp_replace(F.col(text), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    d = once(d, _x=_read(t, cascade))
+    d = once(d, **{f"_x_{g}": F.nullif(F.get("_x", F.lit(i)), F.lit("")) for i, g in enumerate(_PARTS)})
     x = lambda k: F.col(f"_x_{k}")
     n = lambda k: x(k).cast("int")
     year = F.when(F.length(x("y")) == 2, n("y") + 2000).otherwise(n("y"))
@@ -99,7 +98,7 @@ def normalise_times(df: DataFrame, text: str, zone: str = "zone", day_first: str
     hour = F.when(x("ap").isNull(), n("h")).when((n("h") >= 1) & (n("h") <= 12), n("h") % 12 + F.when(F.upper(x("ap")) == "PM", 12).otherwise(0))
     micros = F.rpad(F.substring(F.coalesce(x("f"), F.lit("0")), 1, 6), 6, "0").cast("int")
     second_ = F.coalesce(n("s"), F.lit(0))
-    d = _once(
+    d = once(
         d,
         _d=F.when((year >= 1) & month.between(1, 12) & dom.between(1, 31), F.format_string("%04d-%02d-%02d", year, month, dom)),
         _h=hour,
@@ -107,7 +106,7 @@ def normalise_times(df: DataFrame, text: str, zone: str = "zone", day_first: str
         _us=micros,
     )
     day = F.expr("try_cast(_d as date)")
-    d = _once(d, _day=F.when(x("wd").isNull() | (F.upper(F.date_format(day, "EEE")) == F.upper(x("wd"))), day))
+    d = once(d, _day=F.when(x("wd").isNull() | (F.upper(F.date_format(day, "EEE")) == F.upper(x("wd"))), day))
     fine = F.col("_day").isNotNull() & F.col("_h").between(0, 23) & n("mi").between(0, 59) & F.col("_s").between(0, 59)
     local = F.expr("cast(_day as timestamp_ntz) + make_dt_interval(0, _h, cast(_x_mi as int), _s + cast(_us as decimal(10,0)) * cast(0.000001 as decimal(7,6)))")
     offset = F.regexp_replace(x("z"), ":", "")
@@ -120,11 +119,11 @@ def normalise_times(df: DataFrame, text: str, zone: str = "zone", day_first: str
     minutes = F.coalesce(minutes, F.try_element_at(named, F.upper(x("z"))))
     region = F.when(x("z").isNull(), z0).when(x("z").startswith("["), F.expr("substring(_x_z, 2, length(_x_z) - 2)"))
     region = F.when(region.isin(*_regions(df)), region)
-    d = _once(d, _local=F.when(fine, local), _min=minutes, _region=region)
+    d = once(d, _local=F.when(fine, local), _min=minutes, _region=region)
     at_offset = F.expr("_local - make_dt_interval(0, 0, _min, 0)")
     epoch = F.expr("timestamp_ntz '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(_x_e as decimal(12,0)) + cast(_us as decimal(10,0)) * cast(0.000001 as decimal(7,6)))")
     instant = F.when(x("e").isNotNull(), epoch).when(F.col("_min").isNotNull(), at_offset).when(F.col("_region").isNotNull(), _utc(F.col("_local"), F.col("_region")))
-    d = _once(d, _at=instant, _only=F.when(x("h").isNull() & x("e").isNull(), F.col("_day")))
+    d = once(d, _at=instant, _only=F.when(x("h").isNull() & x("e").isNull(), F.col("_day")))
     midnight = F.when(F.col("_region").isNotNull(), _utc(F.col("_only").cast("timestamp_ntz"), F.col("_region")))
     return d.select(*df.columns, F.struct(F.col("_at").alias("instant"), F.col("_only").alias("day"), midnight.alias("midnight")).alias(out))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import once
 from barloom.session import bounded_broadcast, materialize
 
 #: The target of base-breakout history: field and kind.
@@ -57,18 +58,18 @@ def ingest(records: DataFrame, payload: str, target: dict[str, str]) -> DataFram
     to the typed one.
     """
     kept = [c for c in records.columns if c not in target and c not in ("_rescued", "_keys", "_corrupt", payload)]
-    d = records.select(*kept, F.col(payload)).select("*", F.inline(F.array(F.struct(F.from_json(payload, "map<string,variant>", {"mode": "PERMISSIVE"}).alias("_map")))))
+    d = once(records.select(*kept, payload), _map=F.from_json(payload, "map<string,variant>", {"mode": "PERMISSIVE"}))
     entries = F.map_entries("_map")
     kinds = F.transform(entries, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"), _kind(x["value"]).alias("kind")))
-    d = d.select("*", F.inline(F.array(F.struct(F.coalesce(kinds, F.array().cast("array<struct<key:string,value:variant,kind:string>>")).alias("_entries"))))).drop("_map")
+    d = once(d, _entries=F.coalesce(kinds, F.array().cast("array<struct<key:string,value:variant,kind:string>>")))
     wanted = F.create_map(*[F.lit(x) for pair in target.items() for x in pair])
     stays = lambda x: x["kind"].isNotNull() & ~x["kind"].eqNullSafe(F.try_element_at(wanted, x["key"]))
     unknown = lambda x: ~x["key"].isin(*target)
     json = F.transform(F.filter("_entries", lambda x: stays(x) | unknown(x)), lambda x: F.struct(x["key"].alias("key"), _json(x).alias("value")))
     typed = []
     for name, kind in target.items():
-        own = F.try_element_at(F.filter("_entries", _is(name, kind)), F.lit(1))
-        typed.append(F.try_variant_get(own["value"], "$", _SQL[kind]).alias(name))
+        own = F.try_element_at("_map", F.lit(name))
+        typed.append(F.when(_kind(own) == kind, F.try_variant_get(own, "$", _SQL[kind])).alias(name))
     return d.select(
         *kept,
         *typed,
@@ -84,9 +85,11 @@ def observations(ingested: DataFrame, target: dict[str, str], by: list[str]) ->
     kind and text are null where the value is; kinds are boolean, integer, number, string and other.
     """
     texts = F.create_map(*[x for f in target for x in (F.lit(f), F.col(f).cast("string"))])
-    d = ingested.select(*by, "_rescued", texts.alias("_typed"), F.explode("_keys").alias("field"))
-    json = F.try_element_at("_rescued", F.col("field"))
-    typed = F.try_element_at("_typed", F.col("field"))
+    d = once(ingested.select(*dict.fromkeys([*by, "_rescued", "_keys", *target])), _texts=texts)
+    # The maps of a record stay behind: only each field's own values go into its row.
+    own = F.transform("_keys", lambda k: F.struct(k.alias("field"), F.try_element_at("_rescued", k).alias("_json"), F.try_element_at("_texts", k).alias("_typed")))
+    d = d.select(*by, F.inline(own))
+    json, typed = F.col("_json"), F.col("_typed")
     wanted = F.try_element_at(F.create_map(*[F.lit(x) for pair in target.items() for x in pair]), F.col("field"))
     lead = F.substring(json, 1, 1)
     kind = (
