@@ -9,3 +9,9 @@ from pyspark.sql import functions as F
 def once(df: DataFrame, **cols: Column) -> DataFrame:
     """Add columns that later expressions use many times; a generator of one row keeps the optimizer from copying them."""
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
+
+
+def micros(at: Column) -> Column:
+    """Microseconds from 1970-01-01 00:00 on the value's own clock; a zone-less time doesn't depend on the session's zone."""
+    seconds = F.unix_date(F.to_date(at)).cast("long") * 86_400 + F.hour(at) * 3_600 + F.minute(at) * 60
+    return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), at) * 1_000_000).cast("long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import micros
 from barloom.functions.labels import base_state
 from barloom.functions.timestamps import day_text, instant_text, normalise_times, with_source
 from barloom.operators import drift, history, sessions
@@ -53,11 +54,10 @@ def p5_history(spark: SparkSession, sf: str) -> DataFrame:
 def _in_force(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     signals = table(spark, sf, "signals").select("signal_id", "ledger_id", "packet_date", "built_at", "regime").dropDuplicates(["signal_id"])
     rows = table(spark, sf, "regime_history").select("ledger_id", "run_id", "run_date", "row_no", base_state(F.col("state")).alias("base")).where("base is not null").distinct()
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     found = as_known(
         signals, rows, "ledger_id", "signal_id",
-        event_known=micros("built_at"), event_valid=F.regexp_replace("packet_date", "-", "").try_cast("long"),
-        known=micros("run_date"), valid=F.col("run_id").try_cast("long"), tie=F.col("row_no"), value=F.col("base"), block=300,
+        event_known=micros(F.col("built_at")), event_valid=F.regexp_replace("packet_date", "-", "").try_cast("long"),
+        known=micros(F.col("run_date")), valid=F.col("run_id").try_cast("long"), tie=F.col("row_no"), value=F.col("base"), block=300,
     )
     return signals, found
 

@@ -223,7 +223,7 @@ def regime_snapshot(spark, sf):
     d = d.withColumn("_flip", F.coalesce(F.lag("base").over(w) != F.col("base"), F.lit(False)))
     last = d.agg(F.max("run_id")).scalar()
     g = d.groupBy("ledger_id").agg(F.max_by("base", "run_id").alias("base"), F.max_by("confirmed", "run_id").alias("confirmed"), F.max("run_id").alias("run_id"), F.max_by("_flip", "run_id").alias("first_day_flip"))
-    day = lambda c: F.to_date(c, "yyyyMMdd")
+    day = lambda c: F.concat_ws("-", F.substring(c, 1, 4), F.substring(c, 5, 2), F.substring(c, 7, 2)).try_cast("date")
     return g.withColumn("_newest", last).select("ledger_id", "base", "confirmed", "run_id", "first_day_flip", F.datediff(day("_newest"), day("run_id")).cast("long").alias("stale_days"))
 
 
