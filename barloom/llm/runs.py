@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import micros
 from barloom.operators.neighbours import neighbours
 from barloom.session import materialize
 
@@ -34,4 +35,4 @@ def collapse_runs(events: DataFrame, keys: list[str], order: str, value: str, at
         (F.when(last, F.col("_n") + 1).otherwise(F.col("_np")) - F.col("_pos")).alias("n_events"),
         F.col(at).alias("started"),
         F.when(last, F.col("_ea")).otherwise(F.col("_la")).alias("ended"),
-    ).withColumn("duration_s", (F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / 1e6)
+    ).withColumn("duration_s", (micros(F.col("ended")) - micros(F.col("started"))) / 1e6)
