@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.session import materialize
+from barloom.session import materialize, ship
 
 
 class PersistentTree:
@@ -107,6 +107,7 @@ def as_known(
     whole key. An event goes to its own block, and to the nearest earlier one with a row known in time, which answers if
     its own doesn't. Blocks of a key are as few as the calendar has; their first known times are one array a key.
     """
+    ship(events.sparkSession)
     e = events.select(F.col(event_id).cast("string").alias("_event"), F.col(key).alias("_key"), event_known.cast("long").alias("_known"), event_valid.cast("long").alias("_valid"))
     h = history.select(F.col(key).alias("_key"), known.cast("long").alias("_known"), valid.cast("long").alias("_valid"), tie.cast("long").alias("_tie"), value.cast("string").alias("_value")).dropna(subset=["_key", "_known", "_valid"])
     e = e.withColumn("_block", F.floor(F.col("_valid") / block))

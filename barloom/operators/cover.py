@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.session import ship
+
 
 def cheapest_cover(demand: dict[str, int], offers: list[tuple[str, int, dict[str, int]]], best: int = 1) -> list[tuple[int, tuple[str, ...]]]:
     """The ``best`` least total prices and offers (repeated as often as bought) that give at least the demand.
@@ -44,6 +46,7 @@ def covers(demands: DataFrame, offers: DataFrame, best: int = 1) -> DataFrame:
     and orders that want and are offered the same are solved once a batch. Orders without any cover have no rows; null
     numbers count as 0 and rows with a null order are left out.
     """
+    ship(demands.sparkSession)
     want = demands.where("order_id is not null").groupBy("order_id", "sku").agg(F.sum("qty").alias("q")).groupBy("order_id").agg(F.array_sort(F.collect_list(F.struct("sku", "q"))).alias("want"))
     given = offers.where("order_id is not null").groupBy("order_id").agg(F.array_sort(F.collect_list(F.struct("offer", "price", "sku", "gives"))).alias("given"))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import ship
+
 
 def by_session():
     """A ticker's sessions in order; made when called, as a window needs a session."""
@@ -96,6 +98,7 @@ def rsi(bars: DataFrame, n: int) -> DataFrame:
         out["rsi"] = np.where(np.arange(len(pdf)) >= n - 1, value, np.nan)
         return out
 
+    ship(bars.sparkSession)
     d = bars.select("ticker", "session", "close").where("close is not null").groupBy("ticker").applyInPandas(run, "ticker string, session date, rsi double")
     return d.withColumn("rsi", F.nanvl("rsi", F.lit(None).cast("double")))
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barloom.session import ship
+
 
 def merged(intervals: list[list[float]], events: list[float], gap: float) -> list[list[float]]:
     """Sorted, disjoint [first, last, count] intervals with events merged in; each event opens [t, t + gap]."""
@@ -49,6 +51,7 @@ def stream_sessions(events: DataFrame, key: str, at: str, gap_s: float, late_s:
         if done:
             yield pd.DataFrame({"key": [k[0]] * len(done), "started": [x[0] for x in done], "ended": [x[1] for x in done], "n_events": [int(x[2]) for x in done]})
 
+    ship(events.sparkSession)
     return d.groupBy("key").applyInPandasWithState(
         step, "key string, started double, ended double, n_events long", "firsts array<double>, lasts array<double>, counts array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
@@ -109,6 +112,7 @@ def pending_signals(rows: DataFrame, horizon: int) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=["sid", "outcome", "days"])
 
+    ship(rows.sparkSession)
     return rows.where("ticker is not null").groupBy("ticker").applyInPandasWithState(
         step, "sid string, outcome string, days int",
         "sids array<string>, nos array<double>, targets array<double>, stops array<double>, bar_nos array<double>, highs array<double>, lows array<double>", "append", GroupStateTimeout.NoTimeout,
