@@ -20,16 +20,19 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.session import materialize
+from barloom.session import materialize, ship
 
 KINDS = ("email", "phone", "id_number", "address", "person")
-#: Slots of different kinds a word must stand in to be learned as a name, and the most names learned (by frequency).
-SLOT_KINDS, MAX_NAMES = 3, 200_000
+#: Slots of different kinds a word must stand in to be learned as a name, the share of its slots that a kind must have to
+#: count, and the most names or towns learned (by frequency), which bounds what every worker holds.
+SLOT_KINDS, SLOT_SHARE, MAX_NAMES = 3, 0.02, 200_000
+#: The share that a town must have of the places that start with its first word.
+TOWN_SHARE = 0.3
 #: Candidates of each kind, at most, that the classifier is fitted on, and its hashed features.
-SAMPLE, BUCKETS = 20_000, 1 << 14
+SAMPLE, BUCKETS = 10_000, 1 << 14
 
 # One character for one, so that positions stay: odd dashes and spaces, then full-width forms.
 _PLAIN = {"\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u00a0": " ", "\u202f": " ", "\u2007": " ", "\u2009": " ", "\u2019": "'"}
@@ -398,6 +401,9 @@ def _persons(t: str, names: Names, hits: list[tuple[int, int]], taken: list[tupl
         if not names.knows(token):
             continue
         a, b = _phrase(t, names, a, b)
+        i = bisect_left(starts, b) - 1
+        if i >= 0 and taken[i][1] > a and (m := _TOKEN.search(t, taken[i][1], b)):
+            a = m.start()  # what looked like an initial ends another span
         if a < end:
             continue
         end = b
@@ -540,13 +546,17 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_names(documents: DataFrame, text: str, lexicon: DataFrame) -> Names:
-    """The lexicon's names and those learned: words that stand in at least SLOT_KINDS kinds of slots of the corpus.
+    """The lexicon's names and those learned: words that stand in at least SLOT_KINDS kinds of slots of the corpus,
+    each with SLOT_SHARE of the word's slots; as shares they mean the same at any size.
 
     Slots are counted over all texts, first in each task. Learned names are at most MAX_NAMES (the commonest), which
     bounds what the driver and each worker hold; the lexicon is a fixed table.
     """
+    ship(documents.sparkSession)
     seen = documents.select(F.col(text).cast("string")).mapInArrow(_slots, "word string, place int, slot string, n long")
-    per = seen.groupBy("word").agg(F.count_distinct("slot").alias("kinds"), F.sum("n").alias("n"), F.sum(F.when(F.col("place") == 1, F.col("n")).otherwise(0)).alias("later"))
+    slots = seen.groupBy("word", "slot").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("place") == 1, F.col("n")).otherwise(0)).alias("later"))
+    slots = slots.withColumn("all", F.sum("n").over(Window.partitionBy("word")))  # as many rows a word as there are kinds
+    per = slots.groupBy("word").agg(F.count(F.when(F.col("n") >= SLOT_SHARE * F.col("all"), 1)).alias("kinds"), F.sum("n").alias("n"), F.sum("later").alias("later"))
     rows = per.where(F.col("kinds") >= SLOT_KINDS).orderBy(F.col("n").desc(), "word").limit(MAX_NAMES).collect()
     given = {r["name"] for r in lexicon.where("kind = 'given' and name is not null").collect()}
     family = {r["name"] for r in lexicon.where("kind = 'family' and name is not null").collect()}
@@ -645,9 +655,10 @@ def find_personal(documents: DataFrame, id_column: str, text: str, lexicon: Data
         rows = sample.select("votes", "features").collect()  # at most SAMPLE
         if rows:
             models[k] = fit([r["features"] for r in rows], np.array([posterior[r["votes"]] for r in rows]))
-    # Towns end addresses: those seen at least three times where their end is sure.
+    # Towns end addresses: those seen at least three times where their end is sure, and no rare one of a common first word.
     sure = found.where(F.substring("town", 1, 1).isin("=", "!")).groupBy(F.lower(F.substring("town", 2, 100)).alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    towns = {r["t"] for r in sure.where("n >= 3").orderBy(F.col("n").desc(), "t").limit(MAX_NAMES).collect()}
+    sure = sure.withColumn("all", F.sum("n").over(Window.partitionBy(F.substring_index("t", " ", 1))))
+    towns = {r["t"] for r in sure.where((F.col("n") >= 3) & (F.col("n") >= TOWN_SHARE * F.col("all"))).orderBy(F.col("n").desc(), "t").limit(MAX_NAMES).collect()}
     weights = {k: (w.astype(np.float32), b) for k, (w, b) in models.items()}
     bar = float(np.log(threshold / (1 - threshold)))
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from barloom.llm.bpe import TOKENIZERS, Encoder
+from barloom.session import ship
 
 
 def _encode(path: str, count_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -36,6 +37,7 @@ def encode_corpus(documents: DataFrame, id_column: str, text: str, tokenizer: st
     Strings of special tokens in a text are ordinary text. Rows stay where they are: no shuffle. Repeated rows and null
     ids are kept as they come. The vocabulary is read from ``folder``/``tokenizer``.tiktoken on each executor.
     """
+    ship(documents.sparkSession)
     kind = dict(documents.dtypes)[id_column]
     out = documents.select(id_column, text).mapInArrow(_encode(f"{folder}/{tokenizer}.tiktoken", False), f"id {kind}, ids array<int>")
     return out.withColumnRenamed("id", id_column)
@@ -43,6 +45,7 @@ def encode_corpus(documents: DataFrame, id_column: str, text: str, tokenizer: st
 
 def count_tokens(documents: DataFrame, id_column: str, text: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """id_column and ``n_tokens``, the length of what encode_corpus() gives."""
+    ship(documents.sparkSession)
     kind = dict(documents.dtypes)[id_column]
     out = documents.select(id_column, text).mapInArrow(_encode(f"{folder}/{tokenizer}.tiktoken", True), f"id {kind}, n_tokens long")
     return out.withColumnRenamed("id", id_column)

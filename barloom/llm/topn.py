@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.session import ship
+
 
 class LoserTree:
     """A multiway merge of sorted sources. Inner nodes hold the loser of their match; only the winner's path is replayed.
@@ -149,6 +151,7 @@ def top_n(items: DataFrame, group: list[str], order: list[tuple[str, bool]], n:
     order. Each run gives the first n of each group and seeks the next; runs of a group, at most n rows from each task,
     then meet and are merged by a loser tree that stops after n.
     """
+    ship(items.sparkSession)
     cols = items.columns
     by = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in order]
     name = F.to_json(F.struct(*group), {"ignoreNullFields": "false"})
