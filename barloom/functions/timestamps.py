@@ -77,23 +77,26 @@ def _regions(df: DataFrame) -> list[str]:
 
 def normalise_times(df: DataFrame, text: str, zone: str = "zone", day_first: str = "day_first", out: str = "at", cascade: tuple[Pattern, ...] = CASCADE) -> DataFrame:
     """Add struct ``out`` of ``instant`` (timestamp_ntz in UTC), ``day`` (the date written, where no time of day is) and
-    ``midnight`` (the instant at which that day begins in the source's zone).
+    ``midnight`` (the instant at which that day begins in the source's zone). A column called ``out`` gives way.
 
     ``zone`` and ``day_first`` name columns with the source's defaults, such as with_source() adds. All fields are null
     for null, blank and unreadable texts, impossible dates and times, weekdays that don't fit, unknown zones, texts
     without a zone whose source has none, and slashed dates that need a missing day_first. Digits finer than a microsecond are cut.
     A date without time of day gives no ``instant``.
     """
-    t, z0 = F.col("_t"), F.col(zone)
-    d = once(df, _t=F.regexp_replace(F.col(text), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    t, z0 = F.col("_t"), F.col("_zone")
+    # The rows travel as one struct, so that no column of theirs can clash with those made here.
+    rows = [c for c in df.columns if c != out]
+    d = df.select(F.struct(*rows).alias("_row"), F.col(zone).alias("_zone"), F.col(day_first).alias("_first"), F.regexp_replace(F.col(text), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("_text"))
+    d = once(d, _t=F.col("_text"))
     d = once(d, _x=_read(t, cascade))
     d = once(d, **{f"_x_{g}": F.nullif(F.get("_x", F.lit(i)), F.lit("")) for i, g in enumerate(_PARTS)})
     x = lambda k: F.col(f"_x_{k}")
     n = lambda k: x(k).cast("int")
     year = F.when(F.length(x("y")) == 2, n("y") + 2000).otherwise(n("y"))
     mon = F.array_position(F.array(*map(F.lit, MONTHS)), F.upper(x("mon"))).cast("int")
-    first = F.when(F.col(day_first), n("q")).when(~F.col(day_first), n("p"))
-    second = F.when(F.col(day_first), n("p")).when(~F.col(day_first), n("q"))
+    first = F.when(F.col("_first"), n("q")).when(~F.col("_first"), n("p"))
+    second = F.when(F.col("_first"), n("p")).when(~F.col("_first"), n("q"))
     month, dom = F.coalesce(n("mo"), mon, first), F.coalesce(n("d"), second)
     hour = F.when(x("ap").isNull(), n("h")).when((n("h") >= 1) & (n("h") <= 12), n("h") % 12 + F.when(F.upper(x("ap")) == "PM", 12).otherwise(0))
     micros = F.rpad(F.substring(F.coalesce(x("f"), F.lit("0")), 1, 6), 6, "0").cast("int")
@@ -125,11 +128,13 @@ def normalise_times(df: DataFrame, text: str, zone: str = "zone", day_first: str
     instant = F.when(x("e").isNotNull(), epoch).when(F.col("_min").isNotNull(), at_offset).when(F.col("_region").isNotNull(), _utc(F.col("_local"), F.col("_region")))
     d = once(d, _at=instant, _only=F.when(x("h").isNull() & x("e").isNull(), F.col("_day")))
     midnight = F.when(F.col("_region").isNotNull(), _utc(F.col("_only").cast("timestamp_ntz"), F.col("_region")))
-    return d.select(*df.columns, F.struct(F.col("_at").alias("instant"), F.col("_only").alias("day"), midnight.alias("midnight")).alias(out))
+    return d.select("_row.*", F.struct(F.col("_at").alias("instant"), F.col("_only").alias("day"), midnight.alias("midnight")).alias(out))
 
 
 def with_source(df: DataFrame, sources: DataFrame, key: str = "source") -> DataFrame:
-    """Add ``zone`` and ``day_first`` of each row's source; null where the source is null or unknown."""
+    """Add ``zone`` and ``day_first`` of each row's source; null where the source is null or unknown. Columns of these
+    names give way."""
+    df = df.drop("zone", "day_first", "_src")
     side = sources.select(F.col(key).alias("_src"), "zone", "day_first").where("_src is not null").dropDuplicates(["_src"])
     return df.join(bounded_broadcast(side), df[key] == F.col("_src"), "left").drop("_src")
 

@@ -34,7 +34,7 @@ i as (select run_id, ticker, day, 'new' as batch from d, m where day = last and
 select cast(day as varchar) as day, count(*) as n, count(batch) as n_new from (select * from k union all select * from i) group by day
 """)
 def ledger_append(spark, sf):
-    d = table(spark, sf, "mom_history").distinct()
+    d = table(spark, sf, "mom_history").select("run_id", "ticker", "run_date", "rank", "score", "logged_at").distinct()
     day = et_day("run_date")
     incoming = d.where(day == d.agg(F.max(day)).scalar()).where("rank <= 5").select("run_id", "ticker", "run_date", F.lit("new").alias("batch"))
     out = append_by_day(d.select("run_id", "ticker", "run_date"), incoming)

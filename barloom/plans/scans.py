@@ -332,7 +332,7 @@ u as (select max(run_day) as latest from run_days) select latest, tickers, signa
 """)
 def daily_packet(spark, sf):
     """One row from several sources, each a scalar subquery; a source without rows leaves its fields null or 0."""
-    o = table(spark, sf, "outcomes").distinct()
+    o = table(spark, sf, "outcomes").select("outcome_id", "outcome").distinct()
     n = lambda d: d.agg(F.count(F.lit(1))).scalar()
     return spark.range(1).select(
         table(spark, sf, "run_days").agg(F.max("run_day")).scalar().alias("latest"), n(table(spark, sf, "appearances").where("ticker is not null").select("ticker").distinct()).alias("tickers"),

@@ -12,8 +12,9 @@ from barloom.session import table
 query = Registry("with o as (select distinct * from outcomes)")
 
 
-def _outcomes(spark, sf):
-    return table(spark, sf, "outcomes").distinct()
+def _outcomes(spark, sf, *columns):
+    """The columns of each real row; whole rows repeat, so the id and the columns that a query needs tell them apart."""
+    return table(spark, sf, "outcomes").select(*dict.fromkeys(["outcome_id", *columns])).distinct()
 
 
 _RATES = "count(*) as n, count(*) filter (where outcome = 'WON') as won, count(*) filter (where outcome = 'LOST') as lost, count(*) filter (where outcome = 'EXPIRED') as expired, round(avg(days) filter (where outcome = 'WON'), 6) as mean_days, round(avg(result_pct), 6) as expectancy, round(case when count(*) filter (where outcome in ('WON', 'LOST')) > 0 then count(*) filter (where outcome = 'WON') * 100.0 / count(*) filter (where outcome in ('WON', 'LOST')) end, 6) as win_pct"
@@ -21,7 +22,7 @@ _RATES = "count(*) as n, count(*) filter (where outcome = 'WON') as won, count(*
 
 @query(f"select {_RATES} from o")
 def win_rate(spark, sf):
-    return tidy(stats.win_rates(_outcomes(spark, sf)))
+    return tidy(stats.win_rates(_outcomes(spark, sf, "outcome", "days", "result_pct")))
 
 
 @query(f"""
@@ -31,18 +32,18 @@ select stratum, {_RATES} from s group by stratum
 def strata_table(spark, sf):
     c = F.col
     labels = [F.lit("all"), F.when(c("armed") == 1, "armed"), F.when(c("ignited") == 1, "ignited"), F.when(c("quiet") == 1, "quiet"), F.concat(F.lit("spark:"), c("spark_kind"))]
-    return tidy(stats.win_rates(stats.strata(_outcomes(spark, sf), labels), "stratum"))
+    return tidy(stats.win_rates(stats.strata(_outcomes(spark, sf, "outcome", "days", "result_pct", "armed", "ignited", "quiet", "spark_kind"), labels), "stratum"))
 
 
 @query(f", b as (select *, case when score >= 0 and score < 40 then '[0,40)' when score >= 40 and score < 60 then '[40,60)' when score >= 60 and score < 80 then '[60,80)' when score >= 80 and score < 101 then '[80,101)' end as bucket from o) select bucket, {_RATES} from b where bucket is not null group by bucket")
 def bucket_halfopen(spark, sf):
-    d = _outcomes(spark, sf).withColumn("bucket", stats.half_open(F.col("score"), [0, 40, 60, 80, 101])).where("bucket is not null")
+    d = _outcomes(spark, sf, "outcome", "days", "result_pct", "score").withColumn("bucket", stats.half_open(F.col("score"), [0, 40, 60, 80, 101])).where("bucket is not null")
     return tidy(stats.win_rates(d, "bucket"))
 
 
 @query("select outcome, count(*) as n, round(avg(gap_result_pct - result_pct), 6) as delta, round(1.96 * stddev_samp(gap_result_pct - result_pct) / sqrt(count(*)), 6) as ci from o where gap_result_pct is not null and result_pct is not null group by outcome")
 def paired_delta_ci(spark, sf):
-    return tidy(stats.paired(_outcomes(spark, sf), "gap_result_pct", "result_pct", "outcome"))
+    return tidy(stats.paired(_outcomes(spark, sf, "outcome", "result_pct", "gap_result_pct"), "gap_result_pct", "result_pct", "outcome"))
 
 
 @query("""
@@ -50,7 +51,7 @@ def paired_delta_ci(spark, sf):
 select grp as "group", count(*) as n, round(avg(v), 6) as mean, round(1.96 * stddev_samp(v) / sqrt(count(*)), 6) as ci, case when grp = 'Other' then (select string_agg(g, ',' order by g) from n where n < 60) end as members from j group by grp
 """)
 def sector_edge(spark, sf):
-    return tidy(stats.edges(_outcomes(spark, sf), "sector", "result_pct", least=60))
+    return tidy(stats.edges(_outcomes(spark, sf, "sector", "result_pct"), "sector", "result_pct", least=60))
 
 
 @query("""
@@ -58,7 +59,7 @@ def sector_edge(spark, sf):
 select max(score) filter (where i = n // 3) as low, max(score) filter (where i = 2 * n // 3) as high from s
 """)
 def tercile_cuts(spark, sf):
-    return stats.tercile_cuts(_outcomes(spark, sf), "score")
+    return stats.tercile_cuts(_outcomes(spark, sf, "score"), "score")
 
 
 @query("""
@@ -66,7 +67,7 @@ def tercile_cuts(spark, sf):
 select case when k <= 5 then g else 'Other' end as "group", cast(sum(n) as bigint) as n from k group by 1
 """)
 def sector_breakdown(spark, sf):
-    return stats.breakdown(_outcomes(spark, sf), "sector")
+    return stats.breakdown(_outcomes(spark, sf, "sector"), "sector")
 
 
 @query("""
@@ -74,7 +75,7 @@ def sector_breakdown(spark, sf):
 select 'best' as part, outcome_id, fwd_ret_pct as value from b where up <= 3 union all select 'worst', outcome_id, fwd_ret_pct from b where down <= 3 union all select 'mean', null, round(avg(fwd_ret_pct), 6) from r union all select 'median', null, round(median(fwd_ret_pct), 6) from r union all select 'positive_pct', null, round(avg(cast(fwd_ret_pct > 0 as int)) * 100, 6) from r
 """)
 def prior_review(spark, sf):
-    r = _outcomes(spark, sf).where("outcome in ('WON', 'LOST', 'EXPIRED') and fwd_ret_pct is not null").select("outcome_id", "fwd_ret_pct")
+    r = _outcomes(spark, sf, "outcome", "fwd_ret_pct").where("outcome in ('WON', 'LOST', 'EXPIRED') and fwd_ret_pct is not null").select("outcome_id", "fwd_ret_pct")
     best = r.orderBy(F.col("fwd_ret_pct").desc(), "outcome_id").limit(3).select(F.lit("best").alias("part"), "outcome_id", F.col("fwd_ret_pct").alias("value"))
     worst = r.orderBy("fwd_ret_pct", "outcome_id").limit(3).select(F.lit("worst").alias("part"), "outcome_id", F.col("fwd_ret_pct").alias("value"))
     whole = r.agg(F.avg("fwd_ret_pct").alias("mean"), F.median("fwd_ret_pct").alias("median"), (F.avg((F.col("fwd_ret_pct") > 0).cast("int")) * 100).alias("positive_pct")).unpivot([], ["mean", "median", "positive_pct"], "part", "value")

@@ -11,10 +11,12 @@ from barloom.session import table
 def bars_from_trades(trades: DataFrame, ticker: str, at: str, price: str, quantity: str, order: list[str]) -> DataFrame:
     """Bars of trades, one for each ticker and day; open and close by ``order``, which should be total.
 
+    With one column of order, such as a sequence number, trades are aggregated by hash; several columns need a sort.
+
     Trades with a null ticker, time or price don't count. A day without trades has no bar.
     """
     t = trades.where(F.col(ticker).isNotNull() & F.col(at).isNotNull() & F.col(price).isNotNull())
-    by = F.struct(*order)
+    by = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     return t.groupBy(F.col(ticker).cast("string").alias("ticker"), F.to_date(at).alias("session")).agg(
         F.min_by(price, by).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, by).alias("close"), F.sum(quantity).alias("volume")
     )

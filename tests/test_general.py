@@ -109,7 +109,7 @@ TIMES = [
 def test_times(spark):
     spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")  # it must play no part
     try:
-        d = spark.createDataFrame([(i, s, t) for i, (s, t, _, _) in enumerate(TIMES)], "i int, source string, t string").withColumn("at_", F.lit(1))
+        d = spark.createDataFrame([(i, s, t) for i, (s, t, _, _) in enumerate(TIMES)], "i int, source string, t string").withColumns({c: F.lit(1) for c in ("at", "_t", "_x", "_zone", "zone", "_row", "_src")})
         d = normalise_times(with_source(d, spark.createDataFrame(ZONES, "source string, zone string, day_first boolean")), "t")
         got = [(r["i"], r["a"], r["d"]) for r in d.select("i", instant_text().alias("a"), day_text().alias("d")).orderBy("i").collect()]
     finally:
