@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from barloom.session import ship
 
 
+#: Columns of the runs; items' columns of these names, and one called place, give way.
+GROUP, RUN = "__group", "__run"
+
+
 class LoserTree:
     """A multiway merge of sorted sources. Inner nodes hold the loser of their match; only the winner's path is replayed.
 
@@ -56,7 +60,7 @@ def _first_of_groups(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, taken = None, 0
         for batch in batches:
-            codes = batch.column("_group").dictionary_encode()
+            codes = batch.column(GROUP).dictionary_encode()
             ids = codes.indices.to_numpy(zero_copy_only=False)
             if not len(ids):
                 continue
@@ -115,8 +119,8 @@ def _merge(n: int, key_of: list[tuple[str, bool]], schema_cols: list[str]) -> Ca
         for batch in batches:
             if schema is None:
                 schema, names = batch.schema, batch.schema.names
-                g, r = names.index("_group"), names.index("_run")
-                keep = [i for i, x in enumerate(names) if x not in ("_group", "_run")]
+                g, r = names.index(GROUP), names.index(RUN)
+                keep = [i for i, x in enumerate(names) if x not in (GROUP, RUN)]
                 at = [(keep.index(names.index(c)), down) for c, down in key_of]
             cols = [c.to_pylist() for c in batch.columns]
             for row in zip(*cols):
@@ -152,12 +156,13 @@ def top_n(items: DataFrame, group: list[str], order: list[tuple[str, bool]], n:
     then meet and are merged by a loser tree that stops after n.
     """
     ship(items.sparkSession)
+    items = items.drop(GROUP, RUN, "place")
     cols = items.columns
     by = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in order]
     name = F.to_json(F.struct(*group), {"ignoreNullFields": "false"})
     dealt = items.repartition(*spread) if spread else items
-    runs = dealt.withColumn("_group", name).sortWithinPartitions("_group", *by)
+    runs = dealt.withColumn(GROUP, name).sortWithinPartitions(GROUP, *by)
     first = runs.mapInArrow(_first_of_groups(n), runs.schema)
-    met = first.withColumn("_run", F.spark_partition_id()).repartition("_group").sortWithinPartitions("_group", "_run", *by)
+    met = first.withColumn(RUN, F.spark_partition_id()).repartition(GROUP).sortWithinPartitions(GROUP, RUN, *by)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
     return met.mapInArrow(_merge(n, order, cols), f"{types}, place int").select(*cols, "place")

@@ -52,7 +52,7 @@ def test_loser_tree():
 def test_top_n(spark):
     rng = random.Random(3)
     data = [("hot" if i % 3 == 0 else f"g{i % 50}", f"t{i}", rng.choice([None, 1.0, 2.5, 2.5, 9.0]), rng.choice([None, 1, 2])) for i in range(2000)] + [(None, "n", 1.0, 1)]
-    d = spark.createDataFrame(data, "g string, t string, s double, r int").withColumn("_note", F.lit("x"))
+    d = spark.createDataFrame(data, "g string, t string, s double, r int").withColumns({c: F.lit("x") for c in ("_group", "__group", "place")})
     got = {(r["g"], r["place"]): r["t"] for r in topn.top_n(d, ["g"], [("s", True), ("r", False), ("t", False)], 10, ["t"]).collect()}
     groups = {}
     for g, t, s, r in data:
