@@ -28,7 +28,21 @@ class Plan:
 
 
 def _best_configuration(lengths: np.ndarray, prices: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
-    """The configuration of greatest price: unbounded knapsack by dynamic programming over the capacity, then cut to ``most``."""
+    """A configuration of great price with at most ``most`` of each length: the best without that bound, cut to it, and the
+    room this leaves filled in the same way with lengths that are not used up; the best one where nothing is cut."""
+    out, room = np.zeros(len(lengths), dtype=np.int64), capacity
+    while len(free := np.flatnonzero((out < most) & (lengths <= room))):
+        best = _unbounded(lengths[free], prices[free], room)
+        taken = np.minimum(best, most[free] - out[free])
+        out[free] += taken
+        room -= int((taken * lengths[free]).sum())
+        if (taken == best).all():
+            break
+    return out
+
+
+def _unbounded(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The configuration of greatest price: unbounded knapsack by dynamic programming over the capacity."""
     value = np.zeros(capacity + 1)
     choice = np.full(capacity + 1, -1, dtype=np.int64)
     smallest = int(lengths[0])
@@ -48,7 +62,7 @@ def _best_configuration(lengths: np.ndarray, prices: np.ndarray, most: np.ndarra
             continue
         out[choice[c]] += 1
         c -= int(lengths[choice[c]])
-    return np.minimum(out, most)
+    return out
 
 
 def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 400, step: float = 0.5) -> tuple[list[tuple[np.ndarray, float]], np.ndarray]:
@@ -99,8 +113,6 @@ def pack_histogram(counts: dict[int, int], capacity: int, rounds: int = 400) ->
         # Fullest configurations first; each as often as its share of the program and the items left allow.
         fill = lambda a: float((a * lengths).sum())
         for a, x in sorted(configurations, key=lambda p: (-fill(p[0]), -p[1], p[0].tobytes())):
-            if fill(a) < 0.99 * capacity:
-                continue
             c = {int(n): int(k) for n, k in zip(lengths, a) if k}
             times = min([int(x * scale)] + [left[n] // k for n, k in c.items()])
             if times > 0:

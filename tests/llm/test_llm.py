@@ -129,6 +129,17 @@ def test_pack_histogram():
     assert packing.pack_histogram({}, 10).containers == 0
 
 
+def test_pack_histogram_keeps_all_configurations():
+    # No configuration of these fills 99 %; the best fit alone takes 11,000 containers.
+    plan = packing.pack_histogram({1045: 6000, 584: 6000, 543: 6000, 420: 12000}, 2048)
+    assert plan.containers == 9000 and plan.by_program > 0.9 * plan.containers
+
+
+def test_best_configuration_refills_room():
+    a = packing._best_configuration(np.array([2, 3, 7]), np.array([9.0, 1.0, 2.0]), np.array([1, 2, 9]), 20)
+    assert a.tolist() == [1, 2, 1]  # a scarce length of high price leaves no room unused
+
+
 def test_best_configuration():
     rng = np.random.default_rng(1)
     for _ in range(20):
