@@ -1,9 +1,11 @@
 """Personal information in free text: labelers vote on candidate spans, expectation maximisation estimates how reliable
 they are, and a classifier trained on the resulting labels decides.
 
-1. Names that the lexicon lacks are learned from the corpus: words that stand in several kinds of name slots.
+1. Names that the lexicon lacks are learned from the corpus: words that stand in several kinds of name slots. So are
+   words of name slots that are common ones, or that always stand in the same slot.
 2. One pass over the whole texts finds candidate spans of each kind, with the votes of regex, gazetteer and context
-   labelers (for, against, none) and hashed features of the span and its surroundings.
+   labelers (for, against, none) and hashed features of the span and its surroundings. Persons are proposed by known
+   names and by the cues around name slots, there whether the name is known or not.
 3. The votes of all candidates are counted by pattern, and expectation maximisation runs on those counts.
 4. A logistic classifier for each kind is fitted to the posteriors of a bounded sample and decides all candidates.
 """
@@ -31,6 +33,8 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 SLOT_KINDS, SLOT_SHARE, MAX_NAMES = 3, 0.02, 200_000
 #: The share that a town must have of the places that start with its first word.
 TOWN_SHARE = 0.3
+#: How likely a name must be to stand in one kind of slot only, as often as it does, not to count as a fixed phrase.
+ONE_SLOT = 0.05
 #: Candidates of each kind, at most, that the classifier is fitted on, and its hashed features.
 SAMPLE, BUCKETS = 10_000, 1 << 14
 
@@ -135,8 +139,10 @@ class Names:
     """The names to look for: their forms in one automaton with the signs of addresses and emails, and which are given and
     family names."""
 
-    def __init__(self, given: set[str], family: set[str]):
-        self.forms = (set(given), set(family))
+    def __init__(self, given: set[str], family: set[str], common: set[str] | frozenset[str] = frozenset()):
+        """``common``: words of name slots that are rather no names."""
+        self.forms = (set(given), set(family), set(common))
+        self.common = set(common)
         self.given, self.family = {x.lower() for x in given}, {x.lower() for x in family}
         self.all = self.given | self.family
         self.auto = ahocorasick.Automaton()
@@ -147,6 +153,10 @@ class Names:
             self.auto.add_word(word, (1, len(word), lang))
         for word in ("@", "(at)", "[at]", "(AT)", "[AT]", " dot ", " DOT "):
             self.auto.add_word(word, (2, len(word), ""))
+        for tag, table in ((3, _CUES_BEFORE), (4, _CUES_AFTER)):
+            for kind, cues in table.items():
+                for cue in cues:
+                    self.auto.add_word(cue, (tag, len(cue), kind))
         self.auto.make_automaton()
 
     def knows(self, token: str) -> bool:
@@ -160,6 +170,68 @@ class Names:
         return token.lower().split("-")[0] in self.given
 
 
+_TITLES = frozenset(c.strip(" .") for c in _CUES_BEFORE["title"])
+#: Kinds of slots that hold persons and hardly anything else.
+_SURE_SLOTS = frozenset(("greeting", "title", "closing", "field", "chat", "id"))
+_CAPITAL = r"[^\W\d_a-zß-ÿ][^\W\d_]+(?:['’-][^\W\d_]+)*"
+_PROPOSED = re.compile(rf"((?:[A-ZÀ-Þ]\. ?){{0,2}})({_CAPITAL})")
+_PROPOSED_NEXT = re.compile(rf" ((?:[A-ZÀ-Þ]\. ?){{0,2}})({_CAPITAL})(?![\w@])")
+_FLIPPED = re.compile(rf", ({_CAPITAL})(?=[\"\n]| <)")
+
+
+def _more(t: str, names: Names, b: int, most: int = 3) -> int:
+    """Where a name that is proposed up to ``b`` ends: further capitalised words of the line belong to it, up to a family name,
+    unless they are common words, titles or part of a firm's name."""
+    while most and (m := _PROPOSED_NEXT.match(t, b)) and not _FIRM.match(t, b):
+        word = _POSSESSIVE.sub("", m.group(2))
+        if not _is_name_word(word) or not names.knows(word) and (word in names.common or word in _TITLES):
+            break
+        b, most = m.start(2) + len(word), most - 1
+        if names.is_family(word) and not names.is_given(word):
+            break
+    return b
+
+
+def _proposals(t: str, names: Names, cues: list[tuple[int, int, int, str]], taken: list[tuple[int, int]]) -> dict[int, tuple[int, int, str]]:
+    """Start of a name's first word: start with initials, end and kind of slot, of the names that cues announce or follow.
+    ``cues``: tag, start, end and kind of those in the text; ``taken``: other spans, whose last word is no cue (as Dr. of a street)."""
+    out: dict[int, tuple[int, int, str]] = {}
+    for tag, start, end, kind in cues:
+        if tag == 3:
+            if end >= len(t) or not t[end].isupper() or start and t[start].isalpha() and t[start - 1].isalnum():
+                continue
+            if any(x <= start < y for x, y in taken):
+                continue
+            m = _PROPOSED.match(t, end)
+            if not m or m.group(2) in _TITLES:
+                continue
+            a, word = m.start(2), _POSSESSIVE.sub("", m.group(2))
+            b = a + len(word)
+            if b == m.end() and not (names.is_family(word) and not names.is_given(word)):
+                b = _more(t, names, b)
+            if kind == "field" and b == m.end() and (flip := _FLIPPED.match(t, b)):
+                b = flip.end()
+            if kind == "greeting" and b == m.end() and not m.group(1) and t[b : b + 1] not in (",", "!", ":"):
+                continue
+            if kind == "chat" and (t[b : b + 1] not in (":", ">") or not _CHAT.search(t, max(0, end - 8), end)):
+                continue
+            first = end
+        else:
+            m = _NAME_THERE.search(t, max(0, start - 44), start) if start and t[start - 1].isalpha() else None
+            if not m:
+                continue
+            g = 3 if m.group(1) in _TITLES else 1
+            if m.group(2) or not m.group(g) or not all(_is_name_word(x) for x in m.groups()[g - 1 :: 2] if x):
+                continue
+            if "\n" in t[m.start(g) : start]:
+                continue
+            word, a, b = m.group(g), m.start(g), start
+            first = a - 3 if g == 1 and t[a - 2 : a] == ". " and m.start() <= a - 3 and t[a - 3 : a - 2].isupper() else a
+        if _is_name_word(word) and (a not in out or out[a][1] < b):
+            out[a] = (first, b, kind)
+    return out
+
+
 def _same_case(a: str, b: str) -> bool:
     return a.isupper() == b.isupper() and a.islower() == b.islower()
 
@@ -381,9 +453,12 @@ _POSSESSIVE = re.compile(r"['’]s$", re.I)
 _LEVELS = ("INFO", "WARN", "ERROR", "DEBUG")
 
 
-def _persons(t: str, names: Names, hits: list[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, str]]:
+def _persons(t: str, names: Names, hits: list[tuple[int, int]], taken: list[tuple[int, int]], proposed: dict[int, tuple[int, int, str]] | None = None) -> Iterator[tuple[int, int, str, str]]:
     starts = [x[0] for x in taken]
     end, size = -1, len(t)
+    proposed = proposed or {}
+    if proposed:
+        hits = sorted([*hits, *((a, m.end()) for a in proposed if (m := _TOKEN.match(t, a)))])
     for a, b in hits:
         if a < end or a and (t[a - 1].isalnum() or t[a - 1] in "_@+") or b < size and (t[b].isalnum() or t[b] in "_@+"):
             continue
@@ -398,9 +473,13 @@ def _persons(t: str, names: Names, hits: list[tuple[int, int]], taken: list[tupl
             continue
         token = _POSSESSIVE.sub("", t[a:b]) if t[b - 1] in "sS" else t[a:b]
         b = a + len(token)
-        if not names.knows(token):
+        slot = proposed.get(a)
+        if not names.knows(token) and not slot:
             continue
-        a, b = _phrase(t, names, a, b)
+        known = names.knows(token)
+        a, b = _phrase(t, names, a, b) if known else slot[:2]
+        if known and slot and b < slot[1] and not names.is_family(_TOKEN.findall(t[a:b])[-1]):
+            b = slot[1]  # a given name and a family name that isn't known
         i = bisect_left(starts, b) - 1
         if i >= 0 and taken[i][1] > a and (m := _TOKEN.search(t, taken[i][1], b)):
             a = m.start()  # what looked like an initial ends another span
@@ -422,7 +501,10 @@ def _persons(t: str, names: Names, hits: list[tuple[int, int]], taken: list[tupl
         firm = firm or not shape and bool(cap) and not names.knows(cap) and cap not in _LEVELS
         month = not shape and words[0] == "May" and after[1:2].isdigit()
         plain = not shape and not by and not cue and after[:1] == " " and after[1:2].islower()
-        votes = _vote(both) + _vote(shape) + _vote(cue) + _vote(by) + _vote(False, firm) + _vote(False, month and not cue or plain) + _vote(family and not firm) + _vote(False, not shape and not cue and not by)
+        strange = [w for w in words if len(w) > 1 and not names.knows(w)] if slot else []
+        common = any(w in names.common for w in strange)
+        doubt = common or bool(strange) and not shape and slot[2] not in _SURE_SLOTS
+        votes = _vote(both) + _vote(shape) + _vote(cue) + _vote(by) + _vote(False, firm) + _vote(False, month and not cue or plain) + _vote(family and not firm) + _vote(False, common or not shape and not cue and not by) + _vote(False, doubt)
         yield a, b, votes, f"{before[-1:]}|{after[:1]}|{len(words)}"
 
 
@@ -439,6 +521,8 @@ def _features(k: int, votes: str, t: str, a: int, b: int, more: str) -> list[int
         return []  # a single word with votes only against it: the classifier's constant decides
     parts = [f"{k}v{i}{v}" for i, v in enumerate(votes) if v != "0"]
     parts.append(f"{k}all{votes}")
+    if k == 4 and votes[8] == "-":  # what surrounds a common word tells nothing of names
+        return [_hashed(p) for p in [*parts, f"x={t[a:b].lower()}"]]
     before, after = t[max(0, a - 16) : a], t[b : b + 14]
     prev, nxt = (_TOKEN.findall(before) or [""])[-1].lower(), (_TOKEN.findall(after) or [""])[0].lower()
     parts += [f"{k}p={prev}", f"{k}n={nxt}", f"{k}c={before[-1:]}", f"{k}d={after[:1]}"]
@@ -463,14 +547,16 @@ def _flat(text: str) -> str:
 def candidates_of(text: str, names: Names) -> list[tuple[int, int, int, str, list[int], str]]:
     """(kind number, start, end, votes, features, town) of each candidate; spans of earlier kinds hide those of later ones."""
     t = _flat(text)
-    hits, streets, at = [], [], []
+    hits, streets, at, cues = [], [], [], []
     for last, (tag, size, lang) in names.auto.iter(t):
         if tag == 0:
             hits.append((last + 1 - size, last + 1))
         elif tag == 1:
             streets.append((last + 1 - size, last + 1, lang))
-        else:
+        elif tag == 2:
             at.append(last + 1)
+        else:
+            cues.append((tag, last + 1 - size, last + 1, lang))
     found, taken = [], []
 
     def keep(k: int, a: int, b: int, votes: str, town: str = "") -> None:
@@ -495,7 +581,7 @@ def candidates_of(text: str, names: Names) -> list[tuple[int, int, int, str, lis
         keep(3, a, b, votes, town)
     taken += own
     taken.sort()
-    found += [(4, *p, "") for p in _persons(t, names, hits, taken)]
+    found += [(4, *p, "") for p in _persons(t, names, hits, taken, _proposals(t, names, cues, taken))]
     return [(k, a, b, votes, _features(k, votes, t, a, b, more), town) for k, a, b, votes, more, town in found]
 
 
@@ -509,16 +595,22 @@ def _cue_automaton() -> ahocorasick.Automaton:
     return auto
 
 
+_LOWER = re.compile(r"(?<= )[a-zß-ÿ]{2,}(?=[ ,])")
+
+
 def _is_name_word(word: str | None) -> bool:
     return bool(word) and len(word) > 1 and word[0].isupper() and not word.isupper()
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, place, slot kind, count) of the words in name slots; place: 0 the first, 1 a later one."""
+    """(word, place, slot kind, count) of the words in name slots; place: 0 the first, 1 a later one. At place -1 how often the
+    word stands in lower case in the same texts."""
     counts: Counter = Counter()
+    lower: Counter = Counter()
     auto = _cue_automaton()
     for batch in batches:
         for t in batch.column(0).to_pylist():
+            lower.update(_LOWER.findall(t or ""))
             for last, (kind, size, after) in auto.iter(t or ""):
                 start, end = last + 1 - size, last + 1
                 if after:
@@ -539,6 +631,7 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if two:
                     counts[second, int(not flip), kind] += 1
     rows = list(counts.items())
+    rows += [((w, -1, ""), n) for w in {k[0] for k in counts} if (n := lower[w.lower()])]
     yield pa.RecordBatch.from_arrays(
         [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([k[2] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())],
         ["word", "place", "slot", "n"],
@@ -547,24 +640,36 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_names(documents: DataFrame, text: str, lexicon: DataFrame) -> Names:
     """The lexicon's names and those learned: words that stand in at least SLOT_KINDS kinds of slots of the corpus,
-    each with SLOT_SHARE of the word's slots; as shares they mean the same at any size.
+    each with SLOT_SHARE of the word's slots. A name seen in fewer is still found where a cue proposes it.
+
+    Common are words of slots that stand more often in lower case, and those which stand in one kind of slot only, so often
+    that a name, spread over the kinds as all words in slots are, would do so with a probability under ONE_SLOT.
 
     Slots are counted over all texts, first in each task. Learned names are at most MAX_NAMES (the commonest), which
     bounds what the driver and each worker hold; the lexicon is a fixed table.
     """
     ship(documents.sparkSession)
     seen = documents.select(F.col(text).cast("string")).mapInArrow(_slots, "word string, place int, slot string, n long")
-    slots = seen.groupBy("word", "slot").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("place") == 1, F.col("n")).otherwise(0)).alias("later"))
+    seen = materialize(seen, "slots")
+    slots = seen.where("place >= 0").groupBy("word", "slot").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("place") == 1, F.col("n")).otherwise(0)).alias("later"))
     slots = slots.withColumn("all", F.sum("n").over(Window.partitionBy("word")))  # as many rows a word as there are kinds
     per = slots.groupBy("word").agg(F.count(F.when(F.col("n") >= SLOT_SHARE * F.col("all"), 1)).alias("kinds"), F.sum("n").alias("n"), F.sum("later").alias("later"))
     rows = per.where(F.col("kinds") >= SLOT_KINDS).orderBy(F.col("n").desc(), "word").limit(MAX_NAMES).collect()
     given = {r["name"] for r in lexicon.where("kind = 'given' and name is not null").collect()}
     family = {r["name"] for r in lexicon.where("kind = 'family' and name is not null").collect()}
     known = given | family
+    kinds = {r["slot"]: r["n"] for r in seen.where("place >= 0").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
+    share = F.lit(1.0)
+    for kind, n in kinds.items():
+        share = F.when(F.col("slot") == kind, F.lit(n / sum(kinds.values()))).otherwise(share)
+    small = seen.where("place < 0").groupBy("word").agg(F.sum("n").alias("lower"))
+    words = slots.groupBy("word").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max("slot").alias("slot")).join(small.hint("merge"), "word", "left")
+    odd = words.where((F.coalesce("lower", F.lit(0)) > F.col("n")) | (F.col("kinds") == 1) & (F.pow(share, F.col("n") - 1) < ONE_SLOT))
+    common = {r["word"] for r in odd.collect()} - known - {r["word"] for r in rows}
     for r in rows:
         if r["word"] not in known:
             (family if r["later"] * 2 > r["n"] else given).add(r["word"])
-    return Names(given, family)
+    return Names(given, family, common)
 
 
 def find_candidates(documents: DataFrame, id_column: str, text: str, names: Names) -> DataFrame:

@@ -240,3 +240,16 @@ def test_learned_names():
     kinds = got.groupby("word").slot.nunique()
     assert kinds["Nadja"] >= 3 and kinds["Kuhn"] >= 3 and kinds["Team"] == 1
     assert set(got[(got.word == "Kuhn")].place) == {1}
+
+
+def test_cues_propose_unknown_names(spark):
+    texts = ["Dear Mr Xiomar Quellin, thanks.", 'row {"owner": "Tibor Vasqua", "n": 1}', "Ask Rosa Underly about it.", "Later Orsolo Brandt says no.", "From: Quellin, Xiomar <x>"] + ["Dear Board, the board and the gate met."] * 30 + [text for text, _ in CASES]
+    want = ["Xiomar Quellin", "Tibor Vasqua", "Rosa Underly", None, "Quellin, Xiomar"] + [None] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lexicon = spark.createDataFrame([(n, "given") for n in GIVEN] + [(n, "family") for n in FAMILY], "name string, kind string")
+    assert "Board" in pii.learn_names(docs, "text", lexicon).common
+    got = {}
+    for r in pii.find_personal(docs, "doc_id", "text", lexicon).collect():
+        got.setdefault(r["doc_id"], []).append(texts[r["doc_id"]][r["start_pos"] : r["end_pos"]])
+    for i, name in enumerate(want):
+        assert i == 3 or got.get(i, []) == ([name] if name else []), texts[i]
