@@ -31,7 +31,7 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 #: Slots of different kinds a word must stand in to be learned as a name, the share of its slots that a kind must have to
 #: count, and the most names or towns learned (by frequency), which bounds what every worker holds.
 SLOT_KINDS, SLOT_SHARE, MAX_NAMES = 3, 0.02, 200_000
-#: The share that a town must have of the places that start with its first word.
+#: The share that a town must have of the places that it starts or that start it.
 TOWN_SHARE = 0.3
 #: How likely a name must be to stand in one kind of slot only, as often as it does, not to count as a fixed phrase.
 ONE_SLOT = 0.05
@@ -741,6 +741,20 @@ def fit(features: list[list[int]], labels: np.ndarray, rounds: int = 120) -> tup
     return w, bias
 
 
+def known_towns(seen: dict[str, int]) -> set[str]:
+    """The places, in lower case with how often each is seen, that are towns: with at least TOWN_SHARE of what is seen of them
+    and of their own longer and shorter forms, which start with the same words. Other towns of the same first word don't count."""
+    related = dict(seen)
+    for place, n in seen.items():
+        words = place.split(" ")
+        for k in range(1, len(words)):
+            short = " ".join(words[:k])
+            if short in seen:
+                related[short] += n
+                related[place] += seen[short]
+    return {place for place, n in seen.items() if n >= TOWN_SHARE * related[place]}
+
+
 def find_personal(documents: DataFrame, id_column: str, text: str, lexicon: DataFrame, threshold: float = 0.5) -> DataFrame:
     """id_column, kind, start_pos, end_pos of personal information; positions count code points from 0, end exclusive.
 
@@ -760,10 +774,9 @@ def find_personal(documents: DataFrame, id_column: str, text: str, lexicon: Data
         rows = sample.select("votes", "features").collect()  # at most SAMPLE
         if rows:
             models[k] = fit([r["features"] for r in rows], np.array([posterior[r["votes"]] for r in rows]))
-    # Towns end addresses: those seen at least three times where their end is sure, and no rare one of a common first word.
+    # Towns end addresses: those seen where their end is sure, and no rare longer or shorter form of a common one.
     sure = found.where(F.substring("town", 1, 1).isin("=", "!")).groupBy(F.lower(F.substring("town", 2, 100)).alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    sure = sure.withColumn("all", F.sum("n").over(Window.partitionBy(F.substring_index("t", " ", 1))))
-    towns = {r["t"] for r in sure.where((F.col("n") >= 3) & (F.col("n") >= TOWN_SHARE * F.col("all"))).orderBy(F.col("n").desc(), "t").limit(MAX_NAMES).collect()}
+    towns = known_towns({r["t"]: r["n"] for r in sure.orderBy(F.col("n").desc(), "t").limit(MAX_NAMES).collect()})
     weights = {k: (w.astype(np.float32), b) for k, (w, b) in models.items()}
     bar = float(np.log(threshold / (1 - threshold)))
 

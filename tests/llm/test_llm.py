@@ -253,3 +253,9 @@ def test_cues_propose_unknown_names(spark):
         got.setdefault(r["doc_id"], []).append(texts[r["doc_id"]][r["start_pos"] : r["end_pos"]])
     for i, name in enumerate(want):
         assert i == 3 or got.get(i, []) == ([name] if name else []), texts[i]
+
+
+def test_known_towns():
+    seen = {"san abel": 5, "san bruma": 5, "san corvo": 5, "san delmo": 5, "new hallow": 1, "old ferry": 40, "old ferry gestern": 2}
+    assert pii.known_towns(seen) == set(seen) - {"old ferry gestern"}
+    assert pii.known_towns({k: 1000 * n for k, n in seen.items()}) == pii.known_towns(seen)
