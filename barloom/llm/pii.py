@@ -29,7 +29,7 @@ from barloom.session import materialize, ship
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 #: Slots of different kinds a word must stand in to be learned as a name, the share of its slots that a kind must have to
-#: count, and the most names or towns learned (by frequency), which bounds what every worker holds.
+#: count, and the most names, common words or places learned, which bounds what every worker holds: more raise an error.
 SLOT_KINDS, SLOT_SHARE, MAX_NAMES = 3, 0.02, 200_000
 #: The share that a town must have of the places that it starts or that start it.
 TOWN_SHARE = 0.3
@@ -638,6 +638,15 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _bounded(rows: DataFrame, what: str, most: int | None = None) -> list:
+    """The rows, which must be at most ``most`` (MAX_NAMES): to drop some would lose personal information unseen."""
+    most = MAX_NAMES if most is None else most
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} {what} learned: raise barloom.llm.pii.MAX_NAMES and the workers' memory")
+    return got
+
+
 def learn_names(documents: DataFrame, text: str, lexicon: DataFrame) -> Names:
     """The lexicon's names and those learned: words that stand in at least SLOT_KINDS kinds of slots of the corpus,
     each with SLOT_SHARE of the word's slots. A name seen in fewer is still found where a cue proposes it.
@@ -645,7 +654,7 @@ def learn_names(documents: DataFrame, text: str, lexicon: DataFrame) -> Names:
     Common are words of slots that stand more often in lower case, and those which stand in one kind of slot only, so often
     that a name, spread over the kinds as all words in slots are, would do so with a probability under ONE_SLOT.
 
-    Slots are counted over all texts, first in each task. Learned names are at most MAX_NAMES (the commonest), which
+    Slots are counted over all texts, first in each task. More learned names than MAX_NAMES raise an error, which
     bounds what the driver and each worker hold; the lexicon is a fixed table.
     """
     ship(documents.sparkSession)
@@ -654,7 +663,7 @@ def learn_names(documents: DataFrame, text: str, lexicon: DataFrame) -> Names:
     slots = seen.where("place >= 0").groupBy("word", "slot").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("place") == 1, F.col("n")).otherwise(0)).alias("later"))
     slots = slots.withColumn("all", F.sum("n").over(Window.partitionBy("word")))  # as many rows a word as there are kinds
     per = slots.groupBy("word").agg(F.count(F.when(F.col("n") >= SLOT_SHARE * F.col("all"), 1)).alias("kinds"), F.sum("n").alias("n"), F.sum("later").alias("later"))
-    rows = per.where(F.col("kinds") >= SLOT_KINDS).orderBy(F.col("n").desc(), "word").limit(MAX_NAMES).collect()
+    rows = _bounded(per.where(F.col("kinds") >= SLOT_KINDS).select("word", "n", "later"), "names")
     given = {r["name"] for r in lexicon.where("kind = 'given' and name is not null").collect()}
     family = {r["name"] for r in lexicon.where("kind = 'family' and name is not null").collect()}
     known = given | family
@@ -665,7 +674,7 @@ def learn_names(documents: DataFrame, text: str, lexicon: DataFrame) -> Names:
     small = seen.where("place < 0").groupBy("word").agg(F.sum("n").alias("lower"))
     words = slots.groupBy("word").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max("slot").alias("slot")).join(small.hint("merge"), "word", "left")
     odd = words.where((F.coalesce("lower", F.lit(0)) > F.col("n")) | (F.col("kinds") == 1) & (F.pow(share, F.col("n") - 1) < ONE_SLOT))
-    common = {r["word"] for r in odd.collect()} - known - {r["word"] for r in rows}
+    common = {r["word"] for r in _bounded(odd.select("word"), "common words")} - known - {r["word"] for r in rows}
     for r in rows:
         if r["word"] not in known:
             (family if r["later"] * 2 > r["n"] else given).add(r["word"])
@@ -776,7 +785,7 @@ def find_personal(documents: DataFrame, id_column: str, text: str, lexicon: Data
             models[k] = fit([r["features"] for r in rows], np.array([posterior[r["votes"]] for r in rows]))
     # Towns end addresses: those seen where their end is sure, and no rare longer or shorter form of a common one.
     sure = found.where(F.substring("town", 1, 1).isin("=", "!")).groupBy(F.lower(F.substring("town", 2, 100)).alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    towns = known_towns({r["t"]: r["n"] for r in sure.orderBy(F.col("n").desc(), "t").limit(MAX_NAMES).collect()})
+    towns = known_towns({r["t"]: r["n"] for r in _bounded(sure, "places")})
     weights = {k: (w.astype(np.float32), b) for k, (w, b) in models.items()}
     bar = float(np.log(threshold / (1 - threshold)))
 

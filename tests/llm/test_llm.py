@@ -259,3 +259,13 @@ def test_known_towns():
     seen = {"san abel": 5, "san bruma": 5, "san corvo": 5, "san delmo": 5, "new hallow": 1, "old ferry": 40, "old ferry gestern": 2}
     assert pii.known_towns(seen) == set(seen) - {"old ferry gestern"}
     assert pii.known_towns({k: 1000 * n for k, n in seen.items()}) == pii.known_towns(seen)
+
+
+def test_too_many_names_fail(spark, monkeypatch):
+    texts = [f"{cue}{name}{end}" for name in ("Nadja", "Tibor") for cue, end in (("Dear ", ","), ("signed, ", "\n"), ("Ask ", " now"), ("name=", ";"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lexicon = spark.createDataFrame([], "name string, kind string")
+    assert {"Nadja", "Tibor"} <= pii.learn_names(docs, "text", lexicon).forms[0]
+    monkeypatch.setattr(pii, "MAX_NAMES", 1)
+    with pytest.raises(ValueError, match="more than 1 names"):
+        pii.learn_names(docs, "text", lexicon)
