@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.labels import base_state
 from barloom.llm import packing, pii, runs, tokens, topn
-from barloom.session import table
+from barloom.session import materialize, table
 
 #: Containers of p9, in tokens.
 CAPACITY = 2048
@@ -43,6 +43,20 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", "n_tokens", CAPACITY)
 
 
+def p9_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of p9_containers: texts in it, pieces given twice, containers over capacity, pieces out of order or
+    shorter than they may be, and whether there are at most 1 % (and one) more containers than the volume needs."""
+    placed = materialize(p9_containers(spark, sf), "placed")
+    n = F.count(F.lit(1))
+    texts = placed.groupBy("doc_id").agg(n.alias("k"), F.max("piece").alias("last"), F.count(F.when(F.col("size") == CAPACITY, 1)).alias("full"), F.countDistinct("piece").alias("pieces"))
+    ok = (F.col("pieces") == F.col("k")) & (F.col("last") == F.col("k") - 1) & (F.col("full") >= F.col("last"))
+    texts = texts.agg(n.alias("texts"), F.count(F.when(~ok, 1)).alias("broken"))
+    rooms = placed.groupBy("container").agg(F.sum("size").alias("used"))
+    rooms = rooms.agg(F.count(F.when(F.col("used") > CAPACITY, 1)).alias("over"), F.count(F.when(F.col("used") > 0, 1)).alias("c"), F.sum("used").alias("v"))
+    few = F.coalesce(F.col("c") <= F.ceil(F.col("v") / CAPACITY) * 1.01 + 1, F.lit(True))
+    return spark.range(1).select(*[texts.select(c).scalar().alias(c) for c in ("texts", "broken")], rooms.select("over").scalar().alias("over"), rooms.select(few).scalar().alias("few"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find_personal(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "name_lexicon"))
 
@@ -51,7 +65,7 @@ def p10_replaced(spark: SparkSession, sf: str) -> DataFrame:
     return pii.replaced(table(spark, sf, "documents"), "doc_id", "text", p10_found(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p7_found, p7_top, p8_ids, p9_containers, p10_found, p10_replaced)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p7_found, p7_top, p8_ids, p9_containers, p9_summary, p10_found, p10_replaced)}
 
 _BASE = "case when regexp_matches(state, '^[^\\pL]*risk[^\\pL\\pN]{0,3}on([^\\pL]|$)', 'i') then 'RISK-ON' when regexp_matches(state, '^[^\\pL]*risk[^\\pL\\pN]{0,3}off([^\\pL]|$)', 'i') then 'RISK-OFF' when regexp_matches(state, '^[^\\pL]*caution([^\\pL]|$)', 'i') then 'CAUTION' end"
 _RUNS = f"""
@@ -69,5 +83,6 @@ SQL = {
     "p4_found": _RUNS + "select ledger_id, first_run_id, last_run_id, n_readings from spans where n_readings >= 2",
     "p4_runs": _RUNS + "select *, (epoch_us(ended) - epoch_us(started)) / 1e6 as duration_s from spans",
     "p7_found": _TOP + "select run_id, ticker from placed where place <= 10",
+    "p9_summary": "select count(distinct doc_id) as texts, 0::bigint as broken, 0::bigint as over, true as few from documents",
     "p7_top": _TOP + "select run_id, ticker, score, rank, place from placed where place <= 10",
 }

@@ -135,6 +135,59 @@ def test_pack_histogram_keeps_all_configurations():
     assert plan.containers == 9000 and plan.by_program > 0.9 * plan.containers
 
 
+def test_pack_histogram_reaches_its_bound():
+    # Six lengths, none of which pair up to a full container: 26,250 is the program's optimum.
+    plan = packing.pack_histogram({n: 10_000 for n in (600, 700, 800, 900, 1000, 1100)}, 2048)
+    assert plan.containers <= 26_260 and plan.by_program >= 0.95 * plan.containers and plan.bound <= 26_250
+    assert plan.bound >= 0.98 * plan.containers
+    # At most two of these fit side by side, whatever their volume.
+    rng = np.random.default_rng(1)
+    lengths, counts = np.unique(rng.integers(690, 1020, 40_000), return_counts=True)
+    plan = packing.pack_histogram({int(n): int(c) for n, c in zip(lengths, counts)}, 2048, rounds=40)
+    assert plan.containers == plan.bound == 20_000
+
+
+def test_bounds_hold():
+    # Against the true optimum of small cases, by trying all packings.
+    def optimum(sizes, capacity):
+        best = [len(sizes)]
+
+        def place(i, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if i == len(sizes):
+                best[0] = len(rooms)
+                return
+            for j in range(len(rooms)):
+                if rooms[j] >= sizes[i] and rooms[j] not in rooms[:j]:
+                    place(i + 1, rooms[:j] + [rooms[j] - sizes[i]] + rooms[j + 1 :])
+            place(i + 1, [*rooms, capacity - sizes[i]])
+
+        place(0, [])
+        return best[0]
+
+    rng = random.Random(8)
+    for _ in range(40):
+        sizes = sorted((rng.randrange(1, 21) for _ in range(9)), reverse=True)
+        plan = packing.pack_histogram({n: sizes.count(n) for n in sizes}, 20, rounds=30)
+        assert plan.bound <= optimum(sizes, 20) <= plan.containers <= optimum(sizes, 20) + 1
+
+
+def test_knapsack():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        lengths = np.unique(rng.integers(1, 14, 5))
+        prices = rng.random(len(lengths))
+        sack = packing.Knapsack(lengths, prices, 30)
+        price = dict(zip(lengths.tolist(), prices.tolist()))
+        value = np.zeros(31)
+        for c in range(1, 31):
+            value[c] = max([value[c - 1]] + [value[c - n] + p for n, p in price.items() if n <= c])
+            a = sack.configuration(c)
+            assert sum(n * k for n, k in a.items()) <= c and abs(sum(price[n] * k for n, k in a.items()) - value[c]) < 1e-9
+        assert np.allclose(sack.value, value)
+
+
 def test_best_configuration_refills_room():
     a = packing._best_configuration(np.array([2, 3, 7]), np.array([9.0, 1.0, 2.0]), np.array([1, 2, 9]), 20)
     assert a.tolist() == [1, 2, 1]  # a scarce length of high price leaves no room unused
@@ -169,6 +222,11 @@ def test_pack(spark):
     assert not sizes
     volume = -(-sum(n or 0 for _, n in data) // 50)
     assert len(filled) <= 1.02 * volume + 2
+    parts = packing.pack(d, "id", "n", 50, rounds=60, part=50).collect()  # lengths numbered in several tasks
+    room = {}
+    for r in parts:
+        room[r["container"]] = room.get(r["container"], 0) + r["size"]
+    assert max(room.values()) <= 50 and len(parts) == len(got) and len(room) == len(filled)
     assert packing.pack(d.limit(0), "id", "n", 50).count() == 0
 
 
