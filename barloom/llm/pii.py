@@ -12,7 +12,9 @@ they are, and a classifier trained on the resulting labels decides.
 
 from __future__ import annotations
 
+import copy
 import re
+import uuid
 import zlib
 from bisect import bisect_left
 from collections import Counter
@@ -28,13 +30,17 @@ from pyspark.sql import functions as F
 from barloom.session import materialize, ship
 
 KINDS = ("email", "phone", "id_number", "address", "person")
-#: Slots of different kinds a word must stand in to be learned as a name, the share of its slots that a kind must have to
-#: count, and the most names, common words or places learned, which bounds what every worker holds: more raise an error.
-SLOT_KINDS, SLOT_SHARE, MAX_NAMES = 3, 0.02, 200_000
+#: Slots of different kinds a word must stand in to be learned as a name, and the share of its slots that a kind must have to
+#: count.
+SLOT_KINDS, SLOT_SHARE = 3, 0.02
+#: Names and common words up to which every worker holds them all; more stay a table that texts are joined with.
+HELD = 200_000
 #: The share that a town must have of the places that it starts or that start it.
 TOWN_SHARE = 0.3
 #: How likely a name must be to stand in one kind of slot only, as often as it does, not to count as a fixed phrase.
 ONE_SLOT = 0.05
+#: What is known of labelers beforehand is worth this many candidates, whatever the size of the corpus.
+PRIOR = 100.0
 #: Candidates of each kind, at most, that the classifier is fitted on, and its hashed features.
 SAMPLE, BUCKETS = 10_000, 1 << 14
 
@@ -127,7 +133,7 @@ _NAME_HERE = re.compile(rf"(?:[^\W\d_]\.\s)?({_NAME_WORD})(?:(,?)\s(?:[^\W\d_]\.
 _NAME_THERE = re.compile(rf"(?:^|[.!?>:,;]\s|\n)(?:[^\W\d_]\.\s)?({_NAME_WORD})(?:(,?)\s(?:[^\W\d_]\.\s)?({_NAME_WORD}))?$")
 _CHAT = re.compile(r"\[\d\d:\d\d\] $")
 #: What ends a firm's name.
-_FIRM = re.compile(r"(?: [A-ZÀ-Þ][\w'-]+){0,2}(?: & | and Sons\b| (?:Capital|Group|Holdings?|Partners|Inc|LLC|Ltd|GmbH|AG|Corp|Company|Securities|Analytics|Bank|Trust|Fund|Advisors|Industries|Foundry|Freight|Cement|Dairies|Looms|Tiles)\b)")
+_FIRM = re.compile(r"(?: [A-ZÀ-Þ][\w'-]+){0,2}(?: & | and Sons\b| (?:Capital|Group|Holdings?|Partners|Inc|LLC|Ltd|GmbH|AG|Corp|Company|Securities|Analytics|Bank|Trust|Fund|Advisors|Industries|Associates|Brothers|Bros|Consulting|Ventures|Insurance|Mutual|Realty|Properties|Estates|Hotels|Stores|Foods|Dairies|Breweries|Mills|Looms|Textiles|Tiles|Glass|Paper|Timber|Cement|Steel|Foundry|Mining|Mines|Motors|Tools|Works|Electric|Energy|Power|Oil|Gas|Chemicals|Pharma|Labs|Laboratories|Technologies|Systems|Software|Networks|Media|Press|Publishing|Airlines|Airways|Railways|Shipping|Freight|Logistics|Transport)\b)")
 #: What follows a person's name in a sentence, strongly.
 _BY = re.compile(r"\s(?:says?|said|disagrees|asked|got|took|graded|sold|hat|wohnt|entregó|wrote|thinks|called)\b|,? who\b|'s\b|\)\s[a-z]|:\s|>\s|,\sle llamo|\s<")
 _BEFORE_RE = re.compile(
@@ -135,6 +141,19 @@ _BEFORE_RE = re.compile(
 )
 
 
+ROLES = ("given", "family", "common")
+_JOINT = re.compile(r"['’-]")
+
+
+def _spans(t: str, most: int) -> Iterator[tuple[int, int]]:
+    """Start and end of all runs of letters, and of up to ``most`` of them joined by apostrophes or hyphens."""
+    for m in _TOKEN.finditer(t):
+        cuts = [m.start(), *(j.end() for j in _JOINT.finditer(t, *m.span())), m.end() + 1]
+        for i in range(len(cuts) - 1):
+            for k in range(i + 1, min(len(cuts), i + 1 + most)):
+                yield cuts[i], cuts[k] - 1
+
+
 class Names:
     """The names to look for: their forms in one automaton with the signs of addresses and emails, and which are given and
     family names."""
@@ -142,7 +161,7 @@ class Names:
     def __init__(self, given: set[str], family: set[str], common: set[str] | frozenset[str] = frozenset()):
         """``common``: words of name slots that are rather no names."""
         self.forms = (set(given), set(family), set(common))
-        self.common = set(common)
+        self.common, self.own = set(common), frozenset()
         self.given, self.family = {x.lower() for x in given}, {x.lower() for x in family}
         self.all = self.given | self.family
         self.auto = ahocorasick.Automaton()
@@ -159,6 +178,19 @@ class Names:
                     self.auto.add_word(cue, (tag, len(cue), kind))
         self.auto.make_automaton()
 
+    def beside(self, words: list[tuple[str, str]]) -> Names:
+        """These names and the words (name, role) of one text, which are sought in its tokens instead of by the automaton."""
+        more = copy.copy(self)
+        of = {role: {w for w, r in words if r == role} for role in ROLES}
+        more.given, more.family = self.given | {x.lower() for x in of["given"]}, self.family | {x.lower() for x in of["family"]}
+        more.all, more.common = more.given | more.family, self.common | of["common"]
+        names = of["given"] | of["family"]
+        more.own = frozenset(names | {x.upper() for x in names} | {x.lower() for x in names if x.lower() in more.family})
+        return more
+
+    def own_hits(self, t: str) -> list[tuple[int, int]]:
+        return [(a, b) for a, b in _spans(t, 1 + max(len(_JOINT.findall(x)) for x in self.own)) if t[a:b] in self.own] if self.own else []
+
     def knows(self, token: str) -> bool:
         low = token.lower()
         return low in self.all or "-" in low and all(p in self.all for p in low.split("-"))
@@ -291,8 +323,7 @@ def _numbers(t: str) -> Iterator[tuple[int, int, int, str]]:
         if m.start() and (t[m.start() - 1].isalnum() or t[m.start() - 1] in "_.,+/-"):
             continue
         label = bool(_ID_LABEL.search(t, max(0, m.start() - 34), m.start()))
-        if label or m.group(1):
-            yield 2, *m.span(), _vote(bool(m.group(1))) + _vote(label) + "+0" + _vote(bool(_WORD_END.search(t[max(0, m.start() - 8) : m.start()])))
+        yield 2, *m.span(), _vote(bool(m.group(1))) + _vote(label) + _vote(True) + "0" + _vote(bool(_WORD_END.search(t[max(0, m.start() - 8) : m.start()]))) + _vote(False, not (label or m.group(1)))
     for run in _RUN.finditer(t):
         if sum(map(str.isdigit, run.group())) < 9 or _DATES.match(run.group()):
             continue
@@ -312,17 +343,15 @@ def _numbers(t: str) -> Iterator[tuple[int, int, int, str]]:
             before, after = t[max(0, a - 22) : a], t[b : b + 6]
             other, label = bool(_NUMBER_LABEL.search(before)) and not _AFTER_LINE.search(before[-9:]), bool(_ID_LABEL.search(before))
             led = s[0] in "+(" or s[0] == "0"
-            if s.isdigit() and len(s) == 10 and not led and (other or not (_PHONE_CUE.search(before) or _FIELD_END.search(before))):
-                continue
-            yield 1, a, b, _vote(led) + _vote(bool(_PHONE_CUE.search(before))) + _vote(10 <= digits <= 13) + _vote(False, other or label) + _vote(bool(_EXT.match(after)), after[:1] in "%$")
+            cue = bool(_PHONE_CUE.search(before))
+            bare = s.isdigit() and len(s) == 10 and not led and (other or not (cue or _FIELD_END.search(before)))  # as any number of ten digits
+            yield 1, a, b, _vote(led) + _vote(cue) + _vote(10 <= digits <= 13) + _vote(False, other or label) + _vote(bool(_EXT.match(after)), after[:1] in "%$") + _vote(False, bare)
         for m in _ID.finditer(t, lo, hi):
             a, b = m.span()
             label = bool(_ID_LABEL.search(t, max(0, a - 34), a))
             kind = m.lastgroup
-            if kind == "plain" and not label:
-                continue
             other = bool(_NUMBER_LABEL.search(t, max(0, a - 12), a)) and not label
-            yield 2, a, b, _vote(kind != "plain") + _vote(label) + _vote(label or kind == "ssn") + _vote(False, other) + _vote(bool(_WORD_END.search(t[max(0, a - 8) : a])))
+            yield 2, a, b, _vote(kind != "plain") + _vote(label) + _vote(label or kind == "ssn") + _vote(False, other) + _vote(bool(_WORD_END.search(t[max(0, a - 8) : a]))) + _vote(False, kind == "plain" and not label)
 
 
 _DOTTED = re.compile(r"\b(?:ave)\.$", re.I)
@@ -332,10 +361,13 @@ _GOES_ON = re.compile(r"\s(?!as\b|is\b|has\b|was\b)(?:[a-z]+s\b|Capital|Group|Ho
 _BREAK = re.compile(r"[.,;]?\s*(?:\n|$)")
 
 
-def _town(words: str, towns: set[str]) -> str | None:
-    """The longest start of some words that is a known town."""
-    parts = words.split(" ")
-    return next((" ".join(parts[:k]) for k in range(len(parts), 0, -1) if " ".join(parts[:k]).lower() in towns), None)
+def _words_back(t: str, at: int, words: int) -> int:
+    """Where the ``words``-th word before ``at`` starts, words being separated by blanks and line ends; 0 if there are fewer."""
+    for _ in range(words):
+        at = max(t.rfind(" ", 0, at), t.rfind("\n", 0, at))
+        if at < 0:
+            return 0
+    return at + 1
 
 
 def _addresses(t: str, words: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, str]]:
@@ -345,7 +377,7 @@ def _addresses(t: str, words: list[tuple[int, int, str]]) -> Iterator[tuple[int,
     starts, size = [], len(t)
     for a, b, lang in words:
         if lang == "en":
-            if (b == size or not (t[b].isalnum() or t[b] == "'")) and (m := _NUMBERED.search(t, max(0, a - 64), a)):
+            if (b == size or not (t[b].isalnum() or t[b] == "'")) and (m := _NUMBERED.search(t, _words_back(t, a, 7), a)):
                 starts.append(m.start())
         elif lang == "es":
             starts.append(a)
@@ -353,7 +385,7 @@ def _addresses(t: str, words: list[tuple[int, int, str]]) -> Iterator[tuple[int,
             if m := _FR.search(t, max(0, a - 12), a):
                 starts.append(m.start())
         elif b < len(t) and t[b].isdigit():
-            if m := _DE.search(t, max(0, a - 32), b - 1):
+            if m := _DE.search(t, _words_back(t, a, 4), b - 1):
                 starts.append(m.start())
     end = -1
     for at in sorted(set(starts)):
@@ -403,7 +435,7 @@ def _phrase(t: str, names: Names, a: int, b: int) -> tuple[int, int] | None:
             break
         b = m.start(3) + len(nxt)
     while a > 1 and t[a - 1].isspace() and (t[a - 2].isalpha() or t[a - 2] == "," or t[a - 2] == "." and t[a - 3].isalpha() and not t[a - 4 : a - 3].isalpha()):
-        m = _PREVIOUS.search(t, max(0, a - 36), a)
+        m = _PREVIOUS.search(t, _words_back(t, a - 1, 4), a)
         if not m or "\n" in m.group(3) or "\n" in m.group(2):
             break
         prv, first = m.group(1), _TOKEN.findall(t[a:b])[0]
@@ -493,8 +525,7 @@ def _persons(t: str, names: Names, hits: list[tuple[int, int]], taken: list[tupl
         if before.endswith((" and ", " und ", " et ", " y ")):
             other = _TOKEN.findall(before[:-4])
             cue = bool(other) and names.knows(other[-1])
-        if words[0].islower() and not shape and not cue:
-            continue
+        low = words[0].islower() and not shape and not cue
         by, firm, cap = _then(after) if cue or shape or not _LOWER_WORD.match(after) or _VERB.match(after) else (False, False, "")
         family = any(map(names.is_family, words))
         both = len(words) > 1 and family and any(map(names.is_given, words))
@@ -504,7 +535,7 @@ def _persons(t: str, names: Names, hits: list[tuple[int, int]], taken: list[tupl
         strange = [w for w in words if len(w) > 1 and not names.knows(w)] if slot else []
         common = any(w in names.common for w in strange)
         doubt = common or bool(strange) and not shape and slot[2] not in _SURE_SLOTS
-        votes = _vote(both) + _vote(shape) + _vote(cue) + _vote(by) + _vote(False, firm) + _vote(False, month and not cue or plain) + _vote(family and not firm) + _vote(False, common or not shape and not cue and not by) + _vote(False, doubt)
+        votes = _vote(both) + _vote(shape) + _vote(cue) + _vote(by) + _vote(False, firm) + _vote(False, month and not cue or plain) + _vote(family and not firm) + _vote(False, common or not shape and not cue and not by) + _vote(False, doubt) + _vote(False, low)
         yield a, b, votes, f"{before[-1:]}|{after[:1]}|{len(words)}"
 
 
@@ -557,6 +588,7 @@ def candidates_of(text: str, names: Names) -> list[tuple[int, int, int, str, lis
             at.append(last + 1)
         else:
             cues.append((tag, last + 1 - size, last + 1, lang))
+    hits = sorted([*hits, *names.own_hits(t)]) if names.own else hits
     found, taken = [], []
 
     def keep(k: int, a: int, b: int, votes: str, town: str = "") -> None:
@@ -638,63 +670,94 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _bounded(rows: DataFrame, what: str, most: int | None = None) -> list:
-    """The rows, which must be at most ``most`` (MAX_NAMES): to drop some would lose personal information unseen."""
-    most = MAX_NAMES if most is None else most
+def _held(rows: DataFrame, most: int) -> list | None:
+    """The rows if there are at most ``most`` of them."""
     got = rows.limit(most + 1).collect()
-    if len(got) > most:
-        raise ValueError(f"more than {most} {what} learned: raise barloom.llm.pii.MAX_NAMES and the workers' memory")
-    return got
+    return got if len(got) <= most else None
 
 
-def learn_names(documents: DataFrame, text: str, lexicon: DataFrame) -> Names:
-    """The lexicon's names and those learned: words that stand in at least SLOT_KINDS kinds of slots of the corpus,
-    each with SLOT_SHARE of the word's slots. A name seen in fewer is still found where a cue proposes it.
+def learn_names(documents: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
+    """word and role (given, family, common): the lexicon's names and those learned, words that stand in at least SLOT_KINDS
+    kinds of slots of the corpus, each with SLOT_SHARE of the word's slots. A name seen in fewer is still found where a cue
+    proposes it. The lexicon's names are words, without blanks in them.
 
     Common are words of slots that stand more often in lower case, and those which stand in one kind of slot only, so often
     that a name, spread over the kinds as all words in slots are, would do so with a probability under ONE_SLOT.
 
-    Slots are counted over all texts, first in each task. More learned names than MAX_NAMES raise an error, which
-    bounds what the driver and each worker hold; the lexicon is a fixed table.
+    Slots are counted over all texts, first in each task.
     """
     ship(documents.sparkSession)
     seen = documents.select(F.col(text).cast("string")).mapInArrow(_slots, "word string, place int, slot string, n long")
     seen = materialize(seen, "slots")
     slots = seen.where("place >= 0").groupBy("word", "slot").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("place") == 1, F.col("n")).otherwise(0)).alias("later"))
-    slots = slots.withColumn("all", F.sum("n").over(Window.partitionBy("word")))  # as many rows a word as there are kinds
-    per = slots.groupBy("word").agg(F.count(F.when(F.col("n") >= SLOT_SHARE * F.col("all"), 1)).alias("kinds"), F.sum("n").alias("n"), F.sum("later").alias("later"))
-    rows = _bounded(per.where(F.col("kinds") >= SLOT_KINDS).select("word", "n", "later"), "names")
-    given = {r["name"] for r in lexicon.where("kind = 'given' and name is not null").collect()}
-    family = {r["name"] for r in lexicon.where("kind = 'family' and name is not null").collect()}
-    known = given | family
-    kinds = {r["slot"]: r["n"] for r in seen.where("place >= 0").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
+    kinds = {r["slot"]: r["n"] for r in seen.where("place >= 0").groupBy("slot").agg(F.sum("n").alias("n")).collect()}  # a row for each kind of slot
     share = F.lit(1.0)
     for kind, n in kinds.items():
         share = F.when(F.col("slot") == kind, F.lit(n / sum(kinds.values()))).otherwise(share)
+    words = slots.withColumn("all", F.sum("n").over(Window.partitionBy("word")))  # as many rows a word as there are kinds
+    words = words.groupBy("word").agg(F.count(F.when(F.col("n") >= SLOT_SHARE * F.col("all"), 1)).alias("often"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.sum("later").alias("later"), F.max("slot").alias("slot"))
     small = seen.where("place < 0").groupBy("word").agg(F.sum("n").alias("lower"))
-    words = slots.groupBy("word").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max("slot").alias("slot")).join(small.hint("merge"), "word", "left")
-    odd = words.where((F.coalesce("lower", F.lit(0)) > F.col("n")) | (F.col("kinds") == 1) & (F.pow(share, F.col("n") - 1) < ONE_SLOT))
-    common = {r["word"] for r in _bounded(odd.select("word"), "common words")} - known - {r["word"] for r in rows}
-    for r in rows:
-        if r["word"] not in known:
-            (family if r["later"] * 2 > r["n"] else given).add(r["word"])
-    return Names(given, family, common)
+    listed = lexicon.where("name is not null and kind in ('given', 'family')").select(F.col("name").alias("word"), F.col("kind").alias("role")).distinct()
+    words = words.join(small, "word", "left").join(listed.select("word").distinct(), "word", "left_anti")
+    odd = (F.coalesce("lower", F.lit(0)) > F.col("n")) | (F.col("kinds") == 1) & (F.pow(share, F.col("n") - 1) < ONE_SLOT)
+    role = F.when(F.col("often") >= SLOT_KINDS, F.when(F.col("later") * 2 > F.col("n"), "family").otherwise("given")).when(odd, "common")
+    return materialize(words.select("word", role.alias("role")).where("role is not null").unionByName(listed), "names")
+
 
+_BUILT: dict[str, Names] = {}
 
-def find_candidates(documents: DataFrame, id_column: str, text: str, names: Names) -> DataFrame:
-    """id, kind (number in KINDS), start_pos, end_pos, votes, features and town of all candidate spans; null texts have none."""
+
+def _names(key: str, words) -> Names:
+    """The names of a broadcast list of (word, role), built once a worker."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Names(*({w for w, r in words.value if r == role} for role in ROLES))
+    return _BUILT[key]
+
+
+def _with_own_words(documents: DataFrame, id_column: str, text: str, names: DataFrame) -> DataFrame:
+    """documents (id_column, text) with ``_own``, the words of ``names`` that stand in each text, by a join on the words."""
+    most = names.agg(F.max(F.regexp_count("word", F.lit("['’-]")))).first()[0] or 0
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, out = [], []
+            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                t = _flat(body)
+                own = {t[a:b].lower() for a, b in _spans(t, 1 + most)}
+                keys += [key] * len(own)
+                out += own
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(out, pa.string())], ["key", "low"])
+
+    d = materialize(documents.select(id_column, text).withColumn("_key", F.sha2(F.concat_ws("|", F.col(id_column).cast("string"), text), 256)), "texts")
+    tokens = d.where(F.col(text) != "").select("_key", text).mapInArrow(words, "key string, low string")
+    by_low = names.select(F.lower("word").alias("low"), "word", "role")
+    own = tokens.join(by_low, "low").groupBy("key").agg(F.collect_set(F.struct("word", "role")).alias("_own"))  # the names in one text
+    return d.join(own, F.col("_key") == F.col("key"), "left").select(id_column, text, "_own")
+
+
+def find_candidates(documents: DataFrame, id_column: str, text: str, names: DataFrame, held: int = HELD) -> DataFrame:
+    """id, kind (number in KINDS), start_pos, end_pos, votes, features and town of all candidate spans; null texts have none.
+
+    ``names`` is what learn_names() gives. Up to ``held`` of them go to every worker; of more, each text gets those that
+    stand in it.
+    """
+    spark = documents.sparkSession
     id_type = dict(documents.dtypes)[id_column]
-    forms = names.forms
+    listed = _held(names, held)
+    texts = documents.select(id_column, text) if listed is not None else _with_own_words(documents, id_column, text, names)
+    key, words = uuid.uuid4().hex, spark.sparkContext.broadcast([tuple(r) for r in listed or []])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Names(*forms)
+        known = _names(key, words)
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 where, rows = [], []
-                for i, body in enumerate(part.column(1).to_pylist()):
+                own = part.column(2).to_pylist() if part.num_columns > 2 else [None] * len(part)
+                for i, (body, more) in enumerate(zip(part.column(1).to_pylist(), own)):
                     if body:
-                        found = candidates_of(body, own)
+                        found = candidates_of(body, known.beside([(x["word"], x["role"]) for x in more]) if more else known)
                         rows += found
                         where += [i] * len(found)
                 cols = list(zip(*rows)) if rows else [[]] * 6
@@ -703,30 +766,31 @@ def find_candidates(documents: DataFrame, id_column: str, text: str, names: Name
                     ["id", "kind", "start_pos", "end_pos", "votes", "features", "town"],
                 )
 
-    return documents.select(id_column, text).mapInArrow(run, f"id {id_type}, kind int, start_pos long, end_pos long, votes string, features array<int>, town string")
+    return texts.mapInArrow(run, f"id {id_type}, kind int, start_pos long, end_pos long, votes string, features array<int>, town string")
 
 
 def reliabilities(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
     """The posterior of each vote pattern by expectation maximisation, labelers being independent given the truth.
 
-    Starts from the balance of votes. Each labeler has, for true and for false spans, probabilities of voting for,
-    against and not at all. They are smoothed by a prior that a vote is more often right than wrong, worth ``anchor`` of
-    all candidates, so that the two classes can't trade places or swallow each other.
+    Starts from the balance of votes. The share of true spans is estimated too. Each labeler has, for true and for false spans, probabilities of voting for and
+    against. They are smoothed by a prior that a vote is more often right than wrong, worth PRIOR candidates, so that few
+    candidates can't make the two classes trade places, and many can overrule it. A labeler's votes are never taken for
+    their opposite, and one that doesn't vote says nothing: whether a labeler has something to say differs among true spans
+    as much as between true and false ones, and two classes would settle on that.
     """
-    anchor = 0.5
     keys = list(patterns)
     n = np.array([patterns[k] for k in keys], dtype=float)
     v = np.array([["0+-".index(c) for c in k] for k in keys])
     p = 1 / (1 + np.exp(-((v == 1).sum(1) - 2.0 * (v == 2).sum(1))))
-    prior_true, prior_false = np.array([0.45, 0.5, 0.05]), np.array([0.45, 0.15, 0.4])
-    weight = anchor * n.sum()
+    prior_true, prior_false = PRIOR * np.array([0.45, 0.5, 0.05]), PRIOR * np.array([0.45, 0.15, 0.4])
     for _ in range(rounds):
-        log = np.zeros(len(keys))
+        true = float(n @ p) + PRIOR / 2
+        log = np.full(len(keys), np.log(true) - np.log(n.sum() + PRIOR - true))  # how many of the candidates are true
         for j in range(v.shape[1]):
-            yes = np.bincount(v[:, j], n * p, 3) + weight * prior_true
-            no = np.bincount(v[:, j], n * (1 - p), 3) + weight * prior_false
+            yes = np.bincount(v[:, j], n * p, 3) + prior_true
+            no = np.bincount(v[:, j], n * (1 - p), 3) + prior_false
             ratio = np.log(yes / yes.sum()) - np.log(no / no.sum())
-            log += ratio[v[:, j]]
+            log += np.array([0.0, max(0.0, ratio[1]), min(0.0, ratio[2])])[v[:, j]]
         new = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
         done = np.abs(new - p).max() < 1e-6
         p = new
@@ -750,42 +814,63 @@ def fit(features: list[list[int]], labels: np.ndarray, rounds: int = 120) -> tup
     return w, bias
 
 
-def known_towns(seen: dict[str, int]) -> set[str]:
-    """The places, in lower case with how often each is seen, that are towns: with at least TOWN_SHARE of what is seen of them
-    and of their own longer and shorter forms, which start with the same words. Other towns of the same first word don't count."""
-    related = dict(seen)
-    for place, n in seen.items():
-        words = place.split(" ")
-        for k in range(1, len(words)):
-            short = " ".join(words[:k])
-            if short in seen:
-                related[short] += n
-                related[place] += seen[short]
-    return {place for place, n in seen.items() if n >= TOWN_SHARE * related[place]}
+def known_towns(seen: DataFrame) -> DataFrame:
+    """place, of places (place, in lower case, and n, how often each is seen), that are towns: with at least TOWN_SHARE of what
+    is seen of them and of their own longer and shorter forms, which start with the same words. Other towns of the same first
+    word don't count."""
+    words = F.split("place", " ")
+    short = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: F.array_join(F.slice(words, 1, k), " "))
+    forms = seen.where(F.size(words) > 1).select("place", "n", F.explode(short).alias("short"))
+    pairs = forms.join(seen.select(F.col("place").alias("short"), F.col("n").alias("m")), "short")
+    more = pairs.select("place", F.col("m").alias("k")).unionByName(pairs.select(F.col("short").alias("place"), F.col("n").alias("k"))).groupBy("place").agg(F.sum("k").alias("k"))
+    return seen.join(more, "place", "left").where(F.col("n") >= TOWN_SHARE * (F.col("n") + F.coalesce("k", F.lit(0)))).select("place")
+
 
+def _towns_end(found: DataFrame) -> DataFrame:
+    """Candidates (without ``town``) in which the open ends of addresses are set by the towns seen where an end is sure.
 
-def find_personal(documents: DataFrame, id_column: str, text: str, lexicon: DataFrame, threshold: float = 0.5) -> DataFrame:
+    Towns are joined to each of the starts that the words at an address's end have, which are at most three. They are a
+    written table, which the planner broadcasts only if it is small.
+    """
+    first, rest = F.substring("town", 1, 1), F.expr("substring(town, 2)")
+    sure = found.where(first.isin("=", "!")).groupBy(F.lower(rest).alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    towns = materialize(known_towns(sure), "towns")
+    words = F.split(rest, " ")
+    starts = [F.when(F.size(words) >= k, F.array_join(F.slice(words, 1, k), " ")) for k in (3, 2, 1)]
+    open_ = found.where(first.isin("!", "<", ">"))
+    for k, start in enumerate(starts):
+        open_ = open_.join(towns.select(F.col("place").alias(f"_p{k}")), F.lower(start) == F.col(f"_p{k}"), "left")
+    size = F.coalesce(*[F.length(f"_p{k}") for k in range(3)])
+    end = F.col("end_pos") + F.when(size.isNull(), 0).when(first == ">", size + 2).otherwise(size - F.length(rest))
+    cols = [c for c in found.columns if c != "town"]
+    closed = found.where(~F.coalesce(first.isin("!", "<", ">"), F.lit(False))).select(cols)
+    return closed.unionByName(open_.withColumn("end_pos", end).select(cols))
+
+
+def find_personal(documents: DataFrame, id_column: str, text: str, lexicon: DataFrame, threshold: float = 0.5, held: int = HELD) -> DataFrame:
     """id_column, kind, start_pos, end_pos of personal information; positions count code points from 0, end exclusive.
 
     Texts are read whole. Null and empty texts have no rows. Rows with equal ids and texts give their spans once each.
+    The classifier is fitted to SAMPLE candidates of each kind, those of the smallest hashes; everything else is counted
+    over all texts. ``held``: how many names every worker may hold.
     """
     learned = learn_names(documents, text, lexicon)
-    found = materialize(find_candidates(documents, id_column, text, learned), "candidates")
+    found = materialize(find_candidates(documents, id_column, text, learned, held), "candidates")
     counted = found.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()  # vote patterns: a few hundred
+    patterns = {k: {r["votes"]: r["n"] for r in counted if r["kind"] == k} for k in range(len(KINDS))}
+    posterior = {k: reliabilities(p) for k, p in patterns.items() if p}
+    # Hashes below the bar are twice as many as needed, so that sorting is left with a bounded number of rows.
+    hashed, bar = F.xxhash64("id", "start_pos", "end_pos"), F.lit(None).cast("double")
+    for k, p in patterns.items():
+        bar = F.when(F.col("kind") == k, F.lit(min(1.0, 2.0 * SAMPLE / max(1, sum(p.values()))) * 2.0**64 - 2.0**63)).otherwise(bar)
+    low = found.withColumn("_h", hashed).where(F.col("_h") <= bar)
+    low = low.withColumn("_k", F.row_number().over(Window.partitionBy("kind").orderBy("_h", "id", "start_pos", "end_pos", "votes"))).where(F.col("_k") <= SAMPLE)
+    rows = low.select("kind", "votes", "features").orderBy("kind", "_k").collect()  # at most SAMPLE of each kind
     models: dict[int, tuple[np.ndarray, float]] = {}
-    for k in range(len(KINDS)):
-        patterns = {r["votes"]: r["n"] for r in counted if r["kind"] == k}
-        if not patterns:
-            continue
-        posterior = reliabilities(patterns)
-        share = min(1.0, 2.0 * SAMPLE / sum(patterns.values()))
-        sample = found.where((F.col("kind") == k) & (F.pmod(F.xxhash64("id", "start_pos", "end_pos"), F.lit(1_000_000)) < int(share * 1_000_000))).limit(SAMPLE)
-        rows = sample.select("votes", "features").collect()  # at most SAMPLE
-        if rows:
-            models[k] = fit([r["features"] for r in rows], np.array([posterior[r["votes"]] for r in rows]))
-    # Towns end addresses: those seen where their end is sure, and no rare longer or shorter form of a common one.
-    sure = found.where(F.substring("town", 1, 1).isin("=", "!")).groupBy(F.lower(F.substring("town", 2, 100)).alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    towns = known_towns({r["t"]: r["n"] for r in _bounded(sure, "places")})
+    for k in posterior:
+        own = [r for r in rows if r["kind"] == k]
+        if own:
+            models[k] = fit([r["features"] for r in own], np.array([posterior[k][r["votes"]] for r in own]))
     weights = {k: (w.astype(np.float32), b) for k, (w, b) in models.items()}
     bar = float(np.log(threshold / (1 - threshold)))
 
@@ -800,19 +885,14 @@ def find_personal(documents: DataFrame, id_column: str, text: str, lexicon: Data
                 mine = kinds == k
                 z = np.where(mine, np.bincount(row, w[flat], len(kinds)) + b, z)
             keep = pa.array(np.flatnonzero(z > bar))
-            ends = batch.column(3).to_numpy().copy()
-            for i, (town, k) in enumerate(zip(batch.column(5).to_pylist(), kinds.tolist())):
-                if k == 3 and town and town[0] in "!<>":
-                    known = _town(town[1:], towns)
-                    if known:
-                        ends[i] += 2 + len(known) if town[0] == ">" else len(known) - len(town) + 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(keep), pa.array([KINDS[k] for k in kinds[keep.to_numpy()]], pa.string()), batch.column(2).take(keep), pa.array(ends).take(keep)],
+                [batch.column(0).take(keep), pa.array([KINDS[k] for k in kinds[keep.to_numpy()]], pa.string()), batch.column(2).take(keep), batch.column(3).take(keep)],
                 [id_column, "kind", "start_pos", "end_pos"],
             )
 
     id_type = dict(documents.dtypes)[id_column]
-    return found.select("id", "kind", "start_pos", "end_pos", "features", "town").mapInArrow(decide, f"`{id_column}` {id_type}, kind string, start_pos long, end_pos long")
+    ended = _towns_end(found.select("id", "kind", "start_pos", "end_pos", "features", "town"))
+    return ended.mapInArrow(decide, f"`{id_column}` {id_type}, kind string, start_pos long, end_pos long")
 
 
 def replaced(documents: DataFrame, id_column: str, text: str, spans: DataFrame) -> DataFrame:
