@@ -89,7 +89,20 @@ def _search(batch: pa.Table) -> pa.Table:
     ok[ok] = shard[h][found[ok]] == shard[e][ok]
     value = batch["_value"].combine_chunks().take(pa.array(np.where(ok, h[found.clip(0)], -1), mask=~ok)) if len(h) else pa.nulls(len(e), pa.string())
     hv = pa.array(valid[h][found.clip(0)] if len(h) else np.zeros(len(e), np.int64), mask=~ok)
-    return pa.table({"_event": batch["_event"].combine_chunks().take(pa.array(e)), "_found": hv, "_value": value})
+    hk = pa.array(known[h][found.clip(0)] if len(h) else np.zeros(len(e), np.int64), mask=~ok)
+    return pa.table({"_event": batch["_event"].combine_chunks().take(pa.array(e)), "_found": hv, "_when": hk, "_value": value})
+
+
+def _routed(events: DataFrame, blocks: DataFrame, keys: list[str], block: str) -> DataFrame:
+    """Events with each block (``block``) they may find their row in: their own, and the nearest earlier one with a row known
+    in time, which answers if their own doesn't. ``blocks`` (keys, block, first): the first known time of each block, which
+    become one array for each key."""
+    arrays = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(block).alias("b"), F.col("first").alias("k")))).alias("_blocks"))
+    met = events.join(arrays, keys)
+    own = F.exists("_blocks", lambda x: x["b"] == F.col(block))
+    earlier = F.filter("_blocks", lambda x: (x["b"] < F.col(block)) & (x["k"] <= F.col("_known")))
+    to = F.array_compact(F.array(F.when(own, F.struct(F.col(block).alias("b"))), F.when(F.size(earlier) > 0, F.struct(F.element_at(earlier, -1)["b"].alias("b")))))
+    return met.withColumn("_to", to).drop("_blocks", block).select("*", F.explode("_to.b").alias(block)).drop("_to")
 
 
 def as_known(
@@ -103,33 +116,48 @@ def as_known(
     rows with a null key, known or valid time don't take part (such events get null). Events must be distinct by
     event_id. Tied rows (equal valid, known and tie) are taken to be equal.
 
-    A key is cut into blocks of ``block`` of valid time, and a block with many events into salts, so no task holds a
-    whole key. An event goes to its own block, and to the nearest earlier one with a row known in time, which answers if
-    its own doesn't. Blocks of a key are as few as the calendar has; their first known times are one array a key.
+    A key is cut into blocks of ``block`` of valid time. A block with more than ``rows_a_task`` rows of history is cut
+    again, along valid and then known time, and one with as many events into salts, so no task holds a whole key. An event
+    goes to its own block, and to the nearest earlier one with a row known in time, which answers if its own doesn't: all
+    rows it may see come before it in the order of valid and then known time. Blocks of a key are as few as the calendar
+    has. Tasks hold about ``rows_a_task`` rows, of as many blocks as that takes.
     """
     ship(events.sparkSession)
     e = events.select(F.col(event_id).cast("string").alias("_event"), F.col(key).alias("_key"), event_known.cast("long").alias("_known"), event_valid.cast("long").alias("_valid"))
     h = history.select(F.col(key).alias("_key"), known.cast("long").alias("_known"), valid.cast("long").alias("_valid"), tie.cast("long").alias("_tie"), value.cast("string").alias("_value")).dropna(subset=["_key", "_known", "_valid"])
-    e = e.withColumn("_block", F.floor(F.col("_valid") / block))
     h = materialize(h.withColumn("_block", F.floor(F.col("_valid") / block)), "history")
-    blocks = h.groupBy("_key", "_block").agg(F.min("_known").alias("k")).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(F.col("_block").alias("b"), "k"))).alias("_blocks"))
-    live = e.dropna(subset=["_key", "_known", "_valid"]).join(blocks, "_key")
-    earlier = F.filter("_blocks", lambda x: (x["b"] < F.col("_block")) & (x["k"] <= F.col("_known")))
-    routed = live.withColumn("_to", F.array_compact(F.array(F.struct(F.col("_block").alias("b")), F.when(F.size(earlier) > 0, F.struct(F.element_at(earlier, -1)["b"].alias("b"))))))
-    routed = materialize(routed.select("_event", "_key", "_known", "_valid", F.explode("_to.b").alias("_block")), "routed")
-    load = routed.groupBy("_key", "_block").agg(F.count(F.lit(1)).alias("_n")).withColumn("_salts", F.ceil(F.col("_n") / rows_a_task)).drop("_n")
-    salts = load.where("_salts > 1")
-    # Few blocks are so large that they need salts; all others have the one salt 0.
-    routed = routed.join(salts, ["_key", "_block"], "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("_event"), F.col("_salts")))).drop("_salts")
-    spread = h.join(load, ["_key", "_block"]).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
-    cols = ["_event", "_key", "_known", "_valid", "_tie", "_value", "_block", "_salt"]
-    mixed = routed.withColumns({"_tie": F.lit(None).cast("long"), "_value": F.lit(None).cast("string"), "_salt": F.col("_salt").cast("long")}).select(*cols).unionByName(
-        spread.withColumn("_event", F.lit(None).cast("string")).select(*cols)
-    )
-    mixed = mixed.select("_event", F.xxhash64("_key", "_block", "_salt").alias("_shard"), "_known", "_valid", "_tie", "_value")
-    spark = events.sparkSession
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    out = mixed.withColumn("_group", F.pmod(F.col("_shard"), F.lit(groups))).groupBy("_group").applyInArrow(_search, "_event string, _found long, _value string")
-    best = out.where("_found is not null").groupBy("_event").agg(F.max_by("_value", "_found").alias("value"))
+    keys, none = ["_key", "_block"], F.lit(None).cast("struct<valid:bigint,piece:bigint>")
+    blocks = materialize(h.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_known").alias("first"), F.max("_known").alias("last")), "blocks")
+    live = e.dropna(subset=["_key", "_known", "_valid"]).withColumn("_block", F.floor(F.col("_valid") / block))
+    routed = _routed(live, blocks.select(*keys, "first"), ["_key"], "_block")
+    heavy = blocks.where(F.col("_n") > rows_a_task)
+    if heavy.isEmpty():
+        h, routed = h.withColumn("_sub", none), routed.withColumn("_sub", none)
+    else:
+        width = F.greatest(F.lit(1), F.floor((F.col("last") - F.col("first") + 1) * (rows_a_task / F.col("_n"))))
+        sub = F.struct(F.col("_valid").alias("valid"), F.floor((F.col("_known") - F.col("first")) / width).alias("piece"))
+        cuts = heavy.select(*keys, "_n", "first", "last")
+        h = h.join(cuts, keys, "left").withColumn("_sub", F.when(F.col("_n").isNotNull(), sub)).drop("_n", "first", "last")
+        routed = routed.join(cuts, keys, "left").withColumn("_sub", F.when(F.col("_n").isNotNull(), sub)).drop("_n", "first", "last")
+        subs = h.where("_sub is not null").groupBy(*keys, "_sub").agg(F.min("_known").alias("first"))
+        cols = ["_event", *keys, "_known", "_valid", "_sub"]
+        routed = routed.where("_sub is null").select(cols).unionByName(_routed(routed.where("_sub is not null"), subs, keys, "_sub").select(cols))
+    routed = materialize(routed.withColumn("_shard", F.xxhash64(*keys, "_sub")).select("_event", "_known", "_valid", "_shard"), "routed")
+    load = materialize(routed.groupBy("_shard").agg(F.count(F.lit(1)).alias("_n")).withColumn("_salts", F.ceil(F.col("_n") / rows_a_task)), "load")
+    met = h.withColumn("_shard", F.xxhash64(*keys, "_sub")).select("_known", "_valid", "_tie", "_value", "_shard").join(load.select("_shard", "_salts"), "_shard")
+    salts = load.where("_salts > 1").select("_shard", "_salts")
+    # Few shards have so many events that they need salts; all others have the one salt 0.
+    spread = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("_event"), F.col("_salts"))).cast("long")
+    asked = routed.join(salts, "_shard", "left").withColumn("_salt", spread)
+    copies = met.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)))
+    cols = ["_event", F.xxhash64("_shard", "_salt").alias("_shard"), "_known", "_valid", "_tie", "_value"]
+    mixed = asked.withColumns({"_tie": F.lit(None).cast("long"), "_value": F.lit(None).cast("string")}).select(*cols).unionByName(copies.withColumn("_event", F.lit(None).cast("string")).select(*cols))
+    # A group is what a task holds at once. Each salt of a shard has a copy of its history, about ``rows_a_task`` at most.
+    n, more = load.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(F.col("_salts") - 1), F.lit(0))).first()
+    rows = n + h.count() + more * rows_a_task
+    groups = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_a_task))
+    out = mixed.withColumn("_group", F.pmod(F.col("_shard"), F.lit(groups))).groupBy("_group").applyInArrow(_search, "_event string, _found long, _when long, _value string")
+    # Of an event's two blocks the later one that has a row answers, so the greatest valid time and, in cut blocks, known time.
+    best = out.where("_found is not null").groupBy("_event").agg(F.max_by("_value", F.struct("_found", "_when")).alias("value"))
     ids = events.select(F.col(event_id), F.col(event_id).cast("string").alias("_event"))
     return ids.join(best, "_event", "left").select(event_id, "value")

@@ -57,9 +57,10 @@ def _periods(satellites: dict[str, DataFrame], key: str, at: str, segment: int)
 def attribute_history(updates: DataFrame, key: str, at: str, write: str, attributes: list[str], segment: int, unknown: tuple[str, ...] = ("?",)) -> DataFrame:
     """versions() with the value of each attribute in each period, in its plain spelling; null until first known."""
     satellites = _satellites(updates, key, at, write, attributes, segment, unknown)
-    piece = F.floor(F.col(at) / F.lit(segment))
-    out = _periods(satellites, key, at, segment)
-    for a, changes in satellites.items():
-        sat = neighbours(changes, [key], [at], piece, lead={"_until": at}).select(F.col(key).alias("_k"), F.col(at).alias("_from"), "_until", F.col("value").alias(a))
-        out = out.join(sat, (F.col(key) == F.col("_k")) & (F.col("valid_from") >= F.col("_from")) & (F.col("_until").isNull() | (F.col("valid_from") < F.col("_until"))), "left").drop("_k", "_from", "_until")
-    return out
+    none = F.lit(None).cast("string")
+    changes = [s.select(key, at, *[(F.col("value") if b == a else none).alias(f"_{b}") for b in attributes]) for a, s in satellites.items()]
+    # One row for each time at which any satellite has one; what the others held until then is carried along.
+    starts = reduce(DataFrame.unionByName, changes).groupBy(key, at).agg(*[F.max(f"_{a}").alias(f"_{a}") for a in attributes])
+    starts = materialize(starts, "starts")
+    out = neighbours(starts, [key], [at], F.floor(F.col(at) / F.lit(segment)), lead={"_next": at}, carry={a: f"_{a}" for a in attributes})
+    return out.select(key, F.col(at).alias("valid_from"), F.coalesce("_next", F.lit(-1).cast("long")).alias("valid_to"), *attributes)

@@ -52,8 +52,10 @@ def p5_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _in_force(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    signals = table(spark, sf, "signals").select("signal_id", "ledger_id", "packet_date", "built_at", "regime").dropDuplicates(["signal_id"])
-    rows = table(spark, sf, "regime_history").select("ledger_id", "run_id", "run_date", "row_no", base_state(F.col("state")).alias("base")).where("base is not null").distinct()
+    signals = table(spark, sf, "signals").select("signal_id", "ledger_id", "packet_date", "built_at", "regime")
+    copy = F.struct("ledger_id", "packet_date", "built_at", "regime")
+    signals = signals.where("signal_id is not null").groupBy("signal_id").agg(F.max(copy).alias("s")).select("signal_id", "s.*")
+    rows = table(spark, sf, "regime_history").select("ledger_id", "run_id", "run_date", "row_no", base_state(F.col("state")).alias("base")).where("base is not null")
     found = as_known(
         signals, rows, "ledger_id", "signal_id",
         event_known=micros(F.col("built_at")), event_valid=F.regexp_replace("packet_date", "-", "").try_cast("long"),

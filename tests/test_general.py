@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from barloom.functions.labels import base_state
 from barloom.functions.timestamps import day_text, instant_text, normalise_times, with_source
 from barloom.operators import drift, history, sessions
+from barloom.operators import asof
 from barloom.operators.asof import PersistentTree, as_known
 from barloom.operators.neighbours import neighbours
 from tests.conftest import rows
@@ -35,6 +36,47 @@ def test_neighbours_cross_segments(spark):
     assert rows(d) == sorted(want, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+def test_neighbours_last_and_carry(spark):
+    rng = random.Random(2)
+    data = [(k, o, rng.choice(["a", "b", None, None])) for k in "xy" for o in rng.sample(range(100), 40)]
+    d = neighbours(spark.createDataFrame(data, "k string, o int, v string"), ["k"], ["o"], F.floor(F.col("o") / 7), last={"end": "o", "end_v": "v"}, carry={"c": "v"})
+    want = []
+    for k in "xy":
+        own, held = sorted((o, v) for kk, o, v in data if kk == k), None
+        for i, (o, v) in enumerate(own):
+            held = v if v is not None else held
+            want.append((k, o, v, i + 1, *own[-1], held))
+    assert rows(d) == sorted(want, key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
+def test_hot_key_is_cut(spark):
+    """A key with nine tenths of the rows: no group of the as-of join holds more than a few times its share."""
+    rng = random.Random(9)
+    key = lambda: 1 if rng.random() < 0.9 else rng.randrange(2, 9)
+    hist = [(key(), rng.randrange(1000), rng.randrange(40), i, rng.choice("abc")) for i in range(3000)]
+    events = [(i, key(), rng.randrange(1000), rng.randrange(50)) for i in range(1000)]
+    h = spark.createDataFrame(hist, "k long, known long, valid long, tie long, v string")
+    e = spark.createDataFrame(events, "id long, k long, kn long, va long")
+    sizes = spark.sparkContext.accumulator(0)
+    search, asof._search = asof._search, None
+    try:
+
+        def counted(batch):
+            sizes.add(1)
+            if batch.num_rows > 1500:
+                raise ValueError(f"a group of {batch.num_rows} rows")
+            return search(batch)
+
+        asof._search = counted
+        got = dict(map(tuple, as_known(e, h, "k", "id", F.col("kn"), F.col("va"), F.col("known"), F.col("valid"), F.col("tie"), F.col("v"), 30, 200).collect()))
+    finally:
+        asof._search = search
+    for i, k, kn, va in events:
+        best = max(((x[2], x[1], x[3], x[4]) for x in hist if x[0] == k and x[1] <= kn and x[2] <= va), default=(None,) * 4)[3]
+        assert got[i] == best, (i, k, kn, va)
+    assert sizes.value > 10
+
+
 def brute_sessions(points, gap):
     out = []
     for p, n in sorted(points.items()):
