@@ -17,16 +17,15 @@ def collapse_runs(events: DataFrame, keys: list[str], order: str, value: str, at
     Only boundary rows are kept, those that differ from their predecessor. The next start's position less the own one is
     the count, and the next start's predecessor is the run's last event. Events with a null key don't count; a null
     value is a value of its own; events of equal order come in any order, so the order should be unique in a key.
-    ``segment`` cuts a key's order into pieces, so a key that holds most rows isn't one task.
+    ``segment`` cuts a key's order into pieces, so a key that holds most rows isn't one task: what ends a key's last run
+    comes with the pieces' summaries too.
     """
     d = events.select(*keys, order, value, at).withColumn("_seg0", segment)
     piece = F.col("_seg0")
-    d = materialize(neighbours(materialize(d, "events"), keys, [order], piece, lag={"_pv": value, "_po": order, "_pa": at}, lead={"_no": order}), "placed")
-    starts = d.where((F.col("pos") == 1) | ~F.col(value).eqNullSafe(F.col("_pv"))).select(*keys, "_seg0", order, value, at, F.col("pos").alias("_pos"), "_po", "_pa")
-    ends = d.where("_no is null").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("pos").alias("_n"), F.col(order).alias("_eo"), F.col(at).alias("_ea"))
+    d = materialize(neighbours(materialize(d, "events"), keys, [order], piece, lag={"_pv": value, "_po": order, "_pa": at}, last={"_eo": order, "_ea": at}, count="_n"), "placed")
+    starts = d.where((F.col("pos") == 1) | ~F.col(value).eqNullSafe(F.col("_pv"))).select(*keys, "_seg0", order, value, at, F.col("pos").alias("_pos"), "_po", "_pa", "_eo", "_ea", "_n")
     runs = neighbours(starts, keys, [order], piece, lead={"_np": "_pos", "_lo": "_po", "_la": "_pa"})
     last = runs["_np"].isNull()
-    runs = runs.join(ends, [F.col(k) == F.col(f"_k_{k}") for k in keys])
     return runs.select(
         *keys,
         value,
