@@ -77,14 +77,19 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df once into the shared folder and read it again: cuts lineage and survives the loss of executors."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """This session's own folder in the shared one; it goes when Python ends."""
     folder = f"{shared_dir(spark)}/barloom-{spark.sparkContext.applicationId}"
     if folder not in _FOLDERS:
         _FOLDERS.add(folder)
         atexit.register(_remove, spark, folder)
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    return folder
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write df once into the shared folder and read it again: cuts lineage and survives the loss of executors."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
