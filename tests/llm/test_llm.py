@@ -38,14 +38,15 @@ def test_loser_tree():
     rng = random.Random(2)
     for k in (1, 2, 3, 7, 8):
         sources = [sorted(rng.randrange(30) for _ in range(rng.randrange(6))) for _ in range(k)]
-        at = [0] * k
-        tree = topn.LoserTree([s[0] if s else None for s in sources])
+        wide = 1 << (k - 1).bit_length()
+        values = np.array([x for s in sources for x in s] + [0])
+        end = np.cumsum([len(s) for s in sources] + [0] * (wide - k))
+        head = end - np.array([len(s) for s in sources] + [0] * (wide - k))
+        trees = topn.LoserTrees(np.array([head, head]), np.array([end, end]), [values // 10, values % 10])
         out = []
-        while tree.heads[tree.winner] is not None:
-            i = tree.winner
-            out.append(sources[i][at[i]])
-            at[i] += 1
-            tree.advance(sources[i][at[i]] if at[i] < len(sources[i]) else None)
+        while (popped := trees.pop())[0] >= 0:
+            assert popped[0] == popped[1]
+            out.append(values[popped[0]])
         assert out == sorted(x for s in sources for x in s)
 
 
@@ -59,6 +60,11 @@ def test_top_n(spark):
         groups.setdefault(g, []).append((s is None, -(s or 0), r is None, r or 0, t))
     want = {(g, i + 1): x[4] for g, own in groups.items() for i, x in enumerate(sorted(own)[:10])}
     assert got == want
+    few = {(r["g"], r["place"]): r["t"] for r in topn.top_n(d, ["g"], [("s", True), ("r", False), ("t", False)], 3, None, buckets=2).collect()}
+    assert few == {k: v for k, v in want.items() if k[1] <= 3}
+    odd = spark.createDataFrame([("a", float("nan"), 1), ("a", 1.0, 2), ("a", None, 3), ("a", float("inf"), 4), ("a", -0.0, 5), ("a", 0.0, 6), ("a", float("-inf"), 7)], "g string, s double, i int")
+    assert [r["i"] for r in topn.top_n(odd, ["g"], [("s", True), ("i", True)], 7, ["i"]).orderBy("place").collect()] == [1, 4, 2, 6, 5, 7, 3]
+    assert [r["i"] for r in topn.top_n(odd, ["g"], [("s", False), ("i", True)], 7, ["i"]).orderBy("place").collect()] == [7, 6, 5, 2, 4, 1, 3]
     assert topn.top_n(d.limit(0), ["g"], [("s", True)], 10, ["t"]).count() == 0
 
 
