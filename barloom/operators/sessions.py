@@ -63,7 +63,13 @@ def episodes(appearances: DataFrame, run_days: DataFrame, missed: int = 3) -> Da
     seen = appearances.where(F.trim("ticker") != "").groupBy("ticker", "run_day").agg(F.count(F.lit(1)).alias("_rows"))
     seen = seen.join(days, "run_day").select("ticker", "no")
     merged = merge_sessions(seen, ["ticker"], "no", missed, width=64)
+    merged = named_days(merged, days, missed)
+    return merged.select("ticker", "start_day", "last_day", "dropout_day", F.col("n_events").alias("n_days"), (F.col("duration") + 1).alias("span"))
+
+
+def named_days(merged: DataFrame, days: DataFrame, missed: int) -> DataFrame:
+    """Add start_day, last_day and dropout_day (or 'open') to episodes whose ``first`` and ``last`` are numbers of run_days."""
     for name, at in (("start_day", F.col("first")), ("last_day", F.col("last")), ("dropout_day", F.col("last") + missed)):
         side = days.select(F.col("run_day").alias(name), F.col("no").alias(f"_{name}"))
         merged = merged.join(side, at == F.col(f"_{name}"), "left").drop(f"_{name}")
-    return merged.select("ticker", "start_day", "last_day", F.coalesce("dropout_day", F.lit("open")).alias("dropout_day"), F.col("n_events").alias("n_days"), (F.col("duration") + 1).alias("span"))
+    return merged.withColumn("dropout_day", F.coalesce("dropout_day", F.lit("open")))

@@ -10,7 +10,8 @@ from barloom.functions.labels import base_state
 from barloom.functions.timestamps import day_text, instant_text, normalise_times, with_source
 from barloom.operators import drift, history, sessions
 from barloom.operators.asof import as_known
-from barloom.session import table
+from barloom.session import bounded_broadcast, materialize, table
+from barloom.streaming.sessions import replayed, stream_sessions
 
 #: Seconds of one piece of a ticker's updates.
 PIECE = 90 * 86_400
@@ -32,6 +33,22 @@ def p2_episodes(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.episodes(table(spark, sf, "appearances"), table(spark, sf, "run_days"))
 
 
+def p2_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of p2_found from a replay as a stream: sessions of days behind a watermark that spans the calendar, so rows
+    of any order count, closed by one event of no ticker after all others."""
+    days = bounded_broadcast(sessions.numbered_days(table(spark, sf, "run_days")))
+    listed = table(spark, sf, "appearances")
+    # A pattern, since a stream reads a single file only where a pattern names it.
+    stream = spark.readStream.schema(listed.schema).parquet(f"{sf}/appearances.parque[t]").where(F.trim("ticker") != "").select("ticker", "run_day").join(days, "run_day").select("ticker", "no")
+    span = sessions.numbered_days(table(spark, sf, "run_days")).count() + 10
+    end = materialize(spark.createDataFrame([(" ", 3 * span)], "ticker string, no long"), "end")
+    closing = spark.readStream.schema(end.schema).parquet(end.inputFiles()[0].rsplit("/", 1)[0])
+    events = stream.unionByName(closing).select("ticker", F.timestamp_seconds(F.col("no") * 86_400).alias("at"))
+    done = replayed(stream_sessions(events, "ticker", "at", 3 * 86_400, span * 86_400), "episodes").where("key <> ' '")
+    merged = done.select(F.col("key").alias("ticker"), (F.col("started") / 86_400).cast("long").alias("first"), (F.col("ended") / 86_400).cast("long").alias("last"))
+    return sessions.named_days(merged, days, 3).select("ticker", "start_day", "last_day", "dropout_day")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     zones = table(spark, sf, "feed_zones")
     readings = table(spark, sf, "readings").select(F.lit("readings").alias("tab"), F.col("reading_id").alias("row_id"), "source", "run_date", "run_day")
@@ -74,7 +91,7 @@ def p6_in_force(spark: SparkSession, sf: str) -> DataFrame:
     return _in_force(spark, sf)[1].withColumnRenamed("value", "state_in_force")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_table, p2_found, p2_episodes, p3_found, p5_found, p5_history, p6_found, p6_in_force)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_table, p2_found, p2_episodes, p2_streamed, p3_found, p5_found, p5_history, p6_found, p6_in_force)}
 
 _EPISODES = """
 with days as (select run_day, row_number() over (order by run_day) as no from (select distinct run_day from run_days)),
@@ -103,6 +120,7 @@ f as (select signal_id, any_value(named) as named, arg_max(base, (run_id, run_da
 """
 SQL = {
     "p2_found": _EPISODES.format(more=""),
+    "p2_streamed": _EPISODES.format(more=""),
     "p2_episodes": _EPISODES.format(more=", n_days, b - a + 1 as span"),
     "p5_found": _VERSIONS.format(more=""),
     "p5_history": _VERSIONS.format(more=", sector, industry"),

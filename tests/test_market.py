@@ -213,6 +213,12 @@ def test_streaming(spark, tmp_path):
     got = run(stream_sessions(source(), "k", "at", 8, 30), "s1")
     assert got[:2] == [("a", 1000.0, 1020.0, 4), ("b", 1003.0, 1003.0, 1)] and ("z", 1200.0, 1200.0, 1) in got
     assert [r[2] for r in run(windowed_counts(source().where("k = 'a'"), "k", "at", "10 seconds", "30 seconds"), "s2")][:1] in ([2], [])
+    for zone, name in (("America/New_York", "s1n"), ("Asia/Kolkata", "s1k")):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert run(stream_sessions(source(), "k", "at", 8, 30), name) == got
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert len(run(deduplicated(source(), ["k"], "at", "1000 seconds").select("k"), "s3")) == 4
     schema = "ticker string, kind string, sess_no long, sid string, target double, stop double, high double, low double"
     bar = lambda n, high, low: ("T", "bar", n, None, None, None, high, low)
@@ -221,6 +227,9 @@ def test_streaming(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "sig"))
     d = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "sig"))
     assert run(pending_signals(d, 2), "s4") == [("s", "EXPIRED", 2), ("w", "WON", 1)]
+    spark.createDataFrame([signal("g", 50.0), bar(3, 9.0, 8.0), bar(8, 9.0, 8.0)], schema).coalesce(1).write.parquet(str(tmp_path / "gap"))  # no bar of session 2 ever
+    d = spark.readStream.schema(schema).parquet(str(tmp_path / "gap"))
+    assert run(pending_signals(d, 2), "s5") == [("g", "EXPIRED", 2)] and run(pending_signals(d, 2, late=9), "s6") == []
 
 
 def test_snapshots(spark, tmp_path):
