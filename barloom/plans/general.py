@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_table(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.unified(table(spark, sf, "ledger_rows").distinct())
+    return drift.unified(table(spark, sf, "ledger_rows"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -231,6 +231,95 @@ def test_drift(spark):
     assert rows(drift.file_changes(d.limit(0))) == []
 
 
+def brute_changes(files, key):
+    """The report of one ledger from its files (number, records), by the words of the docstring."""
+    kind = lambda v: "boolean" if isinstance(v, bool) else "integer" if isinstance(v, int) else "number" if isinstance(v, float) else "string"
+    kinds = ["boolean", "integer", "number", "string"]
+    out, last, before = [], {}, None
+    for no, records in sorted(files):
+        fields = {f for r in records for f in r}
+        now = {}
+        for f in fields:
+            seen = [kind(r[f]) for r in records if r.get(f) is not None]
+            now[f] = max(kinds, key=lambda k: (seen.count(k), k)) if seen else None
+        types = dict(now)
+        if before is not None:
+            old_fields, old_records, old_last = before
+            added, removed = fields - old_fields, old_fields - fields
+            ident = lambda r: tuple(str(r[k]).strip().upper() for k in key)
+            pairs = []
+            for a in added:
+                for b in removed:
+                    met = [(r[a], q[b]) for r in records for q in old_records if a in r and b in q and ident(r) == ident(q)]
+                    equal = sum(x is not None and y is not None and float(x) == float(y) for x, y in met)
+                    unequal = sum(x is not None and y is not None and float(x) != float(y) for x, y in met)
+                    one = sum((x is None) != (y is None) for x, y in met)
+                    if equal and equal / (equal + unequal + one) >= 0.9:
+                        pairs.append((a, b))
+            assert len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)  # made without rivals
+            was = {a: b for a, b in pairs}
+            out += [(no, "added", a, "") for a in added - set(was)] + [(no, "removed", b, "") for b in removed - set(was.values())] + [(no, "renamed", b, a) for a, b in pairs]
+            for f in (fields & old_fields) | set(was):
+                known = old_last.get(was.get(f, f))
+                if types[f] is None:
+                    types[f] = known
+                elif known is not None and types[f] != known:
+                    out.append((no, "retyped", f, ""))
+        last = types
+        before = (fields, records, last)
+    return out
+
+
+def test_drift_against_brute_force(spark):
+    """Random ledgers of other field names than the history's, with chains of renames and fields that are null for many files."""
+    rng = random.Random(21)
+    target = {"day": "string", "sym": "string", "level": "number", "place": "integer"}
+    files, want = [], []
+    for led in range(8):
+        names = {"level": "level", "place": "place", "flag": "flag"}
+        kinds = {"level": float, "place": int, "flag": int}
+        empty, made, previous = {}, [], []
+        for no in range(1, 9):
+            for field in names:
+                if rng.random() < 0.4:
+                    names[field] = f"{field}_{no}"
+                if rng.random() < 0.2:
+                    kinds[field] = rng.choice([float, int, str])
+                empty[field] = rng.random() < 0.35
+            rows_ = []
+            for day in (no - 1, no):
+                for i in range(6):
+                    value = {f: 100.0 * (1 + list(names).index(f)) + 10 * day + i for f in names}
+                    record = {"day": f"d{day}", "sym": f"s{i}" if rng.random() < 0.5 else f"S{i}"}
+                    for f, n in names.items():
+                        # The repeated run keeps its values; a field without values in a file is null in it.
+                        record[n] = None if empty[f] else (kinds[f](value[f]) if kinds[f] is not str else f"{value[f]}")
+                    rows_.append(record)
+            made.append((2 * no, rows_))
+        files += [(led, no, records) for no, records in made]
+        want += [(led, *c) for c in brute_changes(made, ("day", "sym"))]
+    rng.shuffle(files)
+    d = spark.createDataFrame(ledger(files), "ledger_id long, file_no int, file_name string, row_no int, payload string")
+    key = lambda r: tuple(map(str, r))
+    got = [tuple(r) for r in drift.file_changes(d, target, record_key=("day", "sym")).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key) and {r[2] for r in want} == {"added", "removed", "renamed", "retyped"}
+    table = {(r["ledger_id"], r["file_no"], r["row_no"]): r for r in drift.unified(d, target, record_key=("day", "sym")).collect()}
+    assert len(table) == d.count()
+    for led, no, records in files:
+        for i, record in enumerate(records):
+            assert table[led, no, i]["day"] == record["day"]
+
+
+def test_long_chains_of_renames(spark):
+    names = ["close", *[f"c{i}" for i in range(1, 12)]]
+    made = [(1, no, [{"run_id": str(r), "ticker": t, names[no]: 10.0 * r + i} for r in (no, no + 1) for i, t in enumerate("AB")]) for no in range(len(names))]
+    d = spark.createDataFrame(ledger(made), "ledger_id long, file_no int, file_name string, row_no int, payload string")
+    assert all(r["close"] is not None and r["rescued"] is None for r in drift.unified(d).collect())
+    empty = [(1, no, [{"run_id": str(r), "ticker": "A", "close": (1 if no == 0 else "x") if no in (0, 11) else None} for r in (no, no + 1)]) for no in range(12)]
+    d = spark.createDataFrame(ledger(empty), "ledger_id long, file_no int, file_name string, row_no int, payload string")
+    assert rows(drift.file_changes(d)) == [(1, 11, "retyped", "close", "")]
+
+
 def test_drift_ingest_keeps_everything(spark):
     d = spark.createDataFrame([(1, '{"a": 1, "b": "x", "c": [1], "d": null, "e": 2.0}'), (2, "[1]"), (3, ""), (4, None)], "i int, p string")
     got = {r["i"]: r for r in drift.ingest(d, "p", {"a": "integer", "b": "number"}).collect()}
