@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.session import ship
-
 
 def by_session():
     """A ticker's sessions in order; made when called, as a window needs a session."""
@@ -79,28 +77,48 @@ def atr(bars: DataFrame, n: int = 14) -> DataFrame:
     return d.withColumn("atr_pct", F.col("atr") / F.col("close") * 100)
 
 
-def rsi(bars: DataFrame, n: int) -> DataFrame:
-    """ticker, session, rsi by Wilder's smoothing (factor 1/n), seeded with 0 at the first bar, from the n-th bar on.
+#: Sessions of one block of smoothed().
+BLOCK = 64
+
 
-    A window without losses has 100. The recurrence runs over one ticker's daily bars at a time, which the calendar bounds.
+def smoothed(bars: DataFrame, n: int, **values: str) -> DataFrame:
+    """Add exponential means with factor 1/n (new name=column, never null), from each ticker's first bar on.
+
+    The recurrence y = y' + (x - y') / n has the closed form of a sum with geometric weights. Within a block of sessions it
+    is a running sum; what the blocks before give is carried by the last row of each, over as many blocks as have
+    a weight that a double can tell from 0 beside 1. So it is windows over a ticker's sessions, which share a shuffle.
     """
+    q = 1 - 1 / n
+    back = 1
+    while q ** (BLOCK * back) > 1e-18:
+        back += 1
+    w = by_session()
+    d = bars.withColumn("_i", F.row_number().over(w) - 1).withColumn("_off", F.col("_i") % BLOCK).withColumn("_ends", F.col("_off") == BLOCK - 1)
+    inner = Window.partitionBy("ticker", F.floor(F.col("_i") / BLOCK)).orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+    # The first value seeds the mean, so it weighs 1 and not 1/n.
+    own = {k: F.pow(F.lit(q), F.col("_off")) * F.sum(F.col(c) * F.when(F.col("_i") == 0, 1.0).otherwise(1 / n) * F.pow(F.lit(q), -F.col("_off"))).over(inner) for k, c in values.items()}
+    d = d.withColumns({f"_{k}": v for k, v in own.items()})
+    ends = Window.partitionBy("ticker", "_ends").orderBy("session")
+    given = {k: sum((F.coalesce(F.lag(f"_{k}", j).over(ends), F.lit(0.0)) * q ** (BLOCK * j) for j in range(1, back)), F.col(f"_{k}")) for k in values}
+    d = d.withColumns({f"_to_{k}": F.when(F.col("_ends"), v) for k, v in given.items()})
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    carried = {k: F.coalesce(F.last(f"_to_{k}", ignorenulls=True).over(before), F.lit(0.0)) * F.pow(F.lit(q), F.col("_off") + 1) for k in values}
+    d = d.withColumns({k: F.col(f"_{k}") + v for k, v in carried.items()})
+    return d.drop("_i", "_off", "_ends", *[f"_{k}" for k in values], *[f"_to_{k}" for k in values])
 
-    def run(pdf):
-        import numpy as np
 
-        pdf = pdf.sort_values("session")
-        step = pdf["close"].diff()
-        gain = step.where(step > 0, 0.0).ewm(alpha=1 / n, adjust=False).mean()
-        loss = (-step).where(step < 0, 0.0).ewm(alpha=1 / n, adjust=False).mean()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            value = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss))
-        out = pdf[["ticker", "session"]].copy()
-        out["rsi"] = np.where(np.arange(len(pdf)) >= n - 1, value, np.nan)
-        return out
+def rsi(bars: DataFrame, n: int) -> DataFrame:
+    """The bars with rsi: the share of the smoothed rises in all smoothed moves, in %, from the n-th close on.
 
-    ship(bars.sparkSession)
-    d = bars.select("ticker", "session", "close").where("close is not null").groupBy("ticker").applyInPandas(run, "ticker string, session date, rsi double")
-    return d.withColumn("rsi", F.nanvl("rsi", F.lit(None).cast("double")))
+    A bar without a rise or fall counts as neither; where there was no fall at all it is 100. Moves so old that their weight
+    is under 1e-18 of a new one's don't count. Bars without a close are left out.
+    """
+    d = bars.where("close is not null")
+    step = F.coalesce(F.col("close") - F.lag("close").over(by_session()), F.lit(0.0))
+    d = d.withColumn("_step", step).withColumns({"_rise": F.greatest("_step", F.lit(0.0)), "_fall": F.greatest(-F.col("_step"), F.lit(0.0))})
+    d = smoothed(d, n, _up="_rise", _down="_fall")
+    value = F.when(F.col("_down") == 0, 100.0).otherwise(F.col("_up") / (F.col("_up") + F.col("_down")) * 100)
+    return d.withColumn("rsi", F.when(F.row_number().over(by_session()) >= n, value)).drop("_step", "_rise", "_fall", "_up", "_down")
 
 
 def volume_fields(bars: DataFrame, n: int = 20, days: int = 25, decline: float = -0.002) -> DataFrame:
@@ -191,10 +209,15 @@ def recent_breakout(bars: DataFrame, lookback: int = 10, min_bars: int = 50, ove
 
 def crossings(values: DataFrame, column: str, threshold: float, lookback: int) -> DataFrame:
     """ticker, crossings: how often the column fell below the threshold in the last sessions, without the latest."""
-    w = Window.partitionBy("ticker").orderBy("session")
-    d = values.withColumn("_before", F.lag(column).over(w)).withColumn("_back", F.count(F.lit(1)).over(Window.partitionBy("ticker")) - F.row_number().over(w))
-    hit = (F.col("_before") >= threshold) & (F.col(column) < threshold) & F.col("_back").between(1, lookback - 1)
-    return d.groupBy("ticker").agg(F.count(F.when(hit, 1)).alias("crossings"))
+    return with_crossings(values, column, threshold, lookback).groupBy("ticker").agg(F.max("crossings").alias("crossings"))
+
+
+def with_crossings(values: DataFrame, column: str, threshold: float, lookback: int) -> DataFrame:
+    """Add crossings() to every row of a ticker, by windows of the one shuffle that its other indicators have."""
+    w, whole = by_session(), Window.partitionBy("ticker")
+    d = values.withColumn("_before", F.lag(column).over(w)).withColumn("_from_end", F.count(F.lit(1)).over(whole) - F.row_number().over(w))
+    hit = (F.col("_before") >= threshold) & (F.col(column) < threshold) & F.col("_from_end").between(1, lookback - 1)
+    return d.withColumn("_hit", F.when(hit, 1)).withColumn("crossings", F.count("_hit").over(whole)).drop("_before", "_from_end", "_hit")
 
 
 def breadth(bars: DataFrame) -> DataFrame:

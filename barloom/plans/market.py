@@ -26,8 +26,8 @@ def _last(df: DataFrame, *cols: str) -> DataFrame:
 #: Common table expressions of the oracle.
 BARS = """
 with trades as (select cast(l_suppkey as varchar) as ticker, cast(l_shipdate as date) as session, l_extendedprice / l_quantity as price, l_quantity, (l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) as k from lineitem),
-daily as (select ticker, session, arg_min(price, k) as open, max(price) as high, min(price) as low, arg_max(price, k) as close, sum(l_quantity) as volume from trades where price is not null group by all),
-bars as (select *, row_number() over w as sess_no, count(*) over (partition by ticker) - row_number() over w as back from daily window w as (partition by ticker order by session))
+daily as materialized (select ticker, session, arg_min(price, k) as open, max(price) as high, min(price) as low, arg_max(price, k) as close, sum(l_quantity) as volume from trades where price is not null group by all),
+bars as materialized (select *, row_number() over w as sess_no, count(*) over (partition by ticker) - row_number() over w as back from daily window w as (partition by ticker order by session))
 """
 QUERIES, SQL = {}, {}
 
@@ -104,12 +104,12 @@ rsi as (select ticker, session, back, case when sess_no >= {n} then case when l
 
 @query(_RSI.format(n=2) + "select ticker, cast(session as varchar) as session, round(rsi, 5) as rsi from rsi")
 def rsi2_wilder(spark, sf):
-    return _r(ind.rsi(_bars(spark, sf), 2), 5)
+    return _r(ind.rsi(_bars(spark, sf), 2).select("ticker", "session", "rsi"), 5)
 
 
 @query(_RSI.format(n=14) + "select ticker, cast(session as varchar) as session, round(rsi, 5) as rsi from rsi")
 def rsi14_wilder(spark, sf):
-    return _r(ind.rsi(_bars(spark, sf), 14), 5)
+    return _r(ind.rsi(_bars(spark, sf), 14).select("ticker", "session", "rsi"), 5)
 
 
 @query(_RSI.format(n=2) + ", c as (select *, lag(rsi) over (partition by ticker order by session) as b from rsi) select ticker, count(*) filter (where b >= 10 and rsi < 10 and back between 1 and 59) as crossings from c group by ticker")

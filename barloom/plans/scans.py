@@ -53,10 +53,8 @@ s as (select m.ticker, rsi.rsi, d5, d200, freq, least(greatest(40 * (1 - rsi.rsi
 
 def _reversion(spark, sf, threshold: float) -> DataFrame:
     bars = _bars(spark, sf)
-    rsi = ind.rsi(bars, 2)
-    freq = ind.crossings(rsi, "rsi", 10, 60)
     dist = lambda n: (F.col("close") / ind.sma("close", n) - 1) * 100
-    d = bars.select("ticker", "session", "back", dist(5).alias("d5"), dist(200).alias("d200")).where("back = 0").join(rsi, ["ticker", "session"]).join(freq.withColumnRenamed("crossings", "freq"), "ticker")
+    d = ind.with_crossings(ind.rsi(bars, 2), "rsi", 10, 60).select("ticker", "back", "rsi", F.col("crossings").alias("freq"), dist(5).alias("d5"), dist(200).alias("d200")).where("back = 0")
     return d.withColumn("score", reversion_score(F.col("rsi"), F.col("d5"), F.col("d200"), F.col("freq"), threshold))
 
 
@@ -77,7 +75,7 @@ select ticker, case when abs(d20) <= 3 and rsi between 40 and 55 then '🟢' whe
 """)
 def pullback_classes(spark, sf):
     bars = _bars(spark, sf)
-    d = bars.select("ticker", "session", "back", ((F.col("close") / ind.sma("close", 20) - 1) * 100).alias("d20")).where("back = 0").join(ind.rsi(bars, 14), ["ticker", "session"])
+    d = ind.rsi(bars, 14).select("ticker", "back", "rsi", ((F.col("close") / ind.sma("close", 20) - 1) * 100).alias("d20")).where("back = 0")
     return d.select("ticker", pullback_class(F.col("d20"), F.col("rsi")).alias("class"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.session import table
@@ -22,10 +22,23 @@ def bars_from_trades(trades: DataFrame, ticker: str, at: str, price: str, quanti
     )
 
 
+def packed(*parts: tuple[Column, int]) -> Column:
+    """Whole numbers (each with how many values it can have) as one, in the order of the tuple; of at most 18 digits."""
+    out = F.lit(0).cast("long")
+    for number, size in parts:
+        out = out * F.lit(size).cast("long") + number.cast("long")
+    return out
+
+
 def supplier_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """Bars of the test tables: a supplier's lines are its trades."""
-    lines = table(spark, sf, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
-    return bars_from_trades(lines, "l_suppkey", "l_shipdate", "price", "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"])
+    """Bars of the test tables: a supplier's lines are its trades, in the order of their keys, quantity and price.
+
+    That order is packed into one decimal, which a hash aggregation can hold and a struct can't.
+    """
+    line = packed((F.col("l_orderkey"), 1), (F.col("l_linenumber"), 10)).cast("decimal(19,0)")
+    rest = packed((F.col("l_partkey"), 1), (F.col("l_quantity"), 100), (F.round(F.col("l_extendedprice") * 100), 100_000_000)).cast("decimal(18,0)")
+    lines = table(spark, sf, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), (line * F.lit(10**18).cast("decimal(19,0)") + rest).alias("order"))
+    return bars_from_trades(lines, "l_suppkey", "l_shipdate", "price", "l_quantity", ["order"])
 
 
 def numbered(bars: DataFrame) -> DataFrame:

@@ -31,6 +31,13 @@ def test_bars(spark):
 def test_rsi_and_atr(spark):
     rng = random.Random(2)
     closes = [100 + rng.uniform(-5, 5) for _ in range(60)]
+    long = [100 + rng.uniform(-5, 5) for _ in range(900)]  # over many blocks
+    two = [r["rsi"] for r in ind.rsi(make_bars(spark, {"L": [(c, c, c, c) for c in long]}), 14).orderBy("session").collect()]
+    rise = fall = 0.0
+    for i in range(1, 900):
+        step = long[i] - long[i - 1]
+        rise, fall = rise * 13 / 14 + max(step, 0) / 14, fall * 13 / 14 + max(-step, 0) / 14
+        assert i < 13 or abs(two[i] - rise / (rise + fall) * 100) < 1e-9
     bars = make_bars(spark, {"A": [(c, c + 1, c - 2, c) for c in closes], "F": [(5, 5, 5, 5)] * 20})
     got = {(r["ticker"], i): r["rsi"] for t in "AF" for i, r in enumerate(ind.rsi(bars, 14).where(F.col("ticker") == t).orderBy("session").collect())}
     up = down = 0.0
@@ -233,20 +240,27 @@ def test_streaming(spark, tmp_path):
 
 
 def test_snapshots(spark, tmp_path):
-    from barloom.sources.snapshots import SnapshotSource, classified, retried
+    from barloom.sources.snapshots import Patience, SnapshotSource, read_patiently
 
-    (tmp_path / "A.json").write_text('{"last": 1.5}')
+    (tmp_path / "A.json").write_text('{"last":   1.5}')
     (tmp_path / "C.json").write_text("{broken")
     spark.dataSource.register(SnapshotSource)
-    got = spark.read.format("snapshots").option("symbols", "A, B,C,A").option("group", 2).option("delay", "0").load(str(tmp_path))
-    assert [(r["symbol"], r["payload"], r["error_kind"], r["attempts"]) for r in got.orderBy("symbol").collect()] == [("A", '{"last": 1.5}', None, 1), ("B", None, "not_found", 1), ("C", None, "unknown", 3)]
-    assert [classified(t) for t in ("HTTP 429", "Connection reset", "odd")] == ["rate_limit", "network", "unknown"]
-    tries, pauses = [], []
+    got = spark.read.format("snapshots").option("symbols", "A, B,C,A").option("group", 2).option("patience", "0").load(str(tmp_path))
+    assert [(r["symbol"], r["payload"], r["reason"], r["tries"]) for r in got.orderBy("symbol").collect()] == [("A", '{"last": 1.5}', None, 1), ("B", None, "missing", 1), ("C", None, "malformed", 1)]
+    assert spark.read.format("snapshots").option("symbols", " ").load(str(tmp_path)).count() == 0
+    waits, left = [], [TimeoutError("slow"), ConnectionError("reset")]
 
     def flaky():
-        tries.append(1)
-        if len(tries) < 3:
-            raise OSError("timed out")
-        return 7
+        if left:
+            raise left.pop()
+        return "7"
 
-    assert retried(flaky, sleep=pauses.append) == (7, None, 3) and pauses == [0.5, 1.0]
+    assert read_patiently(flaky, Patience(10, seed=1, sleep=waits.append)) == ("7", None, None, 3)
+    assert len(waits) == 2 and 0 <= waits[0] <= 1 and 0 <= waits[1] <= 2
+
+    def never():
+        raise TimeoutError("slow")
+
+    given_up = read_patiently(never, Patience(5, seed=1, sleep=waits.append))
+    assert given_up.reason == "unreachable" and sum(waits[2:]) <= 5
+    assert read_patiently(lambda: 1 / 0, Patience(5)).reason == "unexpected"
