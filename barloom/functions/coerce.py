@@ -58,25 +58,61 @@ def is_isin(x: Column) -> Column:
     return F.coalesce(x.rlike("^[A-Z]{2}[A-Z0-9]{9}[0-9]$"), F.lit(False))
 
 
-#: Patterns of an event's name and its unit; the first that matches holds.
-UNITS = (("yoy|mom|qoq|rate|%|inflation", "percent"), ("pmi|index|sentiment|confidence", "index_level"), ("claims|payrolls|jobs|starts|permits", "thousands"), ("balance|budget|sales|gdp", "currency"))
+#: Whole words of an event's name and its unit, in this order; the first rule that has one holds.
+UNITS = (
+    ("YY|MM|QQ", "percent"),
+    ("PMI|Sentiment|Confidence|Conditions|Expectations|Index|ISM|ZEW|IFO|Tankan|Manheim", "index_level"),
+    ("CPI|PPI|Infl|Inflation|Wage|Earnings|Yield", "percent"),
+    ("Payrolls|Claims|NFP|Hiring|Vacancies|Job|Jobless", "thousands"),
+    ("Trade Balance|Current Account|Budget|Deficit|Reserves|Money Supply|M[0-9]|Loan", "currency"),
+    ("Rate Decision|Policy Rate|Funds Rate|Repo|Bank Rate|GDP", "percent"),
+)
 
 
 def unit_of(name: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for pattern, unit in reversed(UNITS):
-        out = F.when(name.rlike(f"(?i){pattern}"), unit).otherwise(out)
-    return out
+    """The unit that an event's name tells; null if no rule knows it."""
+    return F.coalesce(*[F.when(name.rlike(rf"(?i)\b(?:{words})\b"), unit) for words, unit in UNITS])
 
 
-def plain_text(html: Column) -> Column:
-    """HTML to text: paragraphs to blank lines, links kept as [text](address), other tags dropped, common entities read."""
-    t = F.regexp_replace(html, r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?i)<p[^>]*>|</p>|<br\s*/?>\s*<br\s*/?>", "\n\n"), r"(?i)<br\s*/?>", "\n")
-    t = F.regexp_replace(t, r"<[^>]+>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&#x2F;", "/"), ("&amp;", "&")):
+#: Entities by name; numbered ones are read by their number.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"))
+
+
+def _entities(text: Column) -> Column:
+    """Entities as characters: named, decimal and hexadecimal ones; & itself last, so that none is read twice."""
+    whole = F.split(F.regexp_replace(text, r"(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});", "\u0001$1\u0002"), "\u0001")
+    code = lambda e: F.when(F.lower(F.substring(e, 1, 1)) == "x", F.conv(F.substring(e, 2, 9), 16, 10)).otherwise(e).cast("int")
+    read = lambda part: F.concat(_char(code(F.substring_index(part, "\u0002", 1))), F.substring_index(part, "\u0002", -1))
+    t = F.array_join(F.transform(whole, lambda part: F.when(F.instr(part, "\u0002") > 0, read(part)).otherwise(part)), "")
+    for entity, char in ENTITIES:
         t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return F.replace(t, F.lit("&amp;"), F.lit("&"))
+
+
+def _char(code: Column) -> Column:
+    """The character of a code point: chr() knows but the first 256, so it is decoded from its four bytes."""
+    real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
+def plain_text(html: Column) -> Column:
+    """HTML to text: paragraphs become blank lines, links [text](address), code blocks fenced lines that keep their white
+    space; other tags go and entities are read."""
+    code = r"(?is)<pre[^>]*>\s*<code[^>]*>(.*?)</code>\s*</pre>"
+    # Parts alternate between text and code, so nothing that happens to text touches code.
+    parts = F.split(F.regexp_replace(html, code, "\u0003$1\u0004"), "\u0003")
+
+    def prose(t: Column) -> Column:
+        t = F.regexp_replace(t, r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)")
+        t = F.regexp_replace(F.regexp_replace(t, r"(?i)<p[^>]*>|</p>|<br\s*/?>\s*<br\s*/?>", "\n\n"), r"(?i)<br\s*/?>", "\n")
+        return _entities(F.regexp_replace(F.regexp_replace(t, r"<[^>]+>", ""), r"\n{3,}", "\n\n"))
+
+    def part(p: Column) -> Column:
+        block, after = F.substring_index(p, "\u0004", 1), F.substring_index(p, "\u0004", -1)
+        fenced = F.concat(F.lit("\n```\n"), _entities(F.regexp_replace(block, r"^\n+|\n+$", "")), F.lit("\n```\n"), prose(after))
+        return F.when(F.instr(p, "\u0004") > 0, fenced).otherwise(prose(p))
+
+    return F.regexp_replace(F.array_join(F.transform(parts, part), ""), r"^\s+|\s+$", "")
 
 
 def word_count(text: Column) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import once
-from barloom.session import bounded_broadcast
 
 #: Hours from UTC of the zone abbreviations read.
 ZONE_HOURS = {
@@ -136,7 +135,7 @@ def with_source(df: DataFrame, sources: DataFrame, key: str = "source") -> DataF
     names give way."""
     df = df.drop("zone", "day_first", "_src")
     side = sources.select(F.col(key).alias("_src"), "zone", "day_first").where("_src is not null").dropDuplicates(["_src"])
-    return df.join(bounded_broadcast(side), df[key] == F.col("_src"), "left").drop("_src")
+    return df.join(side, df[key] == F.col("_src"), "left").drop("_src")
 
 
 def instant_text(at: str = "at") -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.labels import base_state
-from barloom.session import bounded_broadcast
 
 
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -27,7 +26,7 @@ def streaks(listings: DataFrame, key: str, day: str) -> DataFrame:
     """
     days = numbered_runs(listings, day)
     last = days.agg(F.max("no")).scalar()
-    d = listings.where(F.col(key).isNotNull()).select(key, day).distinct().join(bounded_broadcast(days), day)
+    d = listings.where(F.col(key).isNotNull()).select(key, day).distinct().join(days, day)
     d = d.withColumn("_g", F.col("no") - F.row_number().over(Window.partitionBy(key).orderBy("no")))
     island = d.groupBy(key, "_g").agg(F.count(F.lit(1)).alias("_n"), F.max("no").alias("_end"), F.min(day).alias("_start")).withColumn("_last", last)
     active = F.col("_end") == F.col("_last")
@@ -47,6 +46,24 @@ def run_pair(listings: DataFrame, key: str, day: str, rank: str, score_rank: str
     return g.select(key, status.alias("status"), "rank", "before", "delta")
 
 
+def moves_since(prices: DataFrame, key: str, day: str, before) -> DataFrame:
+    """By key: move_pct of the last known close against the last one up to the day ``before``; prices has close, run_date, run_id."""
+    by, has = F.struct("run_date", "run_id"), F.col("close").isNotNull() & F.col("run_date").isNotNull()
+    g = prices.withColumn("_d0", before).groupBy(key).agg(F.max_by("close", F.when(has, by)).alias("_now"), F.max_by("close", F.when(has & (F.col(day) <= F.col("_d0")), by)).alias("_was"))
+    return g.select(key, ((F.col("_now") / F.col("_was") - 1) * 100).alias("move_pct"))
+
+
+def dropout_reasons(pair: DataFrame, moves: DataFrame, key: str, excluded: DataFrame, issuers: DataFrame, out_pct: float = 0.5, down_pct: float = -8) -> DataFrame:
+    """The names of run_pair() that dropped out, with the first reason that holds: vol_collapse (in ``excluded``), deduped
+    (another name of its issuer is listed now), broke_out or broke_down (by ``moves``), else faded."""
+    issuers = issuers.select(key, "issuer")
+    gone = pair.where("status = 'dropped'").select(key).join(excluded.select(key, F.lit(True).alias("_excluded")), key, "left").join(moves, key, "left").join(issuers, key, "left")
+    shown = pair.where("rank is not null").select(key).join(issuers, key).select("issuer", F.lit(True).alias("_shown")).distinct()
+    d = gone.join(shown, "issuer", "left")
+    reason = F.when(F.col("_excluded"), "vol_collapse").when(F.col("_shown"), "deduped").when(F.col("move_pct") >= out_pct, "broke_out").when(F.col("move_pct") < down_pct, "broke_down").otherwise("faded")
+    return d.select(key, reason.alias("reason"))
+
+
 def confirmed(readings: DataFrame, keys: list[str], order: str, state: str, n: int = 2) -> DataFrame:
     """Add ``confirmed``: the last state that stood for n readings in a row up to then; the first reading seeds it.
 

@@ -41,6 +41,37 @@ def _path(bars: DataFrame, signals: DataFrame, sessions: int, at: str = "sess_no
     return signals.select("*", F.explode(F.sequence(F.lit(1), F.lit(sessions))).alias("k")).withColumn("_s", F.col(at) + F.col("k")).join(b, ["ticker", "_s"])
 
 
+def in_series_units(bars: DataFrame, signals: DataFrame, near: float = 2, far: float = 5) -> DataFrame:
+    """Signals (sid, ticker, sess_no, recorded, target, stop) moved onto the series: sid, ticker, sess_no, entry, target, stop
+    and status (ok, unit_mismatch, no_bars).
+
+    The anchor is the bar at sess_no; where its close is over ``near`` % off the recorded one and the bar before is nearer,
+    it is that bar. entry is the anchor's close; target and stop are scaled by its ratio to the recorded close, as a series
+    adjusted since then has other units. A ratio over ``far`` % off is a mismatch; such prices are null.
+    """
+    w = Window.partitionBy("ticker").orderBy("sess_no")
+    b = bars.select("ticker", "sess_no", F.col("close").alias("_c"), F.lag("close").over(w).alias("_p"))
+    d = signals.join(b, ["ticker", "sess_no"], "left")
+    own, prior = F.col("_c") / F.col("recorded"), F.col("_p") / F.col("recorded")
+    back = (F.abs(own - 1) * 100 > near) & F.coalesce(F.abs(prior - 1) < F.abs(own - 1), F.lit(False))
+    d = d.withColumn("_back", back).withColumn("_ratio", F.when(back, prior).otherwise(own))
+    status = F.when(F.col("_ratio").isNull(), "no_bars").when(F.abs(F.col("_ratio") - 1) * 100 > far, "unit_mismatch").otherwise("ok")
+    ok = status == "ok"
+    return d.select(
+        "sid", "ticker", (F.col("sess_no") - F.when(F.col("_back"), 1).otherwise(0)).alias("sess_no"), F.when(ok, F.when(F.col("_back"), F.col("_p")).otherwise(F.col("_c"))).alias("entry"),
+        *[F.when(ok, F.col(c) * F.col("_ratio")).alias(c) for c in ("target", "stop")], status.alias("status"),
+    )
+
+
+def entered_next_open(bars: DataFrame, signals: DataFrame) -> DataFrame:
+    """Signals (sid, ticker, sess_no, target, stop) entered at the next session's open, with ``entry`` and ``status``: ok,
+    gap_skip if that open is at or beyond the target or stop already, and no_bars without one."""
+    b = bars.select("ticker", (F.col("sess_no") - 1).alias("sess_no"), F.col("open").alias("_o"))
+    d = signals.drop("entry", "status").join(b, ["ticker", "sess_no"], "left")
+    beyond = (F.col("_o") >= F.col("target")) | F.coalesce(F.col("_o") <= F.col("stop"), F.lit(False))
+    return d.withColumn("status", F.when(F.col("_o").isNull(), "no_bars").when(beyond, "gap_skip").otherwise("ok")).withColumnRenamed("_o", "entry")
+
+
 def target_stop(bars: DataFrame, signals: DataFrame, horizon: int, gaps: bool = False) -> DataFrame:
     """Signals (sid, ticker, sess_no, entry, target, stop) replayed: sid, outcome, days, result_pct, ambiguous, mae_pct.
 
@@ -198,7 +229,9 @@ def tape(bars: DataFrame) -> DataFrame:
 def trailing_stop(bars: DataFrame, entries: DataFrame, multiple: float = 2.5) -> DataFrame:
     """entries (sid, ticker, sess_no) with close_stop, the latest close less a multiple of ATR, and trail_stop, the highest
     close since the entry less it; bars need atr."""
-    last = bars.where("back = 0").select("ticker", F.col("close").alias("_c"), "atr")
-    since = entries.select("sid", "ticker", F.col("sess_no").alias("_from")).join(bars.select("ticker", "sess_no", "close"), "ticker").where("sess_no >= _from").groupBy("sid").agg(F.max("close").alias("_top"))
-    d = entries.join(last, "ticker").join(since, "sid")
-    return d.select("sid", (F.col("_c") - multiple * F.col("atr")).alias("close_stop"), (F.col("_top") - multiple * F.col("atr")).alias("trail_stop"))
+    w = Window.partitionBy("ticker").orderBy("sess_no")
+    since, whole = w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # A maximum that runs from the end holds the highest close since each session; an entry meets its own session's row only.
+    d = bars.select("ticker", "sess_no", F.max("close").over(since).alias("_top"), F.last("close").over(whole).alias("_c"), F.last("atr").over(whole).alias("_atr"))
+    d = entries.select("sid", "ticker", "sess_no").join(d, ["ticker", "sess_no"])
+    return d.select("sid", (F.col("_c") - multiple * F.col("_atr")).alias("close_stop"), (F.col("_top") - multiple * F.col("_atr")).alias("trail_stop"))

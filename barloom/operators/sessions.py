@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.session import bounded_broadcast, materialize
+from barloom.session import materialize
 
 
 def merge_sessions(df: DataFrame, keys: list[str], position: str, gap: int | float | Column, width: int | float) -> DataFrame:
@@ -59,7 +59,7 @@ def episodes(appearances: DataFrame, run_days: DataFrame, missed: int = 3) -> Da
     and span (run_days from start to end). Rows without ticker (null or blank) or run_day, or with a run_day
     that isn't in run_days, don't count. Extra columns are ignored.
     """
-    days = bounded_broadcast(numbered_days(run_days))
+    days = numbered_days(run_days)
     seen = appearances.where(F.trim("ticker") != "").groupBy("ticker", "run_day").agg(F.count(F.lit(1)).alias("_rows"))
     seen = seen.join(days, "run_day").select("ticker", "no")
     merged = merge_sessions(seen, ["ticker"], "no", missed, width=64)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import materialize
+
 
 def win_rates(outcomes: DataFrame, *by: str) -> DataFrame:
     """By group: n, won, lost, expired, win_pct (of won and lost), mean_days of those won, expectancy (mean result_pct)."""
@@ -55,11 +57,15 @@ def edges(df: DataFrame, group: str, value: str, least: int = 10) -> DataFrame:
 def tercile_cuts(df: DataFrame, value: str, least: int = 9) -> DataFrame:
     """One row low, high: the values at positions n // 3 and 2n // 3 (from 0) of the sorted ones; null under ``least`` rows.
 
-    Exact order statistics from counts by value, so one task sees distinct values, not rows.
+    Exact order statistics: counts by value are split by ranges of the value, each range knows how many lie before it, and
+    sums run within ranges. No task sees more than a range of the distinct values.
     """
     c = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("_upto", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
+    c = materialize(c.repartitionByRange("_v").withColumn("_range", F.spark_partition_id()), "ranges")
+    ranges = c.groupBy("_range").agg(F.sum("_n").alias("_m"))  # as many rows as a shuffle has partitions
+    ranges = ranges.select("_range", (F.sum("_m").over(Window.orderBy("_range")) - F.col("_m")).alias("_before"), F.sum("_m").over(Window.partitionBy()).alias("_all"))
+    w = Window.partitionBy("_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    c = c.join(ranges, "_range").withColumn("_upto", F.sum("_n").over(w) + F.col("_before"))
     at = lambda k: F.min(F.when(F.col("_upto") > F.floor(F.col("_all") * k / 3), F.col("_v")))
     return c.where(F.col("_all") >= least).agg(at(1).alias("low"), at(2).alias("high"))
 

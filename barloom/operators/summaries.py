@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.session import bounded_broadcast
-
 
 def option_summary(chain: DataFrame, spot: str, moneyness_pct: float | None = None) -> DataFrame:
     """By underlying: nearest strikes to the spot of calls and puts, summed volume and interest, put/call ratios.
@@ -57,10 +55,11 @@ def head_tail(df: DataFrame, key: str, order: str, head: int | None = None, tail
     """The first or last rows of each key, with ``total`` and ``shown``; head and tail exclude each other."""
     if head is not None and tail is not None:
         raise ValueError("head and tail exclude each other")
-    w = Window.partitionBy(key)
     n, by = (head, F.col(order)) if head is not None else (tail, F.col(order).desc())
-    d = df.withColumn("total", F.count(F.lit(1)).over(w)).withColumn("_k", F.row_number().over(w.orderBy(by)))
-    return d.where(F.col("_k") <= n).drop("_k").withColumn("shown", F.least("total", F.lit(n)))
+    # The cut comes first, so no task holds a whole key; the totals are counted in each task and joined to what is left.
+    d = df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(by))).where(F.col("_k") <= n).drop("_k")
+    total = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("total"))
+    return d.join(total, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").withColumn("shown", F.least("total", F.lit(n)))
 
 
 def split_events(shares: DataFrame, key: str, day: str, value: str, ratio: float = 1.5) -> DataFrame:
@@ -71,18 +70,22 @@ def split_events(shares: DataFrame, key: str, day: str, value: str, ratio: float
 
 
 def sparks(candidates: DataFrame, events: DataFrame, cap: float = 8e11) -> DataFrame:
-    """Candidates (ticker, sector) with the events that bear on them: ticker, kind, source, day; own, sector or market.
+    """Candidates (ticker, sector) with how many events bear on them: ticker, n_own, n_sector, n_market, and next_own, the
+    first day of an own one.
 
     An event of the same ticker is its own. One of another ticker of the same known sector is the sector's; of another or
-    unknown sector it is the market's if its cap is at least ``cap``. Three joins of their own keys; the last joins the few
-    giants to all candidates, so it broadcasts those.
+    unknown sector it is the market's if its cap is at least ``cap``. Events are counted by ticker and by sector, and what a
+    candidate's own or its sector's are is taken off the totals, so no candidate meets an event of another ticker.
     """
-    e = events.select(F.col("ticker").alias("source"), F.col("sector").alias("_s"), "cap", "day")
-    own = candidates.join(e, candidates["ticker"] == e["source"]).select("ticker", F.lit("own").alias("kind"), "source", "day")
-    same = candidates.join(e, (candidates["sector"] == e["_s"]) & (candidates["ticker"] != e["source"])).select("ticker", F.lit("sector").alias("kind"), "source", "day")
-    other = (candidates["ticker"] != F.col("source")) & ~F.coalesce(candidates["sector"] == F.col("_s"), F.lit(False))
-    giants = candidates.join(bounded_broadcast(e.where(F.col("cap") >= cap), 10_000), other).select("ticker", F.lit("market").alias("kind"), "source", "day")
-    return own.unionByName(same).unionByName(giants)
+    n, giant = F.count(F.lit(1)), F.count(F.when(F.col("cap") >= cap, 1))
+    by_both = events.groupBy(F.col("ticker").alias("_t"), F.col("sector").alias("_s")).agg(n.alias("n"), giant.alias("g"), F.min("day").alias("day"))
+    own = by_both.groupBy("_t").agg(F.sum("n").alias("own"), F.sum("g").alias("own_g"), F.min("day").alias("next_own"))
+    sector = by_both.where("_s is not null").groupBy("_s").agg(F.sum("n").alias("sec"), F.sum("g").alias("sec_g"))
+    same = by_both.select(F.col("_t").alias("_t2"), F.col("_s").alias("_s2"), F.col("n").alias("both"), F.col("g").alias("both_g"))
+    d = candidates.join(own, F.col("ticker") == F.col("_t"), "left").join(sector, F.col("sector") == F.col("_s"), "left").join(same, (F.col("ticker") == F.col("_t2")) & (F.col("sector") == F.col("_s2")), "left")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    d = d.withColumn("_all", events.agg(giant).scalar())
+    return d.select("ticker", z("own").alias("n_own"), (z("sec") - z("both")).alias("n_sector"), (F.col("_all") - z("own_g") - z("sec_g") + z("both_g")).alias("n_market"), "next_own")
 
 
 def merged_watchlists(first: DataFrame, second: DataFrame, names: tuple[str, str]) -> DataFrame:

@@ -10,7 +10,7 @@ from barloom.functions.labels import base_state
 from barloom.functions.timestamps import day_text, instant_text, normalise_times, with_source
 from barloom.operators import drift, history, sessions
 from barloom.operators.asof import as_known
-from barloom.session import bounded_broadcast, materialize, table
+from barloom.session import materialize, table
 from barloom.streaming.sessions import replayed, stream_sessions
 
 #: Seconds of one piece of a ticker's updates.
@@ -36,7 +36,7 @@ def p2_episodes(spark: SparkSession, sf: str) -> DataFrame:
 def p2_streamed(spark: SparkSession, sf: str) -> DataFrame:
     """The rows of p2_found from a replay as a stream: sessions of days behind a watermark that spans the calendar, so rows
     of any order count, closed by one event of no ticker after all others."""
-    days = bounded_broadcast(sessions.numbered_days(table(spark, sf, "run_days")))
+    days = sessions.numbered_days(table(spark, sf, "run_days"))
     listed = table(spark, sf, "appearances")
     # A pattern, since a stream reads a single file only where a pattern names it.
     stream = spark.readStream.schema(listed.schema).parquet(f"{sf}/appearances.parque[t]").where(F.trim("ticker") != "").select("ticker", "run_day").join(days, "run_day").select("ticker", "no")

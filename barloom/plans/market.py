@@ -250,8 +250,56 @@ def vcp_contractions(spark, sf):
     return _r(bases.contractions(_bars(spark, sf)).drop("depths"))
 
 
-@query(_BASES.rstrip().replace('select ticker, "offset", days, round', ', z as (select ticker, width_pct as w, to_pivot_pct as p, "offset", days, round', 1) + """)
-select ticker, round(least(greatest((w - 99) / (5.0 - 99), 0), 1) * 25 + exp(-0.5 * pow((p + 2) / 4, 2)) * 15 + least(greatest((smoothness_pct - 20) / 50.0, 0), 1) * 10 + least(greatest((dryup - 1.10) / (0.55 - 1.10), 0), 1) * 15, 4) as score from z""")
+#: The score's other parts by ticker: squeeze, strength against the index and three tight weeks.
+_PARTS = """
+, bw as (select *, case when sess_no >= 20 then stddev_samp(close) over w * 4 / avg(close) over w end as width from bars window w as (partition by ticker order by session rows 19 preceding)),
+bl as (select *, first_value(width) over (partition by ticker order by back) as last from bw where back < 126), bb as (select ticker, case when count(width) = 126 then count(*) filter (where width < last) / 126 * 100 end as bb_pctile from bl group by ticker),
+ix as (select session, avg(close) as index_close from bars group by session), rq as (select *, close / index_close as q, row_number() over (partition by ticker order by session) as x from bars join ix using (session) where back < 100),
+ry as (select *, q / first_value(q) over (partition by ticker order by session) as y from rq), rsl as (select ticker, regr_slope(y, x) * 500 as slope from ry group by ticker),
+tw as (select ticker, session + cast((12 - isodow(session)) % 7 as integer) as week, arg_max(close, session) as c from bars group by all), tk as (select *, row_number() over (partition by ticker order by week desc) as k from tw),
+tt as (select ticker, count(c) = 3 and (max(c) - min(c)) / avg(c) * 100 <= 1.5 as tight from tk where k <= 3 group by ticker)
+"""
+_POINTS = """
+select z.ticker, round(least(100, least(greatest((w - {worst}) / (5.0 - {worst}), 0), 1) * 25 + coalesce(least(greatest((bb_pctile - 40) / -40.0, 0), 1), 0) * 20 + least(greatest((dryup - 1.10) / (0.55 - 1.10), 0), 1) * 15 + coalesce(least(greatest((slope + 0.5) / 3.0, 0), 1), 0) * 20
+  + exp(-0.5 * pow((p + 2) / 4, 2)) * 15 + least(greatest((smoothness_pct - 20) / 50.0, 0), 1) * 10 + case when tight then 5 else 0 end), 4) as score from z left join bb using (ticker) left join rsl on rsl.ticker = z.ticker left join tt on tt.ticker = z.ticker
+"""
+_Z = 'select ticker, "offset", days, round'
+
+
+def _scored(_sql: str, worst: int) -> str:
+    return _PARTS + _sql.rstrip().replace(_Z, ', z as (select ticker, width_pct as w, to_pivot_pct as p, "offset", days, round', 1) + ")" + _POINTS.format(worst=worst)
+
+
+def _score(bars: DataFrame, width: float, high: float) -> DataFrame:
+    """Of each base: tightness 25, squeeze 20, dry-up 15, strength 20, nearness to the pivot 15, smoothness 10, and 5 for three
+    tight weeks; 100 at most. What can't be measured gives nothing."""
+    d = bases.detect_bases(bars, max_width=width, from_high=high).join(ind.band_percentile(bars).select("ticker", "bb_pctile"), "ticker", "left")
+    d = d.join(ind.strength_slope(bars, index_bars(bars), 100), "ticker", "left").join(ind.tight_weeks(bars).select("ticker", "tight"), "ticker", "left")
+    c = F.col
+    parts = ind.linear(c("width_pct"), 5, width, 25) + ind.linear(c("bb_pctile"), 0, 40, 20) + ind.linear(c("dryup"), 0.55, 1.10, 15) + ind.linear(c("slope_pct_per_week"), 2.5, -0.5, 20)
+    parts = parts + ind.bell(c("to_pivot_pct"), -2, 4, 15) + ind.linear(c("smoothness_pct"), 70, 20, 10) + F.when(c("tight"), 5.0).otherwise(0.0)
+    return _r(d.select("ticker", F.least(parts, F.lit(100.0)).alias("score")), 4)
+
+
+@query(_scored(_BASES, 99))
 def base_score(spark, sf):
-    b = bases.detect_bases(_bars(spark, sf), max_width=99, from_high=99)
-    return _r(b.select("ticker", (ind.linear(F.col("width_pct"), 5, 99, 25) + ind.bell(F.col("to_pivot_pct"), -2, 4, 15) + ind.linear(F.col("smoothness_pct"), 70, 20, 10) + ind.linear(F.col("dryup"), 0.55, 1.10, 15)).alias("score")), 4)
+    return _score(_bars(spark, sf), 99, 99)
+
+
+#: The test prices swing a hundredfold; a small power of them moves as prices do, so that the gates both pass and stop.
+_CALM = ", wild as (select * from bars), calm as (select ticker, session, 100 * pow(open, 0.05) as open, 100 * pow(high, 0.05) as high, 100 * pow(low, 0.05) as low, 100 * pow(close, 0.05) as close, volume, sess_no, back from wild)"
+_CALM_BASES = _BASES.replace("from bars", "from calm").replace(">= -99", ">= -15").replace("width_pct <= 99", "width_pct <= 25")
+
+
+def _calm(spark: SparkSession, sf: str) -> DataFrame:
+    return _bars(spark, sf).withColumns({c: 100 * F.pow(c, F.lit(0.05)) for c in ("open", "high", "low", "close")})
+
+
+@query(_CALM + _CALM_BASES)
+def detect_base_gated(spark, sf):
+    return _r(bases.detect_bases(_calm(spark, sf)))
+
+
+@query(_CALM + _scored(_CALM_BASES, 25).replace("from bars", "from calm"))
+def base_score_gated(spark, sf):
+    return _score(_calm(spark, sf), 25, 15)

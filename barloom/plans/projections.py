@@ -49,12 +49,12 @@ def contract_parse(spark, sf):
 
 
 @query("""
-with t as (select event_id, case event_id % 5 when 0 then 'CPI YoY' when 1 then 'Services PMI' when 2 then 'Initial Claims' when 3 then 'Retail Sales' else 'Speech' end as name from events)
-select name, case when regexp_matches(name, 'yoy|mom|qoq|rate|%|inflation', 'i') then 'percent' when regexp_matches(name, 'pmi|index|sentiment|confidence', 'i') then 'index_level' when regexp_matches(name, 'claims|payrolls|jobs|starts|permits', 'i') then 'thousands' when regexp_matches(name, 'balance|budget|sales|gdp', 'i') then 'currency' end as unit, count(*) as n from t group by all
+with k as (select * from (values (0, 'CPI YY', 'percent'), (1, 'Services PMI', 'index_level'), (2, 'Initial Claims', 'thousands'), (3, 'Corporate Speech', null), (4, 'Real GDP', 'percent'), (5, 'M2', 'currency'), (6, 'ISM Prices MM', 'percent'), (7, 'Wage Growth', 'percent'), (8, 'Fed Funds Rate Decision', 'percent'), (9, 'Trade Balance', 'currency')) v(k, name, unit))
+select name, unit, count(*) as n from events join k on event_id % 10 = k group by all
 """)
 def unit_rules(spark, sf):
-    k = F.col("event_id") % 5
-    name = F.when(k == 0, "CPI YoY").when(k == 1, "Services PMI").when(k == 2, "Initial Claims").when(k == 3, "Retail Sales").otherwise("Speech")
+    names = ("CPI YY", "Services PMI", "Initial Claims", "Corporate Speech", "Real GDP", "M2", "ISM Prices MM", "Wage Growth", "Fed Funds Rate Decision", "Trade Balance")
+    name = F.get(F.array(*map(F.lit, names)), (F.col("event_id") % 10).cast("int"))
     return table(spark, sf, "events").select(name.alias("name")).groupBy("name", coerce.unit_of(F.col("name")).alias("unit")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -69,11 +69,10 @@ def word_counts(spark, sf):
 
 
 @query("""
-with t as (select event_id, '<p>See <a href="u/' || user_id || '">' || event_type || '</a> &amp; <b>' || cast(event_id as varchar) || '</b></p><p>x &lt; y</p>' as html, user_id, event_type from events)
-select event_id, 'See [' || event_type || '](u/' || user_id || ') & ' || event_id || chr(10) || chr(10) || 'x < y' as text from t
+select event_id, 'See [' || event_type || '](u/' || user_id || ') & ' || event_id || ' €' || chr(10) || chr(10) || 'x < y' || chr(10) || chr(10) || chr(10) || '```' || chr(10) || '  if v &lt; ' || user_id || ':' || chr(10) || '    <b>' || chr(10) || '```' || chr(10) || 'end' as text from events
 """)
 def html_to_text(spark, sf):
-    html = F.concat(F.lit('<p>See <a href="u/'), "user_id", F.lit('">'), "event_type", F.lit("</a> &amp; <b>"), "event_id", F.lit("</b></p><p>x &lt; y</p>"))
+    html = F.concat(F.lit('<p>See <a href="u/'), "user_id", F.lit('">'), "event_type", F.lit("</a> &amp; <b>"), "event_id", F.lit("</b> &#8364;</p><p>x &lt; y</p><pre><code>\n  if v &amp;lt; "), "user_id", F.lit(":\n    &#x3c;b>\n</code></pre>end"))
     return table(spark, sf, "events").select("event_id", coerce.plain_text(html).alias("text"))
 
 
@@ -196,8 +195,8 @@ def ohlcv_summary(spark, sf):
 
 @query("""
 with c as (select 's' || s_suppkey as ticker, n_name as sector, s_acctbal * 1e8 as cap from supplier left join nation on s_nationkey = n_nationkey and n_regionkey <> 0), e as (select ticker as source, sector as s, cap, 1 + cast(substr(ticker, 2) as int) % 5 as day from c where cap > 8e11)
-select ticker, 'own' as kind, source, day from c join e on ticker = source union all select ticker, 'sector', source, day from c join e on sector = s and ticker <> source
-union all select ticker, 'market', source, day from c join e on ticker <> source and not coalesce(sector = s, false) and e.cap >= 9e11
+select ticker, count(*) filter (where source = ticker) as n_own, count(*) filter (where source <> ticker and sector = s) as n_sector, count(*) filter (where source <> ticker and not coalesce(sector = s, false) and e.cap >= 9e11) as n_market, min(day) filter (where source = ticker) as next_own
+from c left join e on true group by ticker
 """)
 def catalyst_join(spark, sf):
     n = table(spark, sf, "nation").where("n_regionkey <> 0").select("n_nationkey", F.col("n_name").alias("sector"))

@@ -10,10 +10,6 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows up to which a lookup side is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
 
 
 def local_session(app: str = "barloom", cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -92,8 +88,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark df for broadcast only if it has at most ``rows`` rows; otherwise leave the choice to the planner."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
