@@ -29,9 +29,8 @@ def _unless(name: str, cast: Column) -> Callable[[Column], Column]:
     return lambda x: (x["key"] != name) | (cast.isNull() & (x["value"] != "null"))
 
 
-def _kind(value: Column) -> Column:
-    """boolean, integer, number, string or other of a variant; null for JSON null."""
-    t = F.schema_of_variant(value)
+def _kind(t: Column) -> Column:
+    """boolean, integer, number, string or other of a variant by its schema; null for JSON null."""
     return F.when(t == "VOID", F.lit(None)).when(t == "BOOLEAN", "boolean").when(t == "BIGINT", "integer").when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), "number").when(t == "STRING", "string").otherwise("other")
 
 
@@ -60,9 +59,11 @@ def ingest(records: DataFrame, payload: str, target: dict[str, str]) -> DataFram
     """
     kept = [c for c in records.columns if c not in target and c not in ("_rescued", "_keys", "_kinds", "_corrupt", payload)]
     d = once(records.select(*kept, payload), _map=F.from_json(payload, "map<string,variant>", {"mode": "PERMISSIVE"}))
-    entries = F.map_entries("_map")
-    kinds = F.transform(entries, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"), _kind(x["value"]).alias("kind")))
+    # In two steps, as an expression used many times in a lambda is worked out as often.
+    schemas = F.transform(F.map_entries("_map"), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"), F.schema_of_variant(x["value"]).alias("t")))
+    kinds = F.transform(schemas, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"), _kind(x["t"]).alias("kind")))
     d = once(d, _entries=F.coalesce(kinds, F.array().cast("array<struct<key:string,value:variant,kind:string>>")))
+    d = once(d, _kind_of=F.map_from_entries(F.array_distinct(F.transform("_entries", lambda x: F.struct(x["key"], x["kind"])))))
     wanted = F.create_map(*[F.lit(x) for pair in target.items() for x in pair])
     stays = lambda x: x["kind"].isNotNull() & ~x["kind"].eqNullSafe(F.try_element_at(wanted, x["key"]))
     unknown = lambda x: ~x["key"].isin(*target)
@@ -70,7 +71,7 @@ def ingest(records: DataFrame, payload: str, target: dict[str, str]) -> DataFram
     typed = []
     for name, kind in target.items():
         own = F.try_element_at("_map", F.lit(name))
-        typed.append(F.when(_kind(own) == kind, F.try_variant_get(own, "$", _SQL[kind])).alias(name))
+        typed.append(F.when(F.try_element_at("_kind_of", F.lit(name)) == kind, F.try_variant_get(own, "$", _SQL[kind])).alias(name))
     return d.select(
         *kept,
         *typed,
