@@ -16,8 +16,8 @@ import regex
 #: The public split pattern of byte_bpe_50k.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-#: Texts kept by a worker; beyond it the cache starts anew.
-CACHE = 400_000
+#: Bytes of words and their ids that one cache of a worker keeps before it starts anew, and of a word worth keeping at all.
+CACHE, WORD = 48 << 20, 200
 
 
 class Vocabulary:
@@ -152,10 +152,15 @@ class Encoder:
 class _Cache(dict):
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.held = make, 0
 
     def __missing__(self, key):
-        if len(self) >= CACHE:
+        value = self.make(key)
+        if len(key) > WORD:  # long runs without a space hardly recur
+            return value
+        if self.held > CACHE:
             self.clear()
-        value = self[key] = self.make(key)
+            self.held = 0
+        self.held += 200 + 2 * len(key) + len(value)  # with what the entry itself takes
+        self[key] = value
         return value

@@ -39,6 +39,11 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def p8_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts again, from their ids."""
+    return tokens.decoded(p8_ids(spark, sf), "doc_id", "ids")
+
+
 def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", "n_tokens", CAPACITY)
 
@@ -65,7 +70,7 @@ def p10_replaced(spark: SparkSession, sf: str) -> DataFrame:
     return pii.replaced(table(spark, sf, "documents"), "doc_id", "text", p10_found(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p7_found, p7_top, p8_ids, p9_containers, p9_summary, p10_found, p10_replaced)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p7_found, p7_top, p8_ids, p8_decoded, p9_containers, p9_summary, p10_found, p10_replaced)}
 
 _BASE = "case when regexp_matches(state, '^[^\\pL]*risk[^\\pL\\pN]{0,3}on([^\\pL]|$)', 'i') then 'RISK-ON' when regexp_matches(state, '^[^\\pL]*risk[^\\pL\\pN]{0,3}off([^\\pL]|$)', 'i') then 'RISK-OFF' when regexp_matches(state, '^[^\\pL]*caution([^\\pL]|$)', 'i') then 'CAUTION' end"
 _RUNS = f"""
@@ -83,6 +88,7 @@ SQL = {
     "p4_found": _RUNS + "select ledger_id, first_run_id, last_run_id, n_readings from spans where n_readings >= 2",
     "p4_runs": _RUNS + "select *, (epoch_us(ended) - epoch_us(started)) / 1e6 as duration_s from spans",
     "p7_found": _TOP + "select run_id, ticker from placed where place <= 10",
+    "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
     "p9_summary": "select count(distinct doc_id) as texts, 0::bigint as broken, 0::bigint as over, true as few from documents",
     "p7_top": _TOP + "select run_id, ticker, score, rank, place from placed where place <= 10",
 }

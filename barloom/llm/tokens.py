@@ -43,6 +43,21 @@ def encode_corpus(documents: DataFrame, id_column: str, text: str, tokenizer: st
     return out.withColumnRenamed("id", id_column)
 
 
+def decoded(corpus: DataFrame, id_column: str, ids: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """id_column and ``text``, the text whose tokens are in ``ids``; a null list gives a null text. Bytes that are no UTF-8 are
+    replaced."""
+    ship(corpus.sparkSession)
+    kind, path = dict(corpus.dtypes)[id_column], f"{folder}/{tokenizer}.tiktoken"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bytes_of = Encoder.of(path).v.bytes_of
+        for batch in batches:
+            texts = [None if own is None else b"".join([bytes_of[i] for i in own]).decode("utf-8", "replace") for own in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
+
+    return corpus.select(id_column, ids).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_column)
+
+
 def count_tokens(documents: DataFrame, id_column: str, text: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """id_column and ``n_tokens``, the length of what encode_corpus() gives."""
     ship(documents.sparkSession)

@@ -110,11 +110,50 @@ def test_encode_corpus(spark):
     d = spark.createDataFrame([(1, "a b"), (2, ""), (3, None), (4, "a b"), (None, "x"), (5, "w " * 50_000)], "doc_id long, text string").withColumn("ids", F.lit(0))
     got = {r["doc_id"]: r["ids"] for r in tokens.encode_corpus(d, "doc_id", "text").collect()}
     assert got[1] == got[4] == [64, 275] and got[2] == got[3] == [] and len(got[5]) == 50_001
+    back = {r["doc_id"]: r["text"] for r in tokens.decoded(tokens.encode_corpus(d, "doc_id", "text"), "doc_id", "ids").collect()}
+    assert back == {r["doc_id"]: r["text"] or "" for r in d.collect()}
     counts = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(d, "doc_id", "text").collect()}
     assert counts == {k: len(v) for k, v in got.items()}
     assert tokens.encode_corpus(d.limit(0), "doc_id", "text").count() == 0
 
 
+def test_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 5_000)
+    kept = bpe._Cache(lambda k: b"1234")
+    assert all(kept[f"{i}"] == b"1234" for i in range(1000)) and len(kept) < 30 and kept.held < 5_500
+    assert kept["x" * 1000] == b"1234" and "x" * 1000 not in kept
+
+
+QUERY_SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", ["p4_found", "p4_runs", "p7_found", "p7_top", "p8_decoded", "p9_summary"])
+def test_queries_equal_sql(spark, name):
+    import glob
+
+    import duckdb
+
+    from barloom.llm import queries
+    from tests.test_queries import content
+
+    c = duckdb.connect()
+    for path in glob.glob(f"{QUERY_SF}/*.parquet"):
+        c.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
+    got, want = queries.QUERIES[name](spark, QUERY_SF).toPandas(), c.sql(queries.SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and content(got) == content(want)
+
+
+def test_queries_of_empty_tables(spark, tmp_path):
+    import glob
+
+    from barloom.llm import queries
+
+    for path in glob.glob(f"{QUERY_SF}/*.parquet"):
+        spark.read.parquet(path).limit(0).write.parquet(str(tmp_path / os.path.basename(path)))
+    for name, query in queries.QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == (1 if name == "p9_summary" else 0), name
+
+
 def test_pack_histogram():
     rng = random.Random(4)
     for capacity, n in ((10, 200), (100, 3000), (64, 1)):
