@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.labels import base_state
+from barloom.operators.neighbours import neighbours
 
 
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -64,17 +65,22 @@ def dropout_reasons(pair: DataFrame, moves: DataFrame, key: str, excluded: DataF
     return d.select(key, reason.alias("reason"))
 
 
-def confirmed(readings: DataFrame, keys: list[str], order: str, state: str, n: int = 2) -> DataFrame:
-    """Add ``confirmed``: the last state that stood for n readings in a row up to then; the first reading seeds it.
+def confirmed(readings: DataFrame, keys: list[str], order: str, state: str, n: int = 2, segment: Column | None = None) -> DataFrame:
+    """Add ``confirmed``: the last state that stood for n readings in a row up to then; the first reading seeds it. Also
+    ``position`` (from 1) and ``before``, the state of the reading before.
 
-    Null states are left out. keys are as in neighbours(): a key's readings are as few as its sessions.
+    Null states are left out. ``segment`` cuts a key's order into pieces (operators.neighbours), so that a key with most of
+    the readings isn't one task; each of the n readings is a pass over the pieces.
     """
-    d = readings.where(F.col(state).isNotNull())
-    w = Window.partitionBy(*keys).orderBy(order)
-    d = d.withColumn("_new", F.when(F.col(state) == F.lag(state).over(w), 0).otherwise(1)).withColumn("_g", F.sum("_new").over(w))
-    d = d.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_g").orderBy(order))).withColumn("_i", F.row_number().over(w))
-    sure = F.when((F.col("_k") >= n) | (F.col("_i") == 1), F.col(state))
-    return d.withColumn("confirmed", F.last(sure, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_g", "_k", "_i")
+    cols, piece = readings.columns, F.col("_piece")
+    d = readings.where(F.col(state).isNotNull()).withColumn("_piece", F.lit(0) if segment is None else segment)
+    d = neighbours(d, keys, [order], piece, lag={"before": state}).withColumnRenamed("pos", "position")
+    d = d.withColumn("_same", F.col(state).eqNullSafe(F.col("before")).cast("int"))
+    for _ in range(n - 2):  # as many readings in a row as the one before has, and this one
+        d = neighbours(d, keys, [order], piece, lag={"_run": "_same"}).drop("pos").withColumn("_same", F.least("_same", F.coalesce("_run", F.lit(0)))).drop("_run")
+    stands = F.lit(True) if n < 2 else F.col("_same") == 1
+    d = d.withColumn("_sure", F.when(stands | (F.col("position") == 1), F.col(state)))
+    return neighbours(d, keys, [order], piece, carry={"confirmed": "_sure"}).select(*cols, "confirmed", "position", "before")
 
 
 def vote(value: Column, bull: float, bear: float, higher: bool = True) -> Column:

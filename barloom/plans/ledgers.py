@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions.calendar import et_day, holidays, session_phase, trading_days
 from barloom.operators import persistence as per
+from barloom.operators.neighbours import neighbours
 from barloom.plans.registry import Registry, tidy
 from barloom.session import table
 from barloom.sources.ledgers import append_by_day, upsert
@@ -156,9 +156,14 @@ s as (select *, row_number() over (partition by ledger_id, g order by run_id) as
 """
 
 
+def _confirmed(spark, sf):
+    """The readings of the ledgers with their confirmed states, worked on in months of a ledger."""
+    return per.confirmed(per.readings(table(spark, sf, "regime_history")), ["ledger_id"], "run_id", "base", segment=F.substring("run_id", 1, 6))
+
+
 @query(_READ + "select ledger_id, run_id, base, confirmed from f")
 def regime_confirmed(spark, sf):
-    return per.confirmed(per.readings(table(spark, sf, "regime_history")), ["ledger_id"], "run_id", "base").select("ledger_id", "run_id", "base", "confirmed")
+    return _confirmed(spark, sf).select("ledger_id", "run_id", "base", "confirmed")
 
 
 @query(_READ + """
@@ -166,9 +171,8 @@ def regime_confirmed(spark, sf):
 select ledger_id, count(*) as n, count(*) filter (where base = 'RISK-ON') as n_on, count(*) filter (where base = 'CAUTION') as n_caution, count(*) filter (where base = 'RISK-OFF') as n_off, count(*) filter (where b0 <> base) as raw_changes, count(*) filter (where c0 <> confirmed) as confirmed_changes from t group by ledger_id
 """)
 def state_mix(spark, sf):
-    d = per.confirmed(per.readings(table(spark, sf, "regime_history")), ["ledger_id"], "run_id", "base")
-    w = Window.partitionBy("ledger_id").orderBy("run_id")
-    d = d.withColumn("_b", F.lag("base").over(w)).withColumn("_c", F.lag("confirmed").over(w))
+    d = _confirmed(spark, sf)
+    d = neighbours(d, ["ledger_id"], ["run_id"], F.substring("run_id", 1, 6), lag={"_b": "base", "_c": "confirmed"})
     n = lambda c: F.count(F.when(c, 1))
     return d.groupBy("ledger_id").agg(
         F.count(F.lit(1)).alias("n"), n(F.col("base") == "RISK-ON").alias("n_on"), n(F.col("base") == "CAUTION").alias("n_caution"), n(F.col("base") == "RISK-OFF").alias("n_off"),
@@ -178,10 +182,11 @@ def state_mix(spark, sf):
 
 @query(_READ + ", l as (select ledger_id, base, g, count(*) as len from s group by all) select base, count(*) as spells, round(avg(len), 6) as mean_len, median(len) as median_len, count(*) filter (where len = 1) as one_day from l group by base")
 def state_spells(spark, sf):
-    d = per.readings(table(spark, sf, "regime_history"))
-    w = Window.partitionBy("ledger_id").orderBy("run_id")
-    d = d.withColumn("_new", F.when(F.col("base") == F.lag("base").over(w), 0).otherwise(1)).withColumn("_g", F.sum("_new").over(w))
-    s = d.groupBy("ledger_id", "base", "_g").agg(F.count(F.lit(1)).alias("len"))
+    # Only readings that open a spell stay; the next one's position tells how long it was.
+    d = neighbours(per.readings(table(spark, sf, "regime_history")).select("ledger_id", "run_id", "base"), ["ledger_id"], ["run_id"], F.substring("run_id", 1, 6), lag={"_b": "base"}, count="_n")
+    opens = d.where(~F.col("base").eqNullSafe(F.col("_b"))).withColumnRenamed("pos", "_at")
+    s = neighbours(opens, ["ledger_id"], ["run_id"], F.substring("run_id", 1, 6), lead={"_next": "_at"})
+    s = s.select("base", (F.coalesce("_next", F.col("_n") + 1) - F.col("_at")).alias("len"))
     return tidy(s.groupBy("base").agg(F.count(F.lit(1)).alias("spells"), F.avg("len").alias("mean_len"), F.median("len").alias("median_len"), F.count(F.when(F.col("len") == 1, 1)).alias("one_day")))
 
 
@@ -218,9 +223,8 @@ def regime_vote(spark, sf):
 select *, date_diff('day', strptime(run_id, '%Y%m%d'), strptime((select max(run_id) from r), '%Y%m%d')) as stale_days from z
 """)
 def regime_snapshot(spark, sf):
-    d = per.confirmed(per.readings(table(spark, sf, "regime_history")), ["ledger_id"], "run_id", "base")
-    w = Window.partitionBy("ledger_id").orderBy("run_id")
-    d = d.withColumn("_flip", F.coalesce(F.lag("base").over(w) != F.col("base"), F.lit(False)))
+    d = _confirmed(spark, sf)
+    d = d.withColumn("_flip", F.coalesce(F.col("before") != F.col("base"), F.lit(False)))
     last = d.agg(F.max("run_id")).scalar()
     g = d.groupBy("ledger_id").agg(F.max_by("base", "run_id").alias("base"), F.max_by("confirmed", "run_id").alias("confirmed"), F.max("run_id").alias("run_id"), F.max_by("_flip", "run_id").alias("first_day_flip"))
     day = lambda c: F.concat_ws("-", F.substring(c, 1, 4), F.substring(c, 5, 2), F.substring(c, 7, 2)).try_cast("date")
