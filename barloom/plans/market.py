@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from barloom.operators import bases
 from barloom.operators import indicators as ind
-from barloom.sources.bars import index_bars, long_enough, numbered, supplier_bars
+from barloom.sources.bars import index_bars, long_enough, published
 
 
 def _bars(spark: SparkSession, sf: str) -> DataFrame:
-    return numbered(supplier_bars(spark, sf))
+    return published(spark, sf)
 
 
 def _r(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -10,7 +10,7 @@ from barloom.operators import cover, summaries, trees
 from barloom.plans.market import BARS
 from barloom.plans.registry import Registry, tidy
 from barloom.session import table
-from barloom.sources.bars import numbered, supplier_bars
+from barloom.sources.bars import published
 
 query, bar_query = Registry(), Registry(BARS)
 
@@ -179,7 +179,7 @@ def unpivot_pivot(spark, sf):
 select ticker, cast(session as varchar) as session, round(ratio, 6) as ratio from r where ratio >= 5 or ratio <= 0.2
 """)
 def split_detect(spark, sf):
-    return tidy(summaries.split_events(supplier_bars(spark, sf), "ticker", "session", "volume", 5.0))
+    return tidy(summaries.split_events(published(spark, sf), "ticker", "session", "volume", 5.0))
 
 
 @bar_query("""
@@ -187,7 +187,7 @@ def split_detect(spark, sf):
 select ticker, n, round(first_close, 6) as first_close, round(last_close, 6) as last_close, round((last_close / first_close - 1) * 100, 6) as change_pct, round(high, 6) as high, round(low, 6) as low, cast(high_day as varchar) as high_day, cast(low_day as varchar) as low_day, round(v, 4) as mean_volume from g
 """)
 def ohlcv_summary(spark, sf):
-    d = numbered(supplier_bars(spark, sf)).where("back < 252")
+    d = published(spark, sf).where("back < 252")
     g = d.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("close", "session").alias("first_close"), F.max_by("close", "session").alias("last_close"), F.max("high").alias("high"), F.min("low").alias("low"),
         F.min_by("session", F.struct(-F.col("high"), F.col("session"))).alias("high_day"), F.min_by("session", F.struct("low", "session")).alias("low_day"), F.avg("volume").alias("mean_volume"),
@@ -196,7 +196,7 @@ def ohlcv_summary(spark, sf):
 
 
 @query("""
-with c as (select 's' || s_suppkey as ticker, n_name as sector, s_acctbal * 1e8 as cap from supplier left join nation on s_nationkey = n_nationkey and n_regionkey <> 0), e as (select ticker as source, sector as s, cap, 1 + cast(substr(ticker, 2) as int) % 5 as day from c where cap > 8e11)
+with c as (select 's' || s_suppkey as ticker, n_name as sector, s_acctbal * 1e8 as cap from supplier left join nation on s_nationkey = n_nationkey and n_regionkey <> 0), e as (select ticker as source, sector as s, cap, 1 + cast(substr(ticker, 2) as int) % 5 as day from c)
 select ticker, count(*) filter (where source = ticker) as n_own, count(*) filter (where source <> ticker and sector = s) as n_sector, count(*) filter (where source <> ticker and not coalesce(sector = s, false) and e.cap >= 9e11) as n_market, min(day) filter (where source = ticker) as next_own
 from c left join e on true group by ticker
 """)
@@ -204,7 +204,7 @@ def catalyst_join(spark, sf):
     n = table(spark, sf, "nation").where("n_regionkey <> 0").select("n_nationkey", F.col("n_name").alias("sector"))
     c = table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(F.concat(F.lit("s"), "s_suppkey").alias("ticker"), "sector", (F.col("s_acctbal") * 1e8).alias("cap"))
     number = F.substring("ticker", 2, 9).cast("int")
-    return summaries.sparks(c.select("ticker", "sector"), c.where("cap > 8e11").withColumn("day", 1 + number % 5), cap=9e11)
+    return summaries.sparks(c.select("ticker", "sector"), c.withColumn("day", 1 + number % 5), cap=9e11)
 
 
 @query("""

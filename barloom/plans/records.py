@@ -18,13 +18,13 @@ from barloom.plans.registry import Registry, tidy
 from barloom.plans.replays import _SIG, _signals
 from barloom.session import scratch, table
 from barloom.sources import ledgers
-from barloom.sources.bars import numbered, supplier_bars
+from barloom.sources.bars import published, supplier_bars
 
 query, plain = Registry(BARS), Registry()
 
 
 def _bars(spark, sf):
-    return numbered(supplier_bars(spark, sf))
+    return published(spark, sf)
 
 
 @plain("""

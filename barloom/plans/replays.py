@@ -9,14 +9,14 @@ from barloom.operators import indicators as ind
 from barloom.operators import replay
 from barloom.plans.market import BARS
 from barloom.plans.registry import Registry, tidy
-from barloom.sources.bars import index_bars, numbered, supplier_bars
+from barloom.sources.bars import index_bars, published
 
 query = Registry(BARS)
 _SIG = ", lows as (select *, close = min(close) over (partition by ticker order by session rows 19 preceding) as lowest from bars), sig as materialized (select ticker || '-' || sess_no as sid, ticker, session, sess_no, close as entry, close * 1.5 as target, close * 0.6 as stop, isodow(session) as dow from lows where lowest and sess_no >= 20)"
 
 
 def _bars(spark, sf):
-    return numbered(supplier_bars(spark, sf))
+    return published(spark, sf)
 
 
 def _signals(bars):

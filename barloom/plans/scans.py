@@ -12,14 +12,14 @@ from barloom.operators import replay
 from barloom.plans.market import _BASES, _MOMENTUM, _RATING, _RSI, BARS
 from barloom.plans.registry import Registry, tidy
 from barloom.session import table
-from barloom.sources.bars import index_bars, numbered, supplier_bars
+from barloom.sources.bars import index_bars, published
 from barloom.sources.ledgers import upsert
 
 query, plain = Registry(BARS), Registry()
 
 
 def _bars(spark, sf):
-    return numbered(supplier_bars(spark, sf))
+    return published(spark, sf)
 
 
 def _lows(bars: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def pivot_in_force(spark, sf):
 select ticker, round(prior_close, 6) as prior_close, case when s >= date '1998-06-10' then 'daily' else 'stale' end as source from l
 """)
 def prior_close_map(spark, sf):
-    d = supplier_bars(spark, sf).where("session < date'1998-06-15'").groupBy("ticker").agg(F.max_by("close", "session").alias("prior_close"), F.max("session").alias("_s"))
+    d = published(spark, sf).where("session < date'1998-06-15'").groupBy("ticker").agg(F.max_by("close", "session").alias("prior_close"), F.max("session").alias("_s"))
     return tidy(d.select("ticker", "prior_close", F.when(F.col("_s") >= F.lit("1998-06-10").cast("date"), "daily").otherwise("stale").alias("source")))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.session import table
+from barloom.session import scratch, table
 
 
 def bars_from_trades(trades: DataFrame, ticker: str, at: str, price: str, quantity: str, order: list[str]) -> DataFrame:
@@ -47,6 +49,24 @@ def numbered(bars: DataFrame) -> DataFrame:
     return bars.withColumn("sess_no", F.row_number().over(w.orderBy("session"))).withColumn("back", F.count(F.lit(1)).over(w) - F.col("sess_no"))
 
 
+_PUBLISHED: dict[tuple[str, str], str] = {}
+
+
+def published(spark: SparkSession, sf: str) -> DataFrame:
+    """numbered() bars of the test tables, derived once a session and kept as a table in the shared folder.
+
+    The table is bucketed by ticker and sorted by session, so windows over a ticker's sessions read it without a shuffle,
+    and no query aggregates the trades again. It holds the trades as they were when a session first asked for them.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PUBLISHED:
+        name, n = f"bars_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+        out = numbered(supplier_bars(spark, sf)).repartition(n, "ticker").write.bucketBy(n, "ticker").sortBy("ticker", "session")
+        out.option("path", f"{scratch(spark)}/{name}").format("parquet").saveAsTable(name)
+        _PUBLISHED[key] = name
+    return spark.table(_PUBLISHED[key])
+
+
 def long_enough(bars: DataFrame, column: str, sessions: int) -> DataFrame:
     """Bars whose ``column`` is not null, of tickers that have at least ``sessions`` of them."""
     kept = bars.where(F.col(column).isNotNull())
