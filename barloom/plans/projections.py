@@ -277,7 +277,13 @@ def tree_scan(spark, sf):
     return t.select("root", "item", "level", F.row_number().over(Window.partitionBy("root").orderBy("level", "path", "item")).alias("k"))
 
 
-@query()
+@query("""
+with d as (select l_orderkey as order_id, count(*) filter (where l_partkey % 3 = 0) as a, count(*) filter (where l_partkey % 3 = 1) as b, count(*) filter (where l_partkey % 3 = 2) as c from lineitem where l_orderkey is not null group by 1),
+p as (select *, unnest(range(greatest(a, b) + 1)) as p from d), t as (select *, unnest(range(greatest(a, b, c) + 1)) as t from p),
+n as (select *, greatest(a - p - t, 0) as x, greatest(b - p - t, 0) as y, greatest(c - t, 0) as z from t),
+w as (select order_id, 10 * x + 12 * y + 14 * z + 18 * p + 25 * t as cost, list_concat(list_concat(list_concat(list_concat(list_transform(range(x), lambda i: 'one-s0'), list_transform(range(y), lambda i: 'one-s1')), list_transform(range(z), lambda i: 'one-s2')), list_transform(range(p), lambda i: 'pair')), list_transform(range(t), lambda i: 'trio')) as picks from n)
+select order_id, 1 as place, cost, array_to_string(picks, ',') as offers from (select *, row_number() over (partition by order_id order by cost, picks) as k from w) where k = 1
+""")
 def min_cost_cover(spark, sf):
     # An order's wants: its lines' part sizes; each order is offered singles and two bundles.
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.concat(F.lit("s"), F.col("l_partkey") % 3).alias("sku"))
